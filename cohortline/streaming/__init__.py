@@ -1,0 +1 @@
+"""Every input of the studies is a finite table, so there is no streaming operator to provide."""
