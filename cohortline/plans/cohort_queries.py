@@ -84,9 +84,9 @@ def rx_within_14d(spark, folder):
 # The test data rarely holds three drugs within two weeks, so the flag queries look at 1000 days.
 FLAGS = TREATED.replace("c.date + 14", "c.date + 1000") + """,
 flags AS (SELECT c.patient_id, c.date,
-  CAST(count_if(drug = 'PYRA') > 0 AS INTEGER) AS pyra, CAST(count_if(drug = 'ETHA') > 0 AS INTEGER) AS etha,
-  CAST(count_if(drug = 'RIFA') > 0 AS INTEGER) AS rifa, CAST(count_if(drug = 'ISON') > 0 AS INTEGER) AS ison,
-  CAST(count_if(drug = 'STRE') > 0 AS INTEGER) AS stre, CAST(count_if(drug = 'RIFI') > 0 AS INTEGER) AS rifi
+  CAST(count(*) FILTER (WHERE drug = 'PYRA') > 0 AS INTEGER) AS pyra, CAST(count(*) FILTER (WHERE drug = 'ETHA') > 0 AS INTEGER) AS etha,
+  CAST(count(*) FILTER (WHERE drug = 'RIFA') > 0 AS INTEGER) AS rifa, CAST(count(*) FILTER (WHERE drug = 'ISON') > 0 AS INTEGER) AS ison,
+  CAST(count(*) FILTER (WHERE drug = 'STRE') > 0 AS INTEGER) AS stre, CAST(count(*) FILTER (WHERE drug = 'RIFI') > 0 AS INTEGER) AS rifi
   FROM dx0 c LEFT JOIN treated t ON t.patient_id = c.patient_id GROUP BY 1, 2)"""
 
 
@@ -220,7 +220,7 @@ def comorbidity_index(spark, folder):
     return P.comorbidity_index(flags).select("patient_id", "cci")
 
 
-_COUNTS = ", ".join(f"CAST(count_if(regexp_matches(e.source, '{p}')) AS BIGINT) AS {n}"
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE regexp_matches(e.source, '{p}')) AS {n}"
                     for n, p in V.ENCOUNTER_CLASSES.items())
 
 
