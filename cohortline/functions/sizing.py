@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Cache ``df``, count at most ``max_rows + 1`` rows of it and mark it for broadcast if it fits.
+def checked_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+    """Cache ``df`` and tell whether it has at most ``max_rows`` rows; at most one more is counted.
 
-    Returns the frame and whether it fits. Callers must have an exact plan for the other case.
+    The caller releases the cache, and needs an exact plan for the case that it does not fit.
     """
     cached = df.persist()
-    fits = cached.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(cached) if fits else cached), fits
+    return cached, cached.limit(max_rows + 1).count() <= max_rows
+
+
+def marked(df: DataFrame, fits: bool) -> DataFrame:
+    """Broadcast what was checked to be small; leave the rest to the planner."""
+    return F.broadcast(df) if fits else df
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    return marked(*checked_small(df, max_rows))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def _pools(cells: DataFrame, controls: DataFrame, age: str, age_gap: int, date:
     names = [*match_vars, age, date]
     near = cells.withColumn("_age", F.explode(F.sequence(F.col(age) - age_gap, F.col(age) + age_gap)))
     near = near.withColumn("_day", F.explode(F.sequence(F.date_sub(date, date_gap), F.date_add(date, date_gap))))
-    near, _ = broadcast_if_small(near, MAX_CELL_DAYS)
+    near = broadcast_if_small(near, MAX_CELL_DAYS)
     found = []
     for i, var in enumerate(match_vars):
         own = controls.select(F.col(var).alias("_var"), F.col(age).alias("_own_age"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.columns import any_of, find, flag, total
 from cohortline.functions.fixed_values import INDEX_SUPERSEDED_BY, INDEX_WEIGHTS
-from cohortline.functions.sizing import broadcast_if_small
+from cohortline.functions.sizing import checked_small
 from cohortline.operators.timejoin import episode_overlap
 from cohortline.sources.tables import Rule
 
@@ -28,9 +28,9 @@ def tag_records(records: DataFrame, code: str, rules: Sequence[Rule],
     matched = any_of(list(tests.values()))
     dictionary = records.select(code).distinct().where(matched).select(
         code, *[t.alias(f"_is_{n}") for n, t in tests.items()])
-    dictionary, fits = broadcast_if_small(dictionary, max_dictionary)
+    dictionary, fits = checked_small(dictionary, max_dictionary)
     if fits:
-        return records.join(dictionary, code), {n: F.col(f"_is_{n}") for n in tests}
+        return records.join(F.broadcast(dictionary), code), {n: F.col(f"_is_{n}") for n in tests}
     dictionary.unpersist()
     return records.where(matched), tests
 
