@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions import fixed_values as V
 from cohortline.functions.columns import find
-from cohortline.functions.sizing import broadcast_if_small
+from cohortline.functions.sizing import broadcast_if_small, cut_lineage
 from cohortline.operators.cohort import exclude
 
 MAX_CELL_DAYS = 500_000
@@ -85,14 +85,14 @@ def match_controls(cohort: DataFrame, case_var: str = "tb", age: str = "age", ag
     by :func:`match_long`.
     """
     names = [*match_vars, age, date]
-    cases = cohort.where(F.col(case_var) == 1).select(key, *names)
+    cases = cut_lineage(cohort.where(F.col(case_var) == 1).select(key, *names))
     controls = cohort.where(F.col(case_var) == 0)
     pools = _pools(cases.select(*names).distinct(), controls, age, age_gap, date, date_gap, match_vars, key)
 
-    # Number each pool. The leading hash digits split a pool over up to 256 tasks; a bucket's rows
+    # Number each pool; the pools are read twice from here on, so they are written out once. The leading hash digits split a pool over up to 256 tasks; a bucket's rows
     # are numbered on their own and shifted by the size of the buckets before it.
     hashed = pools.withColumn("_h", _hash_text(F.lit(seed), *[F.col(n) for n in names], F.col(key)))
-    hashed = hashed.withColumn("_bucket", F.substring("_h", 1, 2))
+    hashed = cut_lineage(hashed.withColumn("_bucket", F.substring("_h", 1, 2)))
     by_cell = Window.partitionBy(*names)
     sizes = hashed.groupBy(*names, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumns({

@@ -25,9 +25,31 @@ from cohortline.functions.tails import chi2_upper, normal_two_sided
 MAX_DAY_ROWS = 200_000
 MAX_SECOND_ORDER = 8      # up to here the second-order sums are part of the day table
 TIE_CHUNK = 4096
+
+# running sums along the days of a stratum
+AT_OR_AFTER = "OVER (PARTITION BY s ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+UP_TO = "OVER (PARTITION BY s ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+BEFORE = "OVER (PARTITION BY s ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+WHOLE = "OVER (PARTITION BY s)"
+
+# Efron sums over the ranks l = 0..d-1 of a day's tied events, visited in chunks. With
+# D = s0 - (l/d) e0: a1 = sum 1/D, a2 = sum (l/d)/D; b11, b12, b22 the same over D squared with
+# (l/d) to the power 0, 1, 2; ll = sum log D.
+TIE_ZERO = "named_struct('a1', 0D, 'a2', 0D, 'b11', 0D, 'b12', 0D, 'b22', 0D, 'll', 0D)"
+_RANK = """named_struct(
+  'a1', z.a1 + 1 / (s0 - l / d * e0), 'a2', z.a2 + l / d / (s0 - l / d * e0),
+  'b11', z.b11 + 1 / pow(s0 - l / d * e0, 2), 'b12', z.b12 + l / d / pow(s0 - l / d * e0, 2),
+  'b22', z.b22 + pow(l / d / (s0 - l / d * e0), 2), 'll', z.ll + ln(s0 - l / d * e0))"""
+TIE_SUMS = (f"aggregate(sequence(0L, d - 1, {TIE_CHUNK}L), {TIE_ZERO}, (y, lo) -> "
+            f"aggregate(sequence(lo, least(lo + {TIE_CHUNK - 1}, d - 1)), y, (z, l) -> {_RANK}))")
 WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
 
 
+def _number(value: float) -> str:
+    """SQL text of a double."""
+    return f"({float(value)!r}D)"
+
+
 def dummies(column: str, levels: Sequence[str]) -> dict[str, Column]:
     """0/1 terms for every level but the first, the reference."""
     return {f"{column}_{lvl}": (F.col(column) == lvl).cast("double") for lvl in levels[1:]}
@@ -113,21 +135,13 @@ class RiskModel:
         self._cached.append(df)
         return df
 
-    def _eta(self, beta: np.ndarray) -> Column:
-        eta = F.lit(0.0)
-        for b, c, m in zip(beta, self.x, self.means):
-            eta = eta + F.lit(float(b)) * (F.col(c) - F.lit(float(m)))
-        return eta
-
-    def _centred(self, i: int) -> Column:
-        return F.col(self.x[i]) - F.lit(float(self.means[i]))
-
     def _scored(self, beta: np.ndarray) -> DataFrame:
         """Rows with centred terms, linear predictor and weighted relative hazard."""
-        eta = self._eta(beta)
-        return self.rows.select(
-            "s", "t", *(["t0"] if self.has_entry else []), "ev", "n", "w", "w2", eta.alias("eta"),
-            (F.col("w") * F.exp(eta)).alias("r"), *[self._centred(i).alias(c) for i, c in enumerate(self.x)])
+        centred = [f"({c} - {_number(m)})" for c, m in zip(self.x, self.means)]
+        eta = " + ".join(f"{_number(b)} * {c}" for b, c in zip(beta, centred))
+        own = ["s", "t", *(["t0"] if self.has_entry else []), "ev", "n", "w", "w2"]
+        return self.rows.selectExpr(*own, f"{eta} AS eta", f"w * exp({eta}) AS r",
+                                    *[f"{e} AS {c}" for e, c in zip(centred, self.x)])
 
     def _censoring_km(self) -> DataFrame:
         """Left-continuous Kaplan-Meier of censoring per (stratum, day); events precede censoring."""
@@ -145,61 +159,49 @@ class RiskModel:
         """
         second = self.second_order if second_order is None else second_order
         k = self.k
-        moments = [("0", F.lit(1.0))] + [(f"1_{i}", F.col(self.x[i])) for i in range(k)]
+        moments = {"0": "1"} | {f"1_{i}": f"x{i}" for i in range(k)}
         if second:
-            moments += [(f"2_{i}_{j}", F.col(self.x[i]) * F.col(self.x[j])) for i, j in pairs(k)]
+            moments |= {f"2_{i}_{j}": f"x{i} * x{j}" for i, j in pairs(k)}
         scored = self._scored(beta)
-        event = F.when(F.col("ev") == 1, F.lit(1.0)).otherwise(0.0)
+        event, sign = "if(ev = 1, 1D, 0D)", "1"
         if self.has_entry:
             # a row counts at risk on days in (t0, t]: its sums are taken off again from t0 backwards
-            visits = F.array(F.struct(F.col("t").alias("t"), F.lit(1.0).alias("sign")),
-                             F.struct(F.col("t0").alias("t"), F.lit(-1.0).alias("sign")))
-            scored = scored.withColumn("visit", F.explode(visits))
-            scored = scored.withColumns({"t": F.col("visit.t"), "sign": F.col("visit.sign")})
-            event = F.when(F.col("sign") > 0, event).otherwise(0.0)
-            sign = F.col("sign")
-        else:
-            sign = F.lit(1.0)
-        sums = [F.sum(sign * F.col("r") * m).alias(f"p{n}") for n, m in moments]
-        sums += [F.sum(event * F.col("r") * m).alias(f"e{n}") for n, m in moments]
+            scored = scored.selectExpr(
+                "* EXCEPT (t, t0)", "inline(array(struct(t AS t, 1D AS sign), struct(t0 AS t, -1D AS sign)))")
+            event, sign = "if(ev = 1 AND sign > 0, 1D, 0D)", "sign"
+        sums = [f"sum({sign} * r * {m}) AS p{n}" for n, m in moments.items()]
+        sums += [f"sum({event} * r * {m}) AS e{n}" for n, m in moments.items()]
         if self.competing:
-            lasting = F.when(F.col("ev") == 2, F.lit(1.0)).otherwise(0.0)
-            sums += [F.sum(lasting * F.col("r") * m).alias(f"c{n}") for n, m in moments]
-        sums += [F.sum(event * F.col("w") * F.col(c)).alias(f"ex_{i}") for i, c in enumerate(self.x)]
-        sums += [F.sum(event * F.col("w")).alias("ew"), F.sum(event * F.col("w") * F.col("eta")).alias("eeta"),
-                 F.sum(event * F.col("n")).cast("long").alias("d"),
-                 F.sum(sign * F.col("n")).cast("long").alias("n_exit")]
-        day = scored.groupBy("s", "t").agg(*sums)
-
-        later = Window.partitionBy("s").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+            sums += [f"sum(if(ev = 2, r * {m}, 0D)) AS c{n}" for n, m in moments.items()]
+        sums += [f"sum({event} * w * x{i}) AS ex_{i}" for i in range(k)]
+        sums += [f"sum({event} * w) AS ew", f"sum({event} * w * eta) AS eeta",
+                 f"CAST(sum({event} * n) AS bigint) AS d", f"CAST(sum({sign} * n) AS bigint) AS n_exit"]
+        day = scored.groupBy("s", "t").agg(*[F.expr(e) for e in sums])
+
+        at_risk = {n: f"sum(p{n}) {AT_OR_AFTER}" for n in moments}
+        own = ["s", "t", *[f"e{n}" for n in moments], *[f"ex_{i}" for i in range(k)], "ew", "eeta", "d", "n_exit"]
         if self.competing:
             day = day.join(self.censoring, ["s", "t"])
-            before = Window.partitionBy("s").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-            kept = {n: F.col("g") * F.coalesce(F.sum(F.col(f"c{n}") / F.col("g")).over(before), F.lit(0.0))
-                    for n, _ in moments}
-            at_risk = {f"s{n}": F.sum(f"p{n}").over(later) + kept[n] for n, _ in moments}
-        else:
-            at_risk = {f"s{n}": F.sum(f"p{n}").over(later) for n, _ in moments}
-        drop = [f"p{n}" for n, _ in moments] + ([f"c{n}" for n, _ in moments] if self.competing else [])
-        day = day.withColumns({**at_risk, "n_risk": F.sum("n_exit").over(later)}).drop(*drop)
-        day = day.withColumn("tie", F.when(F.col("d") > 0, _tie_sums()))
-        return day.select(
-            "*", F.coalesce(F.col("ew") / F.nullif(F.col("d"), F.lit(0)), F.lit(0.0)).alias("wbar"),
-            *[F.coalesce(F.col(f"tie.{n}"), F.lit(0.0)).alias(n) for n in TIE_NAMES]).drop("tie")
+            own.append("g")
+            at_risk = {n: f"{e} + g * coalesce(sum(c{n} / g) {BEFORE}, 0D)" for n, e in at_risk.items()}
+        day = day.selectExpr(*own, *[f"{e} AS s{n}" for n, e in at_risk.items()],
+                             f"sum(n_exit) {AT_OR_AFTER} AS n_risk", "if(d > 0, ew / d, 0D) AS wbar")
+        day = day.selectExpr("*", f"if(d > 0, {TIE_SUMS}, {TIE_ZERO}) AS tie")
+        return day.selectExpr("* EXCEPT (tie)", "tie.*")
 
     # -- partial likelihood ----------------------------------------------------------
 
-    def _mean_term(self, i: int) -> Column:
+    def _mean_term(self, i: int) -> str:
         """Sum over tied ranks of the risk-set mean of term i."""
-        return F.col("a1") * F.col(f"s1_{i}") - F.col("a2") * F.col(f"e1_{i}")
+        return f"(a1 * s1_{i} - a2 * e1_{i})"
 
-    def _mean_product(self, i: int, j: int) -> Column:
+    def _mean_product(self, i: int, j: int) -> str:
         """Sum over tied ranks of the product of the risk-set means of terms i and j."""
-        si, sj, ei, ej = (F.col(c) for c in (f"s1_{i}", f"s1_{j}", f"e1_{i}", f"e1_{j}"))
-        return F.col("b11") * si * sj - F.col("b12") * (si * ej + ei * sj) + F.col("b22") * ei * ej
+        return (f"(b11 * s1_{i} * s1_{j} - b12 * (s1_{i} * e1_{j} + e1_{i} * s1_{j})"
+                f" + b22 * e1_{i} * e1_{j})")
 
-    def _second_moment(self, i: int, j: int) -> Column:
-        return F.col("a1") * F.col(f"s2_{i}_{j}") - F.col("a2") * F.col(f"e2_{i}_{j}")
+    def _second_moment(self, i: int, j: int) -> str:
+        return f"(a1 * s2_{i}_{j} - a2 * e2_{i}_{j})"
 
     def evaluate(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Log partial likelihood, score and information at ``beta``."""
@@ -207,13 +209,13 @@ class RiskModel:
         day = self.day_table(beta)
         if not self.second_order:
             day = day.persist()
-        value = [F.sum(F.col("eeta") - F.col("wbar") * F.col("ll"))]
-        value += [F.sum(F.col(f"ex_{i}") - F.col("wbar") * self._mean_term(i)) for i in range(k)]
+        value = ["sum(eeta - wbar * ll)"]
+        value += [f"sum(ex_{i} - wbar * {self._mean_term(i)})" for i in range(k)]
         spread = [self._mean_product(i, j) for i, j in pairs(k)]
         if self.second_order:
-            spread = [self._second_moment(i, j) - m for (i, j), m in zip(pairs(k), spread)]
-        value += [F.sum(F.col("wbar") * m) for m in spread]
-        row = [v or 0.0 for v in day.agg(*value).first()]
+            spread = [f"({self._second_moment(i, j)} - {m})" for (i, j), m in zip(pairs(k), spread)]
+        value += [f"sum(wbar * {m})" for m in spread]
+        row = [v or 0.0 for v in day.selectExpr(*value).first()]
         loglik, score = row[0], np.array(row[1:k + 1])
         info = symmetric(row[k + 1:], k)
         if not self.second_order:
@@ -223,49 +225,34 @@ class RiskModel:
             day.unpersist()
         return loglik, score, info
 
-    def _running(self, increments: Mapping[str, Column]) -> list[Column]:
-        """Running sum of each named increment up to a day and, for competing events, the weighted
-        sum over the days after it."""
-        upto = Window.partitionBy("s").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy("s")
-        out = []
-        for name, inc in increments.items():
-            out.append(F.sum(inc).over(upto).alias(f"cum_{name}"))
-            if self.competing:
-                own = F.col("g") * inc
-                out.append(((F.sum(own).over(whole) - F.sum(own).over(upto)) / F.col("g")).alias(f"after_{name}"))
-        return out
-
     def _with_hazard(self, beta: np.ndarray, day: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
         """Scored rows with the hazard each one was exposed to (``exposure_*``), and the cached
         per-day hazard table behind them.
 
         ``h`` is the plain hazard; ``m_i`` the hazard times the risk-set mean of term i. On its own
-        event day a row carries only its tied share.
+        event day a row carries only its tied share. A subject with the competing event stays
+        exposed, with a weight, on the days after it.
         """
-        increments, ties = {}, {}
+        columns = ["s", "t"]
         for n in names:
-            if n == "h":
-                increments[n], ties[n] = F.col("wbar") * F.col("a1"), F.col("wbar") * F.col("a2")
-            else:
-                i = n[2:]
-                increments[n] = F.col("wbar") * (F.col("b11") * F.col(f"s1_{i}") - F.col("b12") * F.col(f"e1_{i}"))
-                ties[n] = F.col("wbar") * (F.col("b12") * F.col(f"s1_{i}") - F.col("b22") * F.col(f"e1_{i}"))
-        means = [F.coalesce(self._mean_term(i) / F.nullif(F.col("d"), F.lit(0)), F.lit(0.0)).alias(f"xbar_{i}")
-                 for i in range(self.k)] if len(names) > 1 else []
-        hazard, fits = checked_small(
-            day.select("s", "t", *self._running(increments), *[c.alias(f"tie_{n}") for n, c in ties.items()], *means),
-            MAX_DAY_ROWS)
+            i = n[2:]
+            step = "wbar * a1" if n == "h" else f"wbar * (b11 * s1_{i} - b12 * e1_{i})"
+            tie = "wbar * a2" if n == "h" else f"wbar * (b12 * s1_{i} - b22 * e1_{i})"
+            columns += [f"sum({step}) {UP_TO} AS cum_{n}", f"{tie} AS tie_{n}"]
+            if self.competing:
+                columns.append(f"(sum(g * {step}) {WHOLE} - sum(g * {step}) {UP_TO}) / g AS after_{n}")
+        if len(names) > 1:
+            columns += [f"if(d > 0, {self._mean_term(i)} / d, 0D) AS xbar_{i}" for i in range(self.k)]
+        hazard, fits = checked_small(day.selectExpr(*columns), MAX_DAY_ROWS)
         joined = self._scored(beta).join(marked(hazard, fits), ["s", "t"])
-        exposure = {n: F.col(f"cum_{n}") - F.when(F.col("ev") == 1, F.col(f"tie_{n}")).otherwise(0.0) for n in names}
+        exposure = {n: f"cum_{n} - if(ev = 1, tie_{n}, 0D)" for n in names}
         if self.competing:
-            exposure = {n: c + F.when(F.col("ev") == 2, F.col(f"after_{n}")).otherwise(0.0)
-                        for n, c in exposure.items()}
+            exposure = {n: f"{e} + if(ev = 2, after_{n}, 0D)" for n, e in exposure.items()}
         if self.has_entry:
-            start = hazard.select("s", F.col("t").alias("t0"), *[F.col(f"cum_{n}").alias(f"pre_{n}") for n in names])
+            start = hazard.selectExpr("s", "t AS t0", *[f"cum_{n} AS pre_{n}" for n in names])
             joined = joined.join(marked(start, fits), ["s", "t0"])
-            exposure = {n: c - F.col(f"pre_{n}") for n, c in exposure.items()}
-        return joined.withColumns({f"exposure_{n}": c for n, c in exposure.items()}), hazard
+            exposure = {n: f"{e} - pre_{n}" for n, e in exposure.items()}
+        return joined.selectExpr("*", *[f"{e} AS exposure_{n}" for n, e in exposure.items()]), hazard
 
     def fit(self, max_iter: int = 20, eps: float = 1e-9, robust: bool = False) -> CoxFit:
         """Newton-Raphson with step halving from zero."""
@@ -291,44 +278,14 @@ class RiskModel:
         """Sum of squared weighted score residuals."""
         day = self.day_table(beta, second_order=False)
         joined, hazard = self._with_hazard(beta, day, ["h", *[f"m_{i}" for i in range(self.k)]])
-        hazard_ratio = F.exp(F.col("eta"))
         residuals = [
-            F.when(F.col("ev") == 1, F.col(c) - F.col(f"xbar_{i}")).otherwise(0.0)
-            - hazard_ratio * (F.col(c) * F.col("exposure_h") - F.col(f"exposure_m_{i}"))
-            for i, c in enumerate(self.x)]
+            F.expr(f"if(ev = 1, x{i} - xbar_{i}, 0D) - exp(eta) * (x{i} * exposure_h - exposure_m_{i})")
+            for i in range(self.k)]
         meat = weighted_gram(joined, F.col("w2"), residuals)
         hazard.unpersist()
         return meat
 
 
-TIE_NAMES = ["a1", "a2", "b11", "b12", "b22", "ll"]
-
-
-def _tie_sums() -> Column:
-    """Efron sums over the ranks 0..d-1 of a day's tied events.
-
-    With D = s0 - (l/d) e0: a1 = sum 1/D, a2 = sum (l/d)/D, b11, b12, b22 the same over D squared
-    with (l/d) to the power 0, 1, 2, and ll = sum log D. Ranks are visited in chunks.
-    """
-    d, s0, e0 = F.col("d"), F.col("s0"), F.col("e0")
-
-    def add(acc: Column, rank: Column) -> Column:
-        share = rank.cast("double") / d
-        inv = 1.0 / (s0 - share * e0)
-        return F.struct(
-            (acc["a1"] + inv).alias("a1"), (acc["a2"] + share * inv).alias("a2"),
-            (acc["b11"] + inv * inv).alias("b11"), (acc["b12"] + share * inv * inv).alias("b12"),
-            (acc["b22"] + share * share * inv * inv).alias("b22"), (acc["ll"] - F.log(inv)).alias("ll"))
-
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in TIE_NAMES])
-    last = d - 1
-    step = F.lit(TIE_CHUNK).cast("long")
-    first = F.lit(0).cast("long")
-    return F.aggregate(
-        F.sequence(first, last, step), zero,
-        lambda acc, lo: F.aggregate(F.sequence(lo, F.least(lo + (TIE_CHUNK - 1), last)), acc, add))
-
-
 def cox(df: DataFrame, time: str, status: str, terms: Mapping[str, Column], weight: str | None = None,
         strata: str | None = None, entry: str | None = None) -> CoxFit:
     """Weighted proportional hazards; a sandwich variance goes with weights."""
@@ -457,12 +414,11 @@ def cox_zph(fit: CoxFit, groups: Mapping[str, Sequence[str]] | None = None) -> l
     """
     model, k = fit.model, fit.model.k
     events = _event_times(fit)
-    g = F.col("gt")
-    cells = [F.sum(g * (F.col(f"ex_{i}") - F.col("wbar") * model._mean_term(i))) for i in range(k)]
-    for p in (F.lit(1.0), g, g * g):
-        cells += [F.sum(p * F.col("wbar") * (model._second_moment(i, j) - model._mean_product(i, j)))
+    cells = [f"sum(gt * (ex_{i} - wbar * {model._mean_term(i)}))" for i in range(k)]
+    for p in ("1", "gt", "gt * gt"):
+        cells += [f"sum({p} * wbar * ({model._second_moment(i, j)} - {model._mean_product(i, j)}))"
                   for i, j in pairs(k)]
-    row = list(events.agg(*cells).first())
+    row = list(events.selectExpr(*cells).first())
     m = len(pairs(k))
     u = np.array(row[:k])
     i11, i12, i22 = (symmetric(row[k + b * m: k + (b + 1) * m], k) for b in range(3))
@@ -483,8 +439,7 @@ def schoenfeld_residuals(fit: CoxFit) -> DataFrame:
     plot of the coefficient against time.
     """
     model, k = fit.model, fit.model.k
-    events = _event_times(fit).select("s", "t", "gt", *[(model._mean_term(i) / F.col("d")).alias(f"xbar_{i}")
-                                                        for i in range(k)])
+    events = _event_times(fit).selectExpr("s", "t", "gt", *[f"{model._mean_term(i)} / d AS xbar_{i}" for i in range(k)])
     small = broadcast_if_small(events, MAX_DAY_ROWS)
     rows = model._scored(fit.beta).where("ev = 1").join(small, ["s", "t"])
     raw = [F.col(c) - F.col(f"xbar_{i}") for i, c in enumerate(model.x)]
