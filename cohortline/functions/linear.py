@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # up to this many columns the sums are plain aggregate expressions
@@ -25,26 +25,33 @@ def symmetric(values: Sequence[float], k: int) -> np.ndarray:
     return out
 
 
-def weighted_gram(df: DataFrame, weight: Column, columns: Sequence[Column]) -> np.ndarray:
-    """Sum over rows of weight * x x'. Only k*k numbers per partition are shuffled."""
+def sum_vectors(df: DataFrame, size: int, batch_vector: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
+    """Sum of a numpy vector over the batches of ``df``. Each partition ships ``size`` numbers."""
+
+    def partial(batches):
+        out = np.zeros(size)
+        for batch in batches:
+            if len(batch):
+                out += batch_vector(batch)
+        yield pd.DataFrame({"pos": np.arange(size), "value": out})
+
+    parts = df.mapInPandas(partial, "pos int, value double")
+    total = np.zeros(size)
+    for r in parts.groupBy("pos").agg(F.sum("value").alias("value")).collect():
+        total[r["pos"]] = r["value"]
+    return total
+
+
+def weighted_gram(df: DataFrame, weight: str, columns: Sequence[str]) -> np.ndarray:
+    """Sum over rows of weight * x x', for SQL expressions ``weight`` and ``columns``."""
     k = len(columns)
     if k <= MAX_EXPRESSION_COLUMNS:
-        named = df.select(weight.alias("_w"), *[c.alias(f"_x{i}") for i, c in enumerate(columns)])
-        sums = named.agg(*[F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")) for i, j in pairs(k)]).first()
+        sums = df.selectExpr(*[f"sum(({weight}) * ({columns[i]}) * ({columns[j]}))" for i, j in pairs(k)]).first()
         return symmetric([v or 0.0 for v in sums], k)
 
-    def partial(batches):
-        total = np.zeros((k, k))
-        for batch in batches:
-            x = batch.iloc[:, 1:].to_numpy(dtype=float)
-            total += x.T @ (batch.iloc[:, 0].to_numpy(dtype=float)[:, None] * x)
-        yield pd.DataFrame({"pos": np.arange(k * k), "value": total.ravel()})
-
-    named = df.select(weight.cast("double").alias("_w"),
-                      *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
-    parts = named.mapInPandas(partial, "pos int, value double")
-    rows = parts.groupBy("pos").agg(F.sum("value").alias("value")).collect()
-    out = np.zeros(k * k)
-    for r in rows:
-        out[r["pos"]] = r["value"]
-    return out.reshape(k, k)
+    def batch_vector(batch: pd.DataFrame) -> np.ndarray:
+        values = batch.to_numpy(dtype=float)
+        w, x = values[:, :1], values[:, 1:]
+        return (x.T @ (w * x)).ravel()
+
+    return sum_vectors(df.selectExpr(weight, *columns), k * k, batch_vector).reshape(k, k)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortline.functions.linear import pairs, symmetric, weighted_gram
+from cohortline.functions.linear import pairs, sum_vectors, symmetric, weighted_gram
 from cohortline.functions.sizing import broadcast_if_small, checked_small, cut_lineage, marked
 from cohortline.functions.tails import chi2_upper, normal_two_sided
 
@@ -111,18 +111,22 @@ class RiskModel:
             keys = [c for c in rows.columns if c != "w"]
             rows = rows.groupBy(*keys).agg(
                 F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"))
+            rows = cut_lineage(rows)
         else:
-            rows = rows.withColumns({"n": F.lit(1).cast("long"), "w2": F.col("w") * F.col("w")}).repartition("s")
-        self.rows = cut_lineage(rows).persist()
-        self._cached.append(self.rows)
-
-        facts = self.rows.agg(
+            # strata are small and many: keep each in one place through all iterations
+            rows = rows.withColumns({"n": F.lit(1).cast("long"), "w2": F.col("w") * F.col("w")})
+            rows = cut_lineage(rows).repartition("s")
+        facts = rows.agg(
             F.sum("n"), F.sum(F.when(F.col("ev") == 1, F.col("n"))), F.sum("w"),
             *[F.sum(F.col("w") * F.col(c)) for c in self.x]).first()
         self.n, self.events = int(facts[0] or 0), int(facts[1] or 0)
         if not self.events:
             raise ValueError("no events")
         self.means = np.array([v / facts[2] for v in facts[3:]])
+        # terms are centred once, for the numbers' sake and to keep the later plans narrow
+        kept = [c for c in rows.columns if c not in self.x]
+        self.rows = self._keep(rows.selectExpr(
+            *kept, *[f"{c} - {_number(m)} AS {c}" for c, m in zip(self.x, self.means)]).persist())
         self.censoring = self._censoring_km() if competing else None
 
     # -- helpers ------------------------------------------------------------------
@@ -136,12 +140,9 @@ class RiskModel:
         return df
 
     def _scored(self, beta: np.ndarray) -> DataFrame:
-        """Rows with centred terms, linear predictor and weighted relative hazard."""
-        centred = [f"({c} - {_number(m)})" for c, m in zip(self.x, self.means)]
-        eta = " + ".join(f"{_number(b)} * {c}" for b, c in zip(beta, centred))
-        own = ["s", "t", *(["t0"] if self.has_entry else []), "ev", "n", "w", "w2"]
-        return self.rows.selectExpr(*own, f"{eta} AS eta", f"w * exp({eta}) AS r",
-                                    *[f"{e} AS {c}" for e, c in zip(centred, self.x)])
+        """Rows with their linear predictor and weighted relative hazard."""
+        eta = " + ".join(f"{_number(b)} * {c}" for b, c in zip(beta, self.x))
+        return self.rows.selectExpr("*", f"{eta} AS eta").selectExpr("*", "w * exp(eta) AS r")
 
     def _censoring_km(self) -> DataFrame:
         """Left-continuous Kaplan-Meier of censoring per (stratum, day); events precede censoring."""
@@ -207,23 +208,35 @@ class RiskModel:
         """Log partial likelihood, score and information at ``beta``."""
         k = self.k
         day = self.day_table(beta)
-        if not self.second_order:
-            day = day.persist()
-        value = ["sum(eeta - wbar * ll)"]
-        value += [f"sum(ex_{i} - wbar * {self._mean_term(i)})" for i in range(k)]
-        spread = [self._mean_product(i, j) for i, j in pairs(k)]
         if self.second_order:
-            spread = [f"({self._second_moment(i, j)} - {m})" for (i, j), m in zip(pairs(k), spread)]
-        value += [f"sum(wbar * {m})" for m in spread]
-        row = [v or 0.0 for v in day.selectExpr(*value).first()]
-        loglik, score = row[0], np.array(row[1:k + 1])
-        info = symmetric(row[k + 1:], k)
-        if not self.second_order:
-            joined, hazard = self._with_hazard(beta, day, ["h"])
-            info = weighted_gram(joined, F.col("r") * F.col("exposure_h"), [F.col(c) for c in self.x]) - info
-            hazard.unpersist()
-            day.unpersist()
-        return loglik, score, info
+            value = ["sum(eeta - wbar * ll)"]
+            value += [f"sum(ex_{i} - wbar * {self._mean_term(i)})" for i in range(k)]
+            value += [f"sum(wbar * ({self._second_moment(i, j)} - {self._mean_product(i, j)}))" for i, j in pairs(k)]
+            row = [v or 0.0 for v in day.selectExpr(*value).first()]
+            return row[0], np.array(row[1:k + 1]), symmetric(row[k + 1:], k)
+        return self._evaluate_wide(beta, day.persist())
+
+    def _evaluate_wide(self, beta: np.ndarray, day: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
+        """The same for many terms: the second moments come from one pass over the rows, each
+        weighted by the hazard it was exposed to, instead of k(k+1)/2 sums per day."""
+        k = self.k
+        s1, e1, ex = ([f"{p}_{i}" for i in range(k)] for p in ("s1", "e1", "ex"))
+
+        def batch_vector(b):
+            a1, a2, b11, b12, b22, wbar = (b[c].to_numpy()[:, None] for c in ("a1", "a2", "b11", "b12", "b22", "wbar"))
+            s, e = b[s1].to_numpy(), b[e1].to_numpy()
+            score = (b[ex].to_numpy() - wbar * (a1 * s - a2 * e)).sum(axis=0)
+            cross = s.T @ (wbar * b12 * e)
+            spread = s.T @ (wbar * b11 * s) - cross - cross.T + e.T @ (wbar * b22 * e)
+            loglik = (b["eeta"] - b["wbar"] * b["ll"]).sum()
+            return np.concatenate([[loglik], score, spread.ravel()])
+
+        sums = sum_vectors(day.where("d > 0"), 1 + k + k * k, batch_vector)
+        joined, hazard = self._with_hazard(beta, day, ["h"])
+        info = weighted_gram(joined, "r * exposure_h", self.x) - sums[k + 1:].reshape(k, k)
+        hazard.unpersist()
+        day.unpersist()
+        return float(sums[0]), sums[1:k + 1], info
 
     def _with_hazard(self, beta: np.ndarray, day: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
         """Scored rows with the hazard each one was exposed to (``exposure_*``), and the cached
@@ -279,9 +292,9 @@ class RiskModel:
         day = self.day_table(beta, second_order=False)
         joined, hazard = self._with_hazard(beta, day, ["h", *[f"m_{i}" for i in range(self.k)]])
         residuals = [
-            F.expr(f"if(ev = 1, x{i} - xbar_{i}, 0D) - exp(eta) * (x{i} * exposure_h - exposure_m_{i})")
+            f"if(ev = 1, x{i} - xbar_{i}, 0D) - exp(eta) * (x{i} * exposure_h - exposure_m_{i})"
             for i in range(self.k)]
-        meat = weighted_gram(joined, F.col("w2"), residuals)
+        meat = weighted_gram(joined, "w2", residuals)
         hazard.unpersist()
         return meat
 
