@@ -54,4 +54,5 @@ def weighted_gram(df: DataFrame, weight: str, columns: Sequence[str]) -> np.ndar
         w, x = values[:, :1], values[:, 1:]
         return (x.T @ (w * x)).ravel()
 
-    return sum_vectors(df.selectExpr(weight, *columns), k * k, batch_vector).reshape(k, k)
+    named = [c if c.isidentifier() else f"{c} AS y{i}" for i, c in enumerate(columns)]
+    return sum_vectors(df.selectExpr(f"{weight} AS weight", *named), k * k, batch_vector).reshape(k, k)

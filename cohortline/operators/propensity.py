@@ -14,7 +14,7 @@ from cohortline.functions.order_statistics import nearest_even_rank, order_stati
 from cohortline.functions.sizing import cut_lineage
 
 
-def propensity_scores(df: DataFrame, arm: str, levels: Sequence[str], terms: Mapping[str, Column]) -> DataFrame:
+def propensity_scores(df: DataFrame, arm: str, levels: Sequence[str], terms: Mapping[str, str]) -> DataFrame:
     """One logistic fit per arm against the rest; adds ``ps_<arm>`` for every arm.
 
     Rows outside ``levels`` or with a missing term are left out. Terms that do not vary carry no
@@ -23,7 +23,7 @@ def propensity_scores(df: DataFrame, arm: str, levels: Sequence[str], terms: Map
     """
     names = [f"_z{i}" for i in range(len(terms))]
     rows = df.where(F.col(arm).isin(list(levels))).withColumns(
-        {n: c.cast("double") for n, c in zip(names, terms.values())}).dropna(subset=names)
+        {n: F.expr(e).cast("double") for n, e in zip(names, terms.values())}).dropna(subset=names)
     rows = cut_lineage(rows).persist()
     spread = rows.agg(*[F.max(n) > F.min(n) for n in names]).first()
     used = [n for n, varies in zip(names, spread) if varies]

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.linear import pairs, sum_vectors, symmetric, weighted_gram
@@ -50,9 +50,9 @@ def _number(value: float) -> str:
     return f"({float(value)!r}D)"
 
 
-def dummies(column: str, levels: Sequence[str]) -> dict[str, Column]:
-    """0/1 terms for every level but the first, the reference."""
-    return {f"{column}_{lvl}": (F.col(column) == lvl).cast("double") for lvl in levels[1:]}
+def dummies(column: str, levels: Sequence[str]) -> dict[str, str]:
+    """0/1 terms, as SQL expressions, for every level but the first, the reference."""
+    return {f"{column}_{lvl}": f"CAST({column} = '{lvl}' AS double)" for lvl in levels[1:]}
 
 
 @dataclass
@@ -79,9 +79,12 @@ class CoxFit:
 
 
 class RiskModel:
-    """Rows of a survival model and their per-day sums at a coefficient vector."""
+    """Rows of a survival model and their per-day sums at a coefficient vector.
 
-    def __init__(self, df: DataFrame, time: str, status: str, terms: Mapping[str, Column], weight: str | None = None,
+    ``terms`` maps the name of each coefficient to the SQL expression of its covariate.
+    """
+
+    def __init__(self, df: DataFrame, time: str, status: str, terms: Mapping[str, str], weight: str | None = None,
                  strata: str | None = None, entry: str | None = None, competing: bool = False,
                  collapse: bool = True):
         kinds = dict(df.dtypes)
@@ -104,7 +107,7 @@ class RiskModel:
             stratum.alias("s"), F.col(time).cast("int").alias("t"),
             *([F.col(entry).cast("int").alias("t0")] if entry else []),
             F.col(status).cast("int").alias("ev"), w.alias("w"),
-            *[terms[n].cast("double").alias(c) for n, c in zip(self.terms, self.x)],
+            *[F.expr(terms[n]).cast("double").alias(c) for n, c in zip(self.terms, self.x)],
         ).dropna()
         if collapse:
             # rows that agree in everything but the weight act as one
@@ -299,14 +302,14 @@ class RiskModel:
         return meat
 
 
-def cox(df: DataFrame, time: str, status: str, terms: Mapping[str, Column], weight: str | None = None,
+def cox(df: DataFrame, time: str, status: str, terms: Mapping[str, str], weight: str | None = None,
         strata: str | None = None, entry: str | None = None) -> CoxFit:
     """Weighted proportional hazards; a sandwich variance goes with weights."""
     model = RiskModel(df, time, status, terms, weight=weight, strata=strata, entry=entry)
     return model.fit(robust=weight is not None)
 
 
-def clogit(df: DataFrame, case: str, terms: Mapping[str, Column], sets: str = "match") -> CoxFit:
+def clogit(df: DataFrame, case: str, terms: Mapping[str, str], sets: str = "match") -> CoxFit:
     """Conditional logistic regression for sets with one case each.
 
     With one case per set the conditional likelihood is the partial likelihood of a model
@@ -316,7 +319,7 @@ def clogit(df: DataFrame, case: str, terms: Mapping[str, Column], sets: str = "m
     return model.fit()
 
 
-def fine_gray(df: DataFrame, time: str, status: str, terms: Mapping[str, Column]) -> CoxFit:
+def fine_gray(df: DataFrame, time: str, status: str, terms: Mapping[str, str]) -> CoxFit:
     """Subdistribution hazard of status 1 with competing status 2, without expanding rows.
 
     A subject with the competing event stays at risk with the weight G(t-)/G(T-) of the censoring

@@ -23,7 +23,7 @@ from cohortline.sources import tables as S
 from cohortline.sources.analysis_view import analysis
 
 LEVELS = ["None", "BrandA", "BrandB"]
-AGE = F.col("age") / 100
+AGE = "age / 100"
 ARM_TERMS = Y.dummies("arm", LEVELS)
 COX_TERMS = {**ARM_TERMS, "age": AGE}
 
@@ -56,8 +56,8 @@ ADJUSTMENT = ["dx_mi", "dx_chf", "dx_copd", "dx_dm_com0", "rx_av", "rx_ab", "rx_
               "infection_his"]
 
 
-def adjusted_terms(frame):
-    return {"age": AGE, "female": (F.col("sex") == "F").cast("double"), **{c: F.col(c) for c in ADJUSTMENT}}
+def adjusted_terms():
+    return {"age": AGE, "female": "CAST(sex = 'F' AS double)", **{c: c for c in ADJUSTMENT}}
 
 
 # --- rates -----------------------------------------------------------------------------
@@ -278,7 +278,7 @@ def weight_summary(spark, folder):
 def ps_scores(spark, folder):
     """Three logistic fits on the study covariates."""
     frame = study_frame(spark, folder)
-    scored = Q.propensity_scores(frame, "arm", LEVELS, adjusted_terms(frame))
+    scored = Q.propensity_scores(frame, "arm", LEVELS, adjusted_terms())
     return scored.select("patient_id", "arm", *[f"ps_{a}" for a in LEVELS])
 
 
@@ -378,7 +378,7 @@ def cox_stratified_score(spark, folder):
     return score_rows(spark, Y.RiskModel(frame, "time", "status", ARM_TERMS, weight="w", strata="band"))
 
 
-BRAND_TERMS = {"brand_1": F.col("brand_1"), "brand_2": F.col("brand_2")}
+BRAND_TERMS = {"brand_1": "brand_1", "brand_2": "brand_2"}
 
 
 @query(f"""WITH {SETS}, rowset AS (SELECT match, 1 AS t, tb AS ev,
@@ -389,7 +389,7 @@ BRAND_TERMS = {"brand_1": F.col("brand_1"), "brand_2": F.col("brand_2")}
 def clogit_score(spark, folder):
     """Conditional-likelihood score and information of the matched sets at zero."""
     sets = matched_sets(spark, folder).withColumn("_t", F.lit(1))
-    terms = {**BRAND_TERMS, "second_dose": F.col("second_dose")}
+    terms = {**BRAND_TERMS, "second_dose": "second_dose"}
     return score_rows(spark, Y.RiskModel(sets, "_t", "tb", terms, strata="match", collapse=False))
 
 
@@ -439,7 +439,7 @@ def schoenfeld_residuals(spark, folder):
 def fine_gray_fit(spark, folder):
     """Subdistribution model with the study covariates."""
     frame = study_frame(spark, folder)
-    return _coefficients(spark, Y.fine_gray(frame, "time", "estatus", {**ARM_TERMS, **adjusted_terms(frame)}))
+    return _coefficients(spark, Y.fine_gray(frame, "time", "estatus", {**ARM_TERMS, **adjusted_terms()}))
 
 
 @query()
@@ -460,7 +460,7 @@ def clogit_adjusted(spark, folder):
     counts = T.window_counts(D.encounters(spark, folder), sets, V.ENCOUNTER_CLASSES, V.UTILISATION_DAYS,
                              ["patient_id", "match"], anchor="admission_date")
     frame = sets.join(flags, keys).join(drugs, keys).join(counts, ["patient_id", "match"])
-    terms = {**BRAND_TERMS, **{c: F.col(c) for c in ADJUSTMENT if c != "infection_his"}}
+    terms = {**BRAND_TERMS, **{c: c for c in ADJUSTMENT if c != "infection_his"}}
     fit = Y.clogit(frame, "tb", terms)
     sets.unpersist()
     return _coefficients(spark, fit)
