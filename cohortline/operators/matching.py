@@ -22,6 +22,7 @@ from cohortline.functions.sizing import broadcast_if_small, cut_lineage
 from cohortline.operators.cohort import exclude
 
 MAX_CELL_DAYS = 500_000
+POOL_ROWS_PER_TASK = 200_000
 
 
 def control_pool(dx: DataFrame, cohort: DataFrame, cases: DataFrame, cutoff: Column,
@@ -89,21 +90,21 @@ def match_controls(cohort: DataFrame, case_var: str = "tb", age: str = "age", ag
     controls = cohort.where(F.col(case_var) == 0)
     pools = _pools(cases.select(*names).distinct(), controls, age, age_gap, date, date_gap, match_vars, key)
 
-    # Number each pool; the pools are read twice from here on, so they are written out once. The leading hash digits split a pool over up to 256 tasks; a bucket's rows
-    # are numbered on their own and shifted by the size of the buckets before it.
-    hashed = pools.withColumn("_h", _hash_text(F.lit(seed), *[F.col(n) for n in names], F.col(key)))
-    hashed = cut_lineage(hashed.withColumn("_bucket", F.substring("_h", 1, 2)))
-    by_cell = Window.partitionBy(*names)
-    sizes = hashed.groupBy(*names, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumns({
-        "_shift": F.sum("_n").over(by_cell.orderBy("_bucket")) - F.col("_n"),
-        "pool_size": F.sum("_n").over(by_cell),
-    })
+    # Number each pool; the pools are read several times from here on, so they are written out once.
+    # Leading hash digits split a large pool over several tasks: the rows of a bucket are numbered
+    # on their own and shifted by the size of the buckets before it. Small pools stay whole.
+    hashed = cut_lineage(pools.withColumn("_h", _hash_text(F.lit(seed), *[F.col(n) for n in names], F.col(key))))
+    totals = broadcast_if_small(hashed.groupBy(*names).agg(F.count(F.lit(1)).alias("pool_size")), MAX_CELL_DAYS)
+    digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("pool_size") / POOL_ROWS_PER_TASK))).cast("int")
+    bucketed = hashed.join(totals, names).withColumn("_digits", digits)
+    bucketed = bucketed.withColumn("_bucket", F.expr("substring(_h, 1, _digits)"))
+    sizes = bucketed.groupBy(*names, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*names).orderBy("_bucket")
+    shifts = sizes.select(*names, "_bucket", (F.sum("_n").over(before) - F.col("_n")).alias("_shift"))
     in_bucket = Window.partitionBy(*names, "_bucket").orderBy("_h", key)
-    numbered = hashed.withColumn("_rn", F.row_number().over(in_bucket)).join(sizes, [*names, "_bucket"]).select(
+    numbered = bucketed.withColumn("_rn", F.row_number().over(in_bucket)).join(shifts, [*names, "_bucket"]).select(
         *names, F.col(key).alias("control_id"), (F.col("_shift") + F.col("_rn") - 1).alias("_rank"))
 
-    totals = sizes.groupBy(*names).agg(F.max("pool_size").alias("pool_size"))
     start = F.conv(F.substring(_hash_text(F.lit(seed), F.col(key), F.col(date)), 1, 12), 16, 10).cast("long")
     slots = cases.join(totals, names, "left").withColumn("pool_size", F.coalesce("pool_size", F.lit(0)))
     slots = slots.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(k))))

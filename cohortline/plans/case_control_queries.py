@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortline.functions import fixed_values as V
+from cohortline.functions.sizing import cut_lineage
 from cohortline.operators import cohort as C
 from cohortline.operators import matching as M
 from cohortline.plans.registry import query
@@ -35,15 +36,15 @@ pool AS (SELECT d.* FROM v_dx_recent d
   WHERE d.source = '1.IP' AND (f.first_date IS NULL OR d.date < f.first_date))"""
 
 
-def _pool(spark, folder):
+def _pool(spark, folder, cases):
     dx = D.dx_recent(spark, folder)
-    return M.control_pool(dx, D.patients(spark, folder), _cases(spark, folder), _cutoff(), CODED)
+    return M.control_pool(dx, D.patients(spark, folder), cases, _cutoff(), CODED)
 
 
 @query(f"WITH {CASES} SELECT patient_id, rec_id, date, code FROM pool")
 def control_pool(spark, folder):
     """Inpatient records that may serve as controls."""
-    return _pool(spark, folder).select("patient_id", "rec_id", "date", "code")
+    return _pool(spark, folder, _cases(spark, folder)).select("patient_id", "rec_id", "date", "code")
 
 
 STACK = CASES + """,
@@ -57,8 +58,8 @@ stack AS (SELECT r.*, age, sex, date_1st, date_2nd FROM (
 def _stack(spark, folder):
     """Cases and control records with registry columns, known sex, adults."""
     people = C.adults(D.patients(spark, folder).where(F.col("sex").isin("M", "F")))
-    cases = _cases(spark, folder).select("patient_id", "date", F.col("code").alias("case_code"))
-    pool = _pool(spark, folder).select("patient_id", "date")
+    cases = cut_lineage(_cases(spark, folder).select("patient_id", "date", F.col("code").alias("case_code")))
+    pool = _pool(spark, folder, cases).select("patient_id", "date")
     stacked = M.stack_case_control(cases, pool)
     return stacked.join(people.select("patient_id", "age", "sex", "date_1st", "date_2nd"), "patient_id")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,3 +80,34 @@ def write_book(tables: Mapping[str, DataFrame], base: str, kind: str = "csv") ->
             df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{base}/{name}")
+
+
+@dataclass(frozen=True)
+class StudyTables:
+    """The linked tables of a study. History tables hold months, recent tables days.
+
+    registry: patient_id, age, sex, vaccinated, brand_1st, brand_2nd, date_1st, date_2nd,
+    index_date, index_date2, death_date. dx: patient_id, rec_id, date (date_ym), code, source,
+    ranking. rx: patient_id, rec_id, item_cd, bnf, days, disp_date (disp_ym). encounters:
+    patient_id, rec_id, date (date_ym), source. lab: patient_id, date, t_num, result.
+    """
+
+    registry: DataFrame
+    dx_hist: DataFrame
+    dx_recent: DataFrame
+    rx_hist: DataFrame
+    rx_recent: DataFrame
+    enc_hist: DataFrame
+    enc_recent: DataFrame
+    lab: DataFrame
+    class_rules: list[Rule]
+    item_rules: list[Rule]
+
+    def dx(self) -> DataFrame:
+        return combine_history(self.dx_hist, self.dx_recent, "date_ym", "date")
+
+    def rx(self) -> DataFrame:
+        return with_end_date(combine_history(self.rx_hist, self.rx_recent, "disp_ym", "disp_date"))
+
+    def encounters(self) -> DataFrame:
+        return combine_history(self.enc_hist, self.enc_recent, "date_ym", "date")
