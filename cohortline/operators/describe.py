@@ -72,7 +72,10 @@ def smd_rows(table: DataFrame) -> list[tuple]:
 
 
 def _smd(a: list, b: list) -> float | None:
-    if a[0]["level"] is None:
+    kind = "sd" if a[0]["level"] is None else "share"
+    if any(r[kind] is None for r in [*a, *b]):
+        return None
+    if kind == "sd":
         spread = np.sqrt((a[0]["sd"] ** 2 + b[0]["sd"] ** 2) / 2)
         gap = abs(a[0]["mean"] - b[0]["mean"])
         return float(gap / spread) if spread > 0 else None

@@ -67,7 +67,7 @@ def _with_rates(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Person-years are rounded to 0.1 before dividing, as in the published tables.
     """
-    per = lambda c: F.bround(c / F.col("person_years") * RATE_SCALE, 2)
+    per = lambda c: F.bround(F.try_divide(c, F.col("person_years")) * RATE_SCALE, 2)
     had = summary.where("n_event > 0")
     rates = had.select(
         *keys, "n_event", "n", "median_time", "q25_time", "q75_time", "person_years",
