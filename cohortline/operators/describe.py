@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.tails import chi2_upper
@@ -98,35 +97,32 @@ def contingency(df: DataFrame, variable: str, strata: Sequence[Sequence[str]]) -
     """
     columns = list(dict.fromkeys(c for s in strata for c in s))
     cells = df.dropna(subset=[variable, *columns]).groupBy(variable, *columns).agg(F.count(F.lit(1)).alias("_n"))
-    tables = []
-    for s in strata:
-        label = F.concat_ws(":", *[F.col(c).cast("string") for c in s])
-        tables.append(cells.select(F.lit("+".join(s)).alias("strata"), label.alias("stratum"),
-                                   F.col(variable).cast("string").alias("level"), "_n"))
-    stacked = reduce(DataFrame.unionAll, tables).groupBy("strata", "stratum", "level").agg(F.sum("_n").alias("n"))
-    totals = stacked.groupBy("strata", "stratum").agg(F.sum("n").alias("_total"))
-    return stacked.join(totals, ["strata", "stratum"]).select(
-        "strata", "stratum", "level", "n", (F.col("n") / F.col("_total")).alias("share"))
+    entries = [F.struct(F.lit("+".join(s)).alias("strata"),
+                        F.concat_ws(":", *[F.col(c).cast("string") for c in s]).alias("stratum")) for s in strata]
+    stacked = cells.select(F.inline(F.array(*entries)), F.col(variable).cast("string").alias("level"), "_n")
+    table = stacked.groupBy("strata", "stratum", "level").agg(F.sum("_n").alias("n"))
+    whole = F.sum("n").over(Window.partitionBy("strata", "stratum"))
+    return table.withColumn("share", F.col("n") / whole)
 
 
 def chisq(table: DataFrame) -> DataFrame:
     """Pearson statistic and degrees of freedom per stratification of a contingency table.
 
     A 2 x 2 table gets the continuity correction. Cells without rows need no entry: the sum of
-    O^2/E and the sum of 1/E follow from the margins.
+    O^2/E and the sum of 1/E follow from the margins. The table is as small as its categories.
     """
-    cells = table.select("strata", "stratum", "level", F.col("n").cast("double").alias("o"))
-    columns = cells.groupBy("strata", "stratum").agg(F.sum("o").alias("c"))
-    rows = cells.groupBy("strata", "level").agg(F.sum("o").alias("r"))
-    totals = columns.groupBy("strata").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("nc"),
-                                           F.sum(1 / F.col("c")).alias("inv_c"))
-    row_totals = rows.groupBy("strata").agg(F.count(F.lit(1)).alias("nr"), F.sum(1 / F.col("r")).alias("inv_r"))
-    joined = cells.join(columns, ["strata", "stratum"]).join(rows, ["strata", "level"]).join(totals, "strata")
+    in_column, in_row, in_table = (Window.partitionBy("strata", *c) for c in (["stratum"], ["level"], []))
+    cells = table.select("strata", "stratum", "level", F.col("n").cast("double").alias("o")).select(
+        "strata", "o", F.sum("o").over(in_column).alias("c"), F.sum("o").over(in_row).alias("r"),
+        F.sum("o").over(in_table).alias("total"), F.count("o").over(in_column).alias("in_c"),
+        F.count("o").over(in_row).alias("in_r"))
     expected = F.col("r") * F.col("c") / F.col("total")
-    sums = joined.groupBy("strata").agg(
+    facts = cells.groupBy("strata").agg(
         (F.sum(F.col("o") * F.col("o") / expected) - F.max("total")).alias("plain"),
-        F.max(F.abs(F.col("o") - expected)).alias("gap"))
-    facts = sums.join(totals, "strata").join(row_totals, "strata")
+        F.max(F.abs(F.col("o") - expected)).alias("gap"), F.max("total").alias("total"),
+        F.round(F.sum(1 / F.col("in_c"))).cast("long").alias("nc"),
+        F.round(F.sum(1 / F.col("in_r"))).cast("long").alias("nr"),
+        F.sum(1 / F.col("c") / F.col("in_c")).alias("inv_c"), F.sum(1 / F.col("r") / F.col("in_r")).alias("inv_r"))
     corrected = F.pow(F.col("gap") - F.least(F.lit(0.5), F.col("gap")), 2) * F.col("total") * F.col("inv_c") * F.col("inv_r")
     square = (F.col("nc") == 2) & (F.col("nr") == 2)
     return facts.select("strata", F.when(square, corrected).otherwise(F.col("plain")).alias("chisq"),

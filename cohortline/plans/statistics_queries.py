@@ -470,3 +470,96 @@ def clogit_adjusted(spark, folder):
 def coef_table(spark, folder):
     """Report rows of one crude fit, limits joined by term."""
     return _coefficients(spark, Y.cox(known_arm(spark, folder), "time", "status", ARM_TERMS))
+
+
+# --- fits with an oracle ------------------------------------------------------------------
+# With two exclusive 0/1 terms a risk set is described by three weights, so SQL can run the same
+# Newton steps over the event days.
+
+NEWTON_STEPS = 15
+
+
+def _fit_sql(per: str, terms: tuple[str, str]) -> str:
+    """Estimates from a table ``tied`` of (c0, c1, c2, wbar) per tied rank and ``total`` of (x1, x2)."""
+    den = "(c0 + c1 * exp(b1) + c2 * exp(b2))"
+    return f"""WITH RECURSIVE {per},
+newton AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2
+  UNION ALL
+  SELECT i + 1, b1 + (i22 * s1 - i12 * s2) / (i11 * i22 - i12 * i12), b2 + (i11 * s2 - i12 * s1) / (i11 * i22 - i12 * i12)
+  FROM (SELECT i, b1, b2, max(x1) - sum(wbar * m1) AS s1, max(x2) - sum(wbar * m2) AS s2,
+          sum(wbar * m1 * (1 - m1)) AS i11, sum(wbar * m2 * (1 - m2)) AS i22, -sum(wbar * m1 * m2) AS i12
+        FROM (SELECT i, b1, b2, x1, x2, wbar, c1 * exp(b1) / {den} AS m1, c2 * exp(b2) / {den} AS m2
+              FROM newton, tied, total WHERE i < {NEWTON_STEPS}) GROUP BY i, b1, b2)),
+last AS (SELECT b1, b2, sum(wbar * m1 * (1 - m1)) AS i11, sum(wbar * m2 * (1 - m2)) AS i22, -sum(wbar * m1 * m2) AS i12
+  FROM (SELECT b1, b2, wbar, c1 * exp(b1) / {den} AS m1, c2 * exp(b2) / {den} AS m2 FROM newton, tied
+        WHERE i = {NEWTON_STEPS}) GROUP BY b1, b2)
+SELECT '{terms[0]}' AS term, round(b1, 6) AS estimate, round(sqrt(i22 / (i11 * i22 - i12 * i12)), 6) AS std_error FROM last
+UNION ALL SELECT '{terms[1]}', round(b2, 6), round(sqrt(i11 / (i11 * i22 - i12 * i12)), 6) FROM last"""
+
+
+def _arms_per(source: str, stratum: str, weight: str) -> str:
+    """Risk sets by category 0, 1, 2 of ``source`` (s, t, ev, cat, w)."""
+    cats = ", ".join(f"coalesce(sum({weight}) FILTER (WHERE cat = {c}), 0) AS p{c}, "
+                     f"coalesce(sum({weight}) FILTER (WHERE cat = {c} AND ev = 1), 0) AS e{c}" for c in range(3))
+    back = ", ".join(f"sum(p{c}) OVER b AS r{c}" for c in range(3))
+    return f"""per AS (SELECT {stratum} AS s, t, {cats}, count(*) FILTER (WHERE ev = 1) AS d FROM {source} GROUP BY 1, 2),
+risk AS (SELECT *, {back} FROM per WINDOW b AS (PARTITION BY s ORDER BY t DESC)),
+tied AS (SELECT r0 - l / d * e0 AS c0, r1 - l / d * e1 AS c1, r2 - l / d * e2 AS c2, (e0 + e1 + e2) / d AS wbar
+  FROM (SELECT *, unnest(range(0, d)) AS l FROM risk WHERE d > 0)),
+total AS (SELECT sum(e1) AS x1, sum(e2) AS x2 FROM per)"""
+
+
+def _estimates(spark, fit):
+    table = report.coef_table(spark, fit).select("term", "estimate", "std_error")
+    fit.close()
+    return rounded(table)
+
+
+_ARM_CAT = "CASE arm WHEN 'None' THEN 0 WHEN 'BrandA' THEN 1 ELSE 2 END"
+_ARMS = tuple(_ARM_SQL)
+
+
+@query(_fit_sql(_arms_per(
+    f"(SELECT time AS t, status AS ev, w, {_ARM_CAT} AS cat FROM v_analysis WHERE arm IS NOT NULL)", "0", "w"), _ARMS))
+def cox_fit_by_arm(spark, folder):
+    """Weighted model on the arm alone."""
+    return _estimates(spark, Y.cox(known_arm(spark, folder), "time", "status", ARM_TERMS, weight="w"))
+
+
+@query(_fit_sql(_arms_per(
+    f"(SELECT age, time AS t, status AS ev, w, {_ARM_CAT} AS cat FROM v_analysis WHERE arm IS NOT NULL AND age >= 60)",
+    "age", "w"), _ARMS))
+def cox_fit_stratified(spark, folder):
+    """Weighted model on the arm with a baseline per integer age, among the old."""
+    old = known_arm(spark, folder).where(F.col("age") >= V.OLD_AGE)
+    return _estimates(spark, Y.cox(old, "time", "status", ARM_TERMS, weight="w", strata="age"))
+
+
+@query(_fit_sql(f"""{SETS},
+{_arms_per("(SELECT match, 1 AS t, tb AS ev, CASE WHEN vaccinated = 0 THEN 0 WHEN brand_1st = 'BrandA' THEN 1 ELSE 2 END AS cat FROM onset)", "match", "1")}""",
+                ("brand_1", "brand_2")))
+def clogit_fit_crude(spark, folder):
+    """Crude conditional logit of the matched sets."""
+    return _estimates(spark, Y.clogit(matched_sets(spark, folder), "tb", BRAND_TERMS))
+
+
+def _dead_weight(c: int) -> str:
+    return f"g * coalesce(sum(k{c} / g) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+
+
+@query(_fit_sql(f"""{FG},
+cat AS (SELECT b.t, b.st, {_ARM_CAT} AS cat FROM base b JOIN v_analysis USING (patient_id)),
+per2 AS (SELECT t, {", ".join(f"count(*) FILTER (WHERE cat = {c}) AS p{c}, count(*) FILTER (WHERE cat = {c} AND st = 1) AS e{c}, count(*) FILTER (WHERE cat = {c} AND st = 2) AS k{c}" for c in range(3))}
+  FROM cat GROUP BY t),
+risk2 AS (SELECT t, e0, e1, e2, e0 + e1 + e2 AS d,
+  {", ".join(f"sum(p{c}) OVER (ORDER BY t DESC) + {_dead_weight(c)} AS r{c}" for c in range(3))} FROM per2 JOIN km2 USING (t)),
+tied AS (SELECT r0 - l / d * e0 AS c0, r1 - l / d * e1 AS c1, r2 - l / d * e2 AS c2, 1 AS wbar
+  FROM (SELECT *, unnest(range(0, d)) AS l FROM risk2 WHERE d > 0)),
+total AS (SELECT sum(e1) AS x1, sum(e2) AS x2 FROM per2)""", _ARMS))
+def fine_gray_fit_by_arm(spark, folder):
+    """Subdistribution model on the arm alone."""
+    died = F.col("death_date") == F.col("censor_date")
+    frame = known_arm(spark, folder).withColumn(
+        "estatus", F.when(F.col("status") == 1, 1).when(died, 2).otherwise(0))
+    return _estimates(spark, Y.fine_gray(frame, "time", "estatus", ARM_TERMS))
