@@ -26,12 +26,13 @@ def tag_records(records: DataFrame, code: str, rules: Sequence[Rule],
     """
     tests = {r.name: find(F.col(code), r.regex, ignore_case=True) for r in rules}
     matched = any_of(list(tests.values()))
-    dictionary = records.select(code).distinct().where(matched).select(
-        code, *[t.alias(f"_is_{n}") for n, t in tests.items()])
-    dictionary, fits = checked_small(dictionary, max_dictionary)
+    # Both steps are cached: otherwise the planner moves the tests below the distinct, and infers
+    # them for the records from the join.
+    codes, fits = checked_small(records.select(code).distinct(), max_dictionary)
     if fits:
+        dictionary = codes.where(matched).select(code, *[t.alias(f"_is_{n}") for n, t in tests.items()]).persist()
         return records.join(F.broadcast(dictionary), code), {n: F.col(f"_is_{n}") for n in tests}
-    dictionary.unpersist()
+    codes.unpersist()
     return records.where(matched), tests
 
 

@@ -23,6 +23,7 @@ from cohortline.functions.sizing import broadcast_if_small, checked_small, cut_l
 from cohortline.functions.tails import chi2_upper, normal_two_sided
 
 MAX_DAY_ROWS = 200_000
+MAX_SET_ROWS = 10_000
 MAX_SECOND_ORDER = 8      # up to here the second-order sums are part of the day table
 TIE_CHUNK = 4096
 
@@ -116,9 +117,11 @@ class RiskModel:
                 F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"))
             rows = cut_lineage(rows)
         else:
-            # strata are small and many: keep each in one place through all iterations
-            rows = rows.withColumns({"n": F.lit(1).cast("long"), "w2": F.col("w") * F.col("w")})
-            rows = cut_lineage(rows).repartition("s")
+            rows = cut_lineage(rows.withColumns({"n": F.lit(1).cast("long"), "w2": F.col("w") * F.col("w")}))
+            largest = rows.groupBy("s").count().agg(F.max("count")).first()[0] or 0
+            if largest <= MAX_SET_ROWS:
+                # small sets stay in one place through all iterations; a large one is summed from everywhere
+                rows = rows.repartition("s")
         facts = rows.agg(
             F.sum("n"), F.sum(F.when(F.col("ev") == 1, F.col("n"))), F.sum("w"),
             *[F.sum(F.col("w") * F.col(c)) for c in self.x]).first()
