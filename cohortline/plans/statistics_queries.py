@@ -174,10 +174,10 @@ def weighted_table_one(spark, folder):
 @query(f"""{_table_sql('one')},
 arms AS (SELECT a.arm AS arm_a, b.arm AS arm_b FROM (SELECT DISTINCT arm FROM t1) a JOIN (SELECT DISTINCT arm FROM t1) b
          ON a.arm < b.arm),
-num AS (SELECT x.variable, arm_a, arm_b, abs(x.mean - y.mean) / sqrt((x.sd ** 2 + y.sd ** 2) / 2) AS smd
+num AS (SELECT x.variable, arm_a, arm_b, abs(x.mean - y.mean) / nullif(sqrt((x.sd ** 2 + y.sd ** 2) / 2), 0) AS smd
   FROM arms JOIN t1 x ON x.arm = arm_a AND x.level IS NULL JOIN t1 y ON y.arm = arm_b AND y.variable = x.variable AND y.level IS NULL),
 bin AS (SELECT x.variable, arm_a, arm_b,
-    abs(x.share - y.share) / sqrt((x.share * (1 - x.share) + y.share * (1 - y.share)) / 2) AS smd
+    abs(x.share - y.share) / nullif(sqrt((x.share * (1 - x.share) + y.share * (1 - y.share)) / 2), 0) AS smd
   FROM arms JOIN t1 x ON x.arm = arm_a AND x.level = '1' JOIN t1 y ON y.arm = arm_b AND y.variable = x.variable AND y.level = '1'),
 sx AS (SELECT arm, max(share) FILTER (WHERE level = 'M') AS m, max(share) FILTER (WHERE level = 'U') AS u
        FROM t1 WHERE variable = 'sex' GROUP BY arm),
@@ -189,7 +189,10 @@ alls AS (SELECT * FROM num UNION ALL SELECT * FROM bin UNION ALL
   SELECT variable, arm_a, arm_b, sqrt((dm * dm * vu - 2 * dm * du * c + du * du * vm) / (vm * vu - c * c)) FROM tri)
 SELECT variable, arm_a, arm_b, round(smd, 6) AS smd, round(avg(smd) OVER (PARTITION BY variable), 6) AS smd_mean FROM alls""")
 def smd(spark, folder):
-    """Standardised differences between the arms, per pair and averaged."""
+    """Standardised differences between the arms, per pair and averaged.
+
+    A variable that does not vary in either arm has no difference (NULL) and stays out of the mean.
+    """
     return rounded(B.smd(spark, _table(spark, folder)))
 
 
