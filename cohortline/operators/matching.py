@@ -121,6 +121,11 @@ def match_wide(matched: DataFrame, k: int = V.CONTROLS_PER_CASE) -> DataFrame:
     return wide.select(*ids, *[F.col(str(i)).alias(f"M{i}") for i in range(1, k + 1)])
 
 
+def drawn_controls(matched: DataFrame) -> DataFrame:
+    """Filled slots of :func:`match_controls` without self-matches; what wide and long again give."""
+    return matched.where(F.col("control_id") != F.col("case_id"))
+
+
 def match_long(wide: DataFrame, k: int = V.CONTROLS_PER_CASE) -> DataFrame:
     """Back to one row per drawn control, without empty slots and self-matches."""
     slots = [f"M{i}" for i in range(1, k + 1)]

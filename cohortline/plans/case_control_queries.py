@@ -95,7 +95,7 @@ matched AS (SELECT s.case_id, s.sex, s.age, s.date, CAST(s.pool_size AS BIGINT)
 
 
 def _matched(spark, folder):
-    return M.match_controls(_stack(spark, folder), date_gap=DATE_GAP)
+    return M.match_controls(cut_lineage(_stack(spark, folder)), date_gap=DATE_GAP)
 
 
 @query(f"WITH {MATCH} SELECT * FROM matched")
@@ -158,11 +158,10 @@ onset AS (SELECT *, CASE WHEN vaccinated = 1 THEN CAST(date_diff('day',
 
 def matched_sets(spark, folder):
     """Case and control rows of every matched set with dose status at the case's admission date."""
-    matched = _matched(spark, folder)
-    cases = matched.where("m = 1").select(
-        F.col("case_id").alias("patient_id"), "date", "age", "sex", F.col("case_id").alias("match"))
-    long = M.match_long(M.match_wide(matched))
-    controls = long.select(F.col("control_id").alias("patient_id"), "date", "age", "sex", F.col("case_id").alias("match"))
+    stack = cut_lineage(_stack(spark, folder))
+    drawn = M.drawn_controls(M.match_controls(stack, date_gap=DATE_GAP))
+    cases = stack.where("tb = 1").select("patient_id", "date", "age", "sex", F.col("patient_id").alias("match"))
+    controls = drawn.select(F.col("control_id").alias("patient_id"), "date", "age", "sex", F.col("case_id").alias("match"))
     rows = cases.unionByName(controls).withColumnRenamed("date", "admission_date")
     rows = rows.join(D.patients(spark, folder).select("patient_id", "brand_1st", "date_1st", "date_2nd"), "patient_id")
     rows = C.dose_status(rows, "admission_date", strict=True).withColumn("tb", M.case_label())

@@ -59,7 +59,7 @@ def case_control_rows(t: StudyTables, start: str = V.CASE_CONTROL_START, pattern
 def matched_rows(rows: DataFrame, registry: DataFrame, **gaps) -> DataFrame:
     """Cases and their drawn controls, both dated by the case's admission."""
     matched = cut_lineage(M.match_controls(rows, **gaps))
-    long = M.match_long(M.match_wide(matched))
+    long = M.drawn_controls(matched)
     people = registry.withColumn("age", (F.col("age") - 1).cast("int")).select(*REGISTRY)
     controls = M.attach_registry(long, people).withColumnRenamed("case_id", "match")
     cases = rows.where("tb = 1").select("date", *REGISTRY, F.col("patient_id").alias("match"))
