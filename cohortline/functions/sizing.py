@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +37,15 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="cohortline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        return _own_folder()
     return folder
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="cohortline-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from the written table.
 

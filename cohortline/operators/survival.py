@@ -24,6 +24,7 @@ from cohortline.functions.tails import chi2_upper, normal_two_sided
 
 MAX_DAY_ROWS = 200_000
 MAX_SET_ROWS = 10_000
+MAX_CURVE_DAYS = 2_000      # each day carries the later change points
 MAX_SECOND_ORDER = 8      # up to here the second-order sums are part of the day table
 TIE_CHUNK = 4096
 
@@ -376,8 +377,8 @@ def fine_gray_rows(df: DataFrame, time: str = "etime", status: str = "estatus",
     """Start/stop rows of the subdistribution model with their censoring weights.
 
     A subject with the competing event (2) goes on to the last day with an event of interest and
-    is cut wherever the censoring curve drops; everybody else keeps one row. The curve has one
-    entry per day of follow-up, so its change points fit into one array per stratum.
+    is cut wherever the censoring curve drops; everybody else keeps one row and meets no join. The
+    curve has one entry per day of follow-up.
     """
     s = F.lit(0) if strata is None else F.col(strata)
     base = df.withColumns({"s": s, "t": F.col(time)})
@@ -387,26 +388,25 @@ def fine_gray_rows(df: DataFrame, time: str = "etime", status: str = "estatus",
     curve = censoring_curve(per_day)
     last = F.max(F.when(F.col("d") > 0, F.col("t"))).over(Window.partitionBy("s"))
     curve = curve.withColumn("last_event", last)
-    drops = curve.groupBy("s").agg(
-        F.max("last_event").alias("last_event"),
-        F.sort_array(F.collect_list(F.when((F.col("c") > 0) & (F.col("t") < F.col("last_event")),
-                                           F.struct("t", "g_after")))).alias("drops"))
-    small = broadcast_if_small(curve.select("s", "t", "g"), MAX_DAY_ROWS)
-    lists = broadcast_if_small(drops, MAX_DAY_ROWS)
-    joined = base.join(lists, "s").join(small, ["s", "t"])
-    own = F.filter("drops", lambda p: p["t"] >= F.col("t"))
+    # per day: where the curve drops from that day on, up to the last event of interest
+    drop = F.when((F.col("c") > 0) & (F.col("t") < F.col("last_event")), F.struct("t", "g_after"))
+    onward = Window.partitionBy("s").orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+    curve = curve.select("s", "t", "g", "last_event", F.collect_list(drop).over(onward).alias("drops"))
+    curve = broadcast_if_small(curve, MAX_CURVE_DAYS)
+
+    whole = [F.lit(0).alias("fgstart"), F.col("t").cast("int").alias("fgstop"),
+             (F.col(status) == 1).cast("int").alias("fgstatus"), F.lit(1.0).alias("fgwt")]
+    single = base.where(F.col(status) != 2).select(*df.columns, *whole)
     stop = F.greatest(F.col("t"), F.col("last_event"))
-    starts = F.concat(F.array(F.struct(F.lit(0).alias("t"), F.col("g").alias("g_after"))), own)
+    starts = F.concat(F.array(F.struct(F.lit(0).alias("t"), F.col("g").alias("g_after"))), F.col("drops"))
     pieces = F.transform(starts, lambda p, i: F.struct(
         p["t"].cast("int").alias("fgstart"),
-        F.coalesce(F.get(own, i)["t"], stop).cast("int").alias("fgstop"),
+        F.coalesce(F.get("drops", i)["t"], stop).cast("int").alias("fgstop"),
         (p["g_after"] / F.col("g")).alias("fgwt")))
-    single = F.array(F.struct(F.lit(0).alias("fgstart"), F.col("t").cast("int").alias("fgstop"),
-                              F.lit(1.0).alias("fgwt")))
-    cut = (F.col(status) == 2) & (F.col("t") < F.col("last_event"))
-    rows = joined.withColumn("piece", F.explode(F.when(cut, pieces).otherwise(single)))
-    return rows.select(*df.columns, "piece.fgstart", "piece.fgstop",
-                       (F.col(status) == 1).cast("int").alias("fgstatus"), "piece.fgwt")
+    competing = base.where(F.col(status) == 2).join(curve, ["s", "t"])
+    cut = competing.withColumn("piece", F.explode(pieces)).select(
+        *df.columns, "piece.fgstart", "piece.fgstop", F.lit(0).alias("fgstatus"), "piece.fgwt")
+    return single.unionByName(cut)
 
 
 # --- diagnostics ----------------------------------------------------------------------

@@ -293,3 +293,27 @@ def test_years_codebook_and_sinks(spark, tmp_path):
 def test_hash_text_is_portable(spark):
     got = spark.range(1).select(M._hash_text(F.lit(475), F.lit("M"), F.lit(D0))).first()[0]
     assert got == duckdb.sql("select md5(concat_ws('|', '475', 'M', DATE '2021-06-01'))").fetchall()[0][0]
+
+
+def test_lineage_folder(spark, monkeypatch):
+    from cohortline.functions import sizing
+
+    class Conf:
+        def __init__(self, folder):
+            self.folder = folder
+
+        def get(self, key, default=None):
+            return self.folder or default
+
+    class Session:
+        def __init__(self, folder, master):
+            self.conf = Conf(folder)
+            self.sparkContext = type("Context", (), {"master": master})
+
+    assert sizing.shared_folder(Session("hdfs://shared/ckpt", "yarn")) == "hdfs://shared/ckpt"
+    own = sizing.shared_folder(Session(None, "local[8]"))
+    assert own == sizing.shared_folder(Session(None, "local[8]"))
+    with pytest.raises(RuntimeError):
+        sizing.shared_folder(Session(None, "yarn"))
+    df = spark.createDataFrame([(1, None), (2, "a")], "k int, v string")
+    assert sorted(sizing.cut_lineage(df).collect()) == sorted(df.collect())
