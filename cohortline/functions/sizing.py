@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,30 +27,39 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """This application's folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    A session without that setting uses its warehouse, which all executors share as well.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        return _own_folder()
-    return folder
-
-
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="cohortline-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/_cohortline/{spark.sparkContext.applicationId}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from the written table.
 
     What is planned on top neither repeats the work so far nor depends on executors that hold it,
-    and reads only the columns it needs.
+    and reads only the columns it needs. ``drop_cut`` removes the table when nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_cut(*tables: DataFrame) -> None:
+    """Remove tables written by ``cut_lineage``."""
+    for table in tables:
+        _delete(table.sparkSession, table.cut_path)
+
+
+def drop_all_cuts(spark: SparkSession) -> None:
+    """Remove every table this application has written; its results must have been read before."""
+    _delete(spark, shared_folder(spark))
