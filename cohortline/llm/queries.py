@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import bpe
+from cohortline.llm import bpe, simhash
 from cohortline.llm.common import read_table
 
 QUERIES: dict = {}
@@ -26,6 +26,12 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return read_table(spark, folder, "documents").select(*(columns or ["doc_id", "text"]))
 
 
+@query("op2_simhash_groups")
+def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, folder))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 @query("op3_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
