@@ -23,6 +23,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -191,7 +192,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
                 batch = whole.slice(start, 1024)
                 column = batch.column(ids)
                 values = column.values.to_pylist() if not column.offset else column.flatten().to_pylist()
-                ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
                 if column.offset or len(values) != (ends[-1] if len(ends) else 0):
                     values = column.flatten().to_pylist()
                 starts = [0, *ends[:-1].tolist()]

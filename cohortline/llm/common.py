@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ def sliced(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
         if batch.nbytes <= limit:
             yield batch
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start, size = 0, 0
         for row, length in enumerate(lengths):
             if size and size + length > limit:
