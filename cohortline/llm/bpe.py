@@ -3,10 +3,11 @@
 A vocabulary file in the ``tokenizers`` JSON format gives tokens, merges and special tokens. Text is cut at special
 tokens, composed (NFC), lower-cased and split into words; each word is encoded on its own.
 
-The merges of a short word work on one contiguous array: the token ids between part boundaries, and beside them the rank
-of each adjacent pair. The smallest rank is found by scanning, its boundary deleted, and the two neighbouring ranks are
-looked up again. Words beyond ``SHORT_WORD`` bytes use the same rule with a heap over linked parts, since scanning
-would cost the square of their length.
+The merges work on contiguous arrays: the token ids between part boundaries, and beside them the rank of each adjacent
+pair. The smallest rank is found by scanning, its boundary deleted, and the two neighbouring ranks are looked up again.
+New words of one length are rows of one matrix and take these steps together; a word leaves the matrix when no pair is
+left. Words beyond ``SHORT_WORD`` bytes use the same rule with a heap over linked parts, since scanning would cost the
+square of their length.
 
 Defined cases: a null text is encoded as an empty one; an empty text has no ids and decodes to an empty text; repeated
 rows are encoded each; other columns stay, and columns named as an output are replaced.
@@ -18,7 +19,6 @@ import heapq
 import json
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import repeat
 from struct import pack
 
 import numpy as np
@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
@@ -34,6 +35,8 @@ from cohortline.llm.common import WordCache, appended, arrow_schema, sliced
 
 #: Words up to this many bytes are merged by scanning the rank array.
 SHORT_WORD = 96
+#: Words of one length that are merged together.
+ROWS = 1 << 14
 #: No pair.
 NO_RANK = 1 << 30
 #: White space as the split pattern knows it; str.split() would also cut at these four separators.
@@ -50,19 +53,67 @@ def byte_alphabet() -> list[str]:
     return [chars[b] for b in range(256)]
 
 
-def merged(ids: list[int], rank_of: dict[tuple[int, int], int], joined: list[int]) -> list[int]:
-    """Merge the parts of one short word in place; ``joined`` has the id that a pair of some rank becomes."""
-    get = rank_of.get
-    ranks = list(map(get, zip(ids, ids[1:], strict=False), repeat(NO_RANK)))
-    while ranks and (best := min(ranks)) != NO_RANK:
-        at = ranks.index(best)
-        ids[at] = joined[best]
-        del ids[at + 1], ranks[at]
-        if at < len(ranks):
-            ranks[at] = get((ids[at], ids[at + 1]), NO_RANK)
-        if at:
-            ranks[at - 1] = get((ids[at - 1], ids[at]), NO_RANK)
-    return ids
+class Pairs:
+    """Rank and merged id of a pair of ids, for whole arrays, from an open-addressing table."""
+
+    def __init__(self, merges: list[tuple[int, int, int]]):
+        bits = max(8, (4 * len(merges)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.rank = np.full(1 << bits, NO_RANK, np.int32)
+        self.joined = np.array([m[2] for m in merges] or [0], np.int32)
+        for rank, (a, b, _) in enumerate(merges):
+            at = int(self._slot(np.array([a << 32 | b]))[0])
+            while self.key[at] >= 0:
+                at = at + 1 & self.last
+            self.key[at], self.rank[at] = a << 32 | b, rank
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 32 | b
+        at = self._slot(key)
+        there = self.key[at]
+        out = np.where(there == key, self.rank[at], NO_RANK).astype(np.int32)
+        open_ = np.nonzero((there != key) & (there >= 0))
+        while len(open_[0]):
+            at[open_] = at[open_] + 1 & self.last
+            there = self.key[at[open_]]
+            hit = there == key[open_]
+            out[tuple(x[hit] for x in open_)] = self.rank[at[open_]][hit]
+            going = ~hit & (there >= 0)
+            open_ = tuple(x[going] for x in open_)
+        return out
+
+
+def merged(ids: np.ndarray, pairs: Pairs) -> list[bytes]:
+    """Merge words of equal length, one in each row of ``ids``; the results as little-endian 32-bit ids."""
+    out: list = [b""] * len(ids)
+    place = np.arange(len(ids))
+    ranks = pairs.ranks(ids[:, :-1], ids[:, 1:])
+    while len(place):
+        width = ids.shape[1]
+        at = ranks.argmin(axis=1) if width > 1 else np.zeros(len(ids), np.int64)
+        best = ranks[np.arange(len(ids)), at] if width > 1 else np.full(len(ids), NO_RANK)
+        if (over := best == NO_RANK).any():
+            data, size = ids[over].astype("<i4").tobytes(), 4 * width
+            for i, row in enumerate(place[over].tolist()):
+                out[row] = data[i * size:(i + 1) * size]
+            going = ~over
+            ids, ranks, place, at, best = ids[going], ranks[going], place[going], at[going], best[going]
+            if not len(place):
+                break
+        row = np.arange(len(ids))
+        ids[row, at] = pairs.joined[best]
+        after = np.arange(width - 1)
+        ids = np.take_along_axis(ids, after + (after > at[:, None]), axis=1)
+        after = np.arange(width - 2)
+        ranks = np.take_along_axis(ranks, after + (after >= at[:, None]), axis=1)
+        right, left = np.flatnonzero(at < width - 2), np.flatnonzero(at > 0)
+        ranks[right, at[right]] = pairs.ranks(ids[right, at[right]], ids[right, at[right] + 1])
+        ranks[left, at[left] - 1] = pairs.ranks(ids[left, at[left] - 1], ids[left, at[left]])
+    return out
 
 
 def merged_long(ids: list[int], rank_of: dict[tuple[int, int], int], joined: list[int]) -> list[int]:
@@ -88,7 +139,7 @@ def merged_long(ids: list[int], rank_of: dict[tuple[int, int], int], joined: lis
 
 
 class WordBpe:
-    """Encoder and decoder for one vocabulary file with lower-casing, word splitting and a word-end suffix."""
+    """Encoder for one vocabulary file with lower-casing, word splitting and a word-end suffix."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -99,9 +150,10 @@ class WordBpe:
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank_of = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(merges)}
         self.joined = [vocab[a + b] for a, b in merges]
+        self.pairs = Pairs([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         chars = byte_alphabet()
-        self.inner = [vocab[c] for c in chars]
-        self.last = [vocab[c + suffix] for c in chars]
+        self.inner = np.array([vocab[c] for c in chars], np.int32)
+        self.last = np.array([vocab[c + suffix] for c in chars], np.int32)
         # the file's split pattern, with the white space class spelled out
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split["pattern"]["Regex"].replace("\\s", "\\p{White_Space}"))
@@ -112,20 +164,33 @@ class WordBpe:
         for token, number in [*vocab.items(), *self.specials.items()]:
             self.tokens[number] = token
         self.normalizer = Tokenizer.from_file(path).normalizer
-        self.words = WordCache(self._word, 300_000)
-        self.chunks = WordCache(self._chunk, 500_000)
-
-    def _word(self, word: str) -> list[int]:
-        data = word.encode("utf-8")
-        ids = [self.inner[b] for b in data[:-1]]
-        ids.append(self.last[data[-1]])
-        return (merged if len(ids) <= SHORT_WORD else merged_long)(ids, self.rank_of, self.joined)
-
-    def _chunk(self, chunk: str) -> bytes:
-        words = self.words
-        found = [w for w, _ in self.splitter.pre_tokenize_str(chunk)] if OTHER.search(chunk) else self.word.findall(chunk)
-        ids = words[found[0]] if len(found) == 1 else [i for w in found for i in words[w]]
-        return pack(f"<{len(ids)}i", *ids)
+        self.words, self.chunks = WordCache(100_000), WordCache(250_000)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        data = [w.encode("utf-8") for w in words]
+        by_length: dict[int, list[int]] = {}
+        for i, word in enumerate(data):
+            by_length.setdefault(len(word), []).append(i)
+        out: list = [b""] * len(words)
+        for length, rows in by_length.items():
+            for start in range(0, len(rows), ROWS):
+                some = rows[start:start + ROWS]
+                codes = np.frombuffer(b"".join([data[i] for i in some]), np.uint8).reshape(len(some), length)
+                ids = self.inner[codes]
+                ids[:, -1] = self.last[codes[:, -1]]
+                if length <= SHORT_WORD:
+                    done = merged(ids, self.pairs)
+                else:
+                    done = [np.array(merged_long(x.tolist(), self.rank_of, self.joined), "<i4").tobytes() for x in ids]
+                for i, value in zip(some, done, strict=True):
+                    out[i] = value
+        return out
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        split, find = self.splitter.pre_tokenize_str, self.word.findall
+        found = [[w for w, _ in split(c)] if not c.isascii() and OTHER.search(c) else find(c) for c in chunks]
+        ids = iter(self.words.values([w for words in found for w in words], self._words))
+        return [next(ids) if len(words) == 1 else b"".join([next(ids) for _ in words]) for words in found]
 
     def normalised(self, text: str) -> str:
         """Composed and in lower case, character by character."""
@@ -135,22 +200,26 @@ class WordBpe:
             return text.lower()
         return self.normalizer.normalize_str(text)
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
-        if "<|" in text and self.special.search(text):
-            return b"".join(pack("<i", self.specials[p]) if p in self.specials else self._plain(p)
-                            for p in self.special.split(text) if p)
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        text = self.normalised(text)
-        if SEPARATORS.search(text):
-            return self._chunk(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
-
-    def decode(self, ids: np.ndarray) -> str:
-        """Tokens joined by spaces; a file with a decoder of its own is not read by this class."""
-        return " ".join(map(self.tokens.__getitem__, ids.tolist()))
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers; none for a null."""
+        special, whole = {}, []
+        for i, text in enumerate(texts):
+            if text and "<|" in text and self.special.search(text):
+                special[i] = [p for p in self.special.split(text) if p]
+                whole += [p for p in special[i] if p not in self.specials]
+            else:
+                whole.append(text or "")
+        parts = iter(self._plain(whole))
+        return [
+            b"".join([pack("<i", self.specials[p]) if p in self.specials else next(parts) for p in special[i]]) if i in special else next(parts)
+            for i in range(len(texts))
+        ]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        lists = [[t] if SEPARATORS.search(t) else t.split() for t in map(self.normalised, texts)]
+        ids = self.chunks.values([c for chunks in lists for c in chunks], self._chunks)
+        ends = np.cumsum([len(x) for x in lists], dtype=np.int64).tolist()
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 @cache
@@ -169,9 +238,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     arrow = arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = coder(path).encode
+        encode_texts = coder(path).encode
         for batch in sliced(batches, text):
-            found = [encode_text(x) if x else b"" for x in batch.column(text).to_pylist()]
+            found = encode_texts(batch.column(text).to_pylist())
             offsets = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
             values = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
@@ -181,22 +250,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """The rows with the text of ``ids`` in ``text``; null ids count as none."""
-    schema = appended(encoded.schema, T.StructField(text, T.StringType(), False))
-    arrow = arrow_schema(schema)
+    """The rows with the tokens of ``ids``, joined by spaces, in ``text``; null ids count as none.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = coder(path).tokens.__getitem__
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                column = batch.column(ids)
-                values = column.values.to_pylist() if not column.offset else column.flatten().to_pylist()
-                ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
-                if column.offset or len(values) != (ends[-1] if len(ends) else 0):
-                    values = column.flatten().to_pylist()
-                starts = [0, *ends[:-1].tolist()]
-                texts = [" ".join(map(tokens, values[a:b])) for a, b in zip(starts, ends.tolist(), strict=True)]
-                yield _replaced(batch, arrow, text, pa.array(texts, pa.string()))
-
-    return encoded.mapInArrow(run, schema)
+    A lookup in the vocabulary, which is a constant of the plan, of bounded size: no Python runs.
+    """
+    tokens = F.split(F.lit("\0".join(coder(path).tokens)), "\0", -1)
+    joined = F.array_join(F.transform(F.col(ids), lambda i: F.get(tokens, i)), " ")
+    return encoded.withColumn(text, F.coalesce(joined, F.lit("")))

@@ -63,22 +63,25 @@ def key_as_text(column) -> F.Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-class WordCache(dict):
-    """A dictionary that fills itself with ``make(word)`` and keeps two generations of bounded size.
+class WordCache:
+    """Values by word in two generations of bounded size.
 
     What has not been asked for during a whole generation is forgotten, so memory does not follow the vocabulary.
     """
 
-    def __init__(self, make, size: int = 400_000):
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
-
-    def __missing__(self, word):
-        value = self.old.get(word)
-        if value is None:
-            value = self.make(word)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[word] = value
-        return value
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def values(self, words: list, make) -> list:
+        """One value for each word; ``make`` gets the list of distinct unknown words and returns their values."""
+        if len(self.new) > self.size:
+            self.old, self.new = self.new, {}
+        found = list(map(self.new.get, words))
+        if None in found:
+            late = {w for w, v in zip(words, found, strict=True) if v is None}
+            kept = {w: v for w in late if (v := self.old.get(w)) is not None}
+            unknown = [w for w in late if w not in kept]
+            self.new.update(kept)
+            self.new.update(zip(unknown, make(unknown), strict=True))
+            found = [self.new[w] if v is None else v for w, v in zip(words, found, strict=True)]
+        return found
