@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.llm import bpe, simhash
+from cohortline.llm import quality_ledger as quality
 from cohortline.llm.common import read_table
 
 QUERIES: dict = {}
@@ -42,3 +43,34 @@ def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+QUALITY_SQL = """
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+g AS (SELECT k, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
+h AS (SELECT k, i, words[i:i + 2] AS words3 FROM g),
+d AS (SELECT k, i, count(*) OVER (PARTITION BY k, words3) AS n FROM h),
+r AS (SELECT k, count(DISTINCT p) AS n_repeat_words FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM d WHERE n > 1) GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+             CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN r USING (k)),
+f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
+      + 8 * (n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT AS BIGINT) AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures
+FROM f
+"""
+
+
+@query("op8_quality_ledger", QUALITY_SQL)
+def quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    entries = quality.ledger(documents(spark, folder))
+    base = quality.passes(quality.BASE)
+    return entries.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~base).alias("base_failed"), (base & quality.passes(quality.STANDARD)).alias("kept"), "failures",
+    )
