@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import bpe, simhash
+from cohortline.llm import bpe, packing, simhash
 from cohortline.llm import quality_ledger as quality
 from cohortline.llm.common import read_table
 
@@ -45,6 +45,17 @@ def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_harmonic_packing")
+def harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(documents(spark, folder))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Each piece with a checksum in place of its ids, so that ids need not move."""
+    pieces = packing.cut(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 QUALITY_SQL = """
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
