@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import bpe, packing, simhash
+from cohortline.functions.sizing import cut_lineage, shared_folder
+from cohortline.llm import bpe, packing, simhash, token_rollup, toxicity
 from cohortline.llm import quality_ledger as quality
 from cohortline.llm.common import read_table
 
@@ -27,6 +30,34 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return read_table(spark, folder, "documents").select(*(columns or ["doc_id", "text"]))
 
 
+LICENCE_LINE = "(^|\\n)Licensed under [^\\n]*"
+
+
+@query("op1_token_rollup")
+def token_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after four loads, one of them delivered twice, the removal of exact copies, and counts revised without licence lines."""
+    docs = documents(spark, folder, "doc_id", "source", "lang", "text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = docs.withColumn("text", F.regexp_replace("text", LICENCE_LINE, "")).withColumn("kind", F.lit("plain"))
+    changed = docs.where(F.col("text").rlike(LICENCE_LINE)).select("doc_id").withColumn("changed", F.lit(True))
+    both = docs.withColumn("kind", F.lit("whole")).union(plain.join(changed, "doc_id", "left_semi").select(*docs.columns, "kind"))
+    counted = token_rollup.bpe_counts(both.withColumn("words", token_rollup.word_counts()).withColumn("digest", F.sha2("text", 256)), path, out="bpe")
+    counts = cut_lineage(counted.drop("text"))
+    whole = counts.where("kind = 'whole'")
+    rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    versions = {"byte_bpe_50k": "bpe", "words-1": "words"}
+    for part in [0, 1, 2, 3, 2]:
+        some = whole.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == part)
+        rollup.commit(f"load-{part}", *[token_rollup.inserted(some, v, c) for v, c in versions.items()])
+    first = whole.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = whole.join(first, "digest").where(F.col("doc_id") > F.col("first"))
+    rollup.commit("copies", *[token_rollup.deleted(copies, v, c) for v, c in versions.items()])
+    new = counts.where("kind = 'plain'").select("doc_id", F.col("bpe").alias("new_bpe"), F.col("words").alias("new_words"))
+    kept = whole.join(first, "digest").where(F.col("doc_id") == F.col("first")).join(new, "doc_id")
+    rollup.commit("licences", *[token_rollup.revised(kept, v, c, f"new_{c}") for v, c in versions.items()])
+    return rollup.totals()
+
+
 @query("op2_simhash_groups")
 def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder))
@@ -85,3 +116,14 @@ def quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~base).alias("base_failed"), (base & quality.passes(quality.STANDARD)).alias("kept"), "failures",
     )
+
+
+@query("op6_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    weights = toxicity.fit(docs, read_table(spark, folder, "labels"))
+    found = toxicity.scored(docs, weights)
+    return found.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
