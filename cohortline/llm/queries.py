@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.functions.sizing import cut_lineage, shared_folder
-from cohortline.llm import bpe, packing, simhash, token_rollup, toxicity
+from cohortline.llm import bpe, packing, perspectives, simhash, token_rollup, toxicity
 from cohortline.llm import quality_ledger as quality
 from cohortline.llm.common import read_table
 
@@ -127,3 +127,23 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+PERSPECTIVES_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations),
+e AS (SELECT conv_id, min(turn) AS low, max(turn) AS high FROM t GROUP BY 1),
+v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+s AS (SELECT t.*, perspective, low, high,
+             CASE WHEN speaker = 'system' THEN 'context' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+      FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id JOIN e ON t.conv_id IS NOT DISTINCT FROM e.conv_id),
+h AS (SELECT *, CASE WHEN role = 'user' THEN speaker END AS name,
+             '<|' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || '|>' || chr(10) AS head FROM s)
+SELECT conv_id, perspective, turn, speaker, role, name, content, role = 'assistant' AS trained, turn IS NOT DISTINCT FROM low AS is_first,
+       turn IS NOT DISTINCT FROM high AS is_last, head || content || '<|end|>' || chr(10) AS segment, CAST(length(head) AS BIGINT) AS content_start
+FROM h
+"""
+
+
+@query("op10_perspectives", PERSPECTIVES_SQL)
+def dialogue_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    return perspectives.rotated(read_table(spark, folder, "conversations"))
