@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.functions.sizing import cut_lineage, shared_folder
-from cohortline.llm import bpe, packing, perspectives, simhash, token_rollup, toxicity
+from cohortline.llm import bpe, metric_search, packing, perspectives, simhash, token_rollup, toxicity
 from cohortline.llm import quality_ledger as quality
 from cohortline.llm.common import read_table
 
@@ -147,3 +147,19 @@ FROM h
 @query("op10_perspectives", PERSPECTIVES_SQL)
 def dialogue_perspectives(spark: SparkSession, folder: str) -> DataFrame:
     return perspectives.rotated(read_table(spark, folder, "conversations"))
+
+
+TOP_K_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT * FROM e WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(e.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM q JOIN e ON q.vec_id <> e.vec_id AND len(q.v) = len(e.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
+@query("op5_metric_top_k", TOP_K_SQL)
+def metric_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return metric_search.top_k(read_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
