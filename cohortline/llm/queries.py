@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.functions.sizing import cut_lineage, shared_folder
-from cohortline.llm import bpe, metric_search, packing, perspectives, simhash, token_rollup, toxicity
+from cohortline.llm import bpe, metric_search, packing, perspectives, simhash, surrogates, token_rollup, toxicity
 from cohortline.llm import quality_ledger as quality
 from cohortline.llm.common import read_table
 
@@ -87,6 +87,16 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+#: The key of the registered runs; a real corpus takes its own from a vault.
+SURROGATE_KEY = "cohortline"
+
+
+@query("op7_surrogates")
+def surrogate_texts(spark: SparkSession, folder: str) -> DataFrame:
+    found = surrogates.rewritten(documents(spark, folder), SURROGATE_KEY)
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
 QUALITY_SQL = """
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
