@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.functions.sizing import cut_lineage, shared_folder
-from cohortline.llm import bpe, metric_search, packing, perspectives, simhash, surrogates, token_rollup, toxicity
+from cohortline.llm import bpe, line_dedup, metric_search, packing, perspectives, simhash, surrogates, token_rollup, toxicity
 from cohortline.llm import quality_ledger as quality
 from cohortline.llm.common import read_table
 
@@ -139,6 +139,11 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_line_classes")
+def line_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.classes(documents(spark, folder)).withColumnsRenamed({"class_key": "class_doc"})
+
+
 PERSPECTIVES_SQL = """
 WITH t AS (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations),
 e AS (SELECT conv_id, min(turn) AS low, max(turn) AS high FROM t GROUP BY 1),
