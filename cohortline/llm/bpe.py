@@ -164,7 +164,7 @@ class WordBpe:
         for token, number in [*vocab.items(), *self.specials.items()]:
             self.tokens[number] = token
         self.normalizer = Tokenizer.from_file(path).normalizer
-        self.words, self.chunks = WordCache(100_000), WordCache(250_000)
+        self.words, self.chunks = WordCache(100_000), WordCache(200_000)
 
     def _words(self, words: list[str]) -> list[bytes]:
         data = [w.encode("utf-8") for w in words]

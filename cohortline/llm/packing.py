@@ -32,7 +32,7 @@ END = 0
 #: Tokens of padding that one piece less is worth.
 PIECE_COST = 2.0
 #: Pieces that one worker's share of a class has in the first round, on average over classes.
-SHARE = 1 << 15
+SHARE = 1 << 14
 #: Shares that meet in one in the next round.
 FOLD = 32
 

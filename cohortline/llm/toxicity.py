@@ -33,7 +33,7 @@ THRESHOLD = 0.3
 STEMS = (4, 5, 6)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 EDGES = ".,;:!?()[]{}\"'|#*$%&<>"
-_words = WordCache(250_000)
+_words = WordCache(150_000)
 
 
 def _hash(words: list[str]) -> list[bytes]:
