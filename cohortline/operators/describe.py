@@ -93,13 +93,14 @@ def smd(spark: SparkSession, table: DataFrame) -> DataFrame:
 def contingency(df: DataFrame, variable: str, strata: Sequence[Sequence[str]]) -> DataFrame:
     """Counts of ``variable`` for several stratifications: (strata, stratum, level, n, share).
 
-    The rows are aggregated once over all stratifying columns; every table is summed from that.
+    A row without a level, or without one of a table's own strata, is left out of that table alone. The rows are aggregated once over all stratifying columns; every table is summed from that.
     """
     columns = list(dict.fromkeys(c for s in strata for c in s))
-    cells = df.dropna(subset=[variable, *columns]).groupBy(variable, *columns).agg(F.count(F.lit(1)).alias("_n"))
-    entries = [F.struct(F.lit("+".join(s)).alias("strata"),
-                        F.concat_ws(":", *[F.col(c).cast("string") for c in s]).alias("stratum")) for s in strata]
+    cells = df.dropna(subset=[variable]).groupBy(variable, *columns).agg(F.count(F.lit(1)).alias("_n"))
+    joined = [F.concat(*[p for c in s for p in (F.lit(":"), F.col(c).cast("string"))][1:]) for s in strata]
+    entries = [F.struct(F.lit("+".join(s)).alias("strata"), j.alias("stratum")) for s, j in zip(strata, joined)]
     stacked = cells.select(F.inline(F.array(*entries)), F.col(variable).cast("string").alias("level"), "_n")
+    stacked = stacked.where("stratum IS NOT NULL")
     table = stacked.groupBy("strata", "stratum", "level").agg(F.sum("_n").alias("n"))
     whole = F.sum("n").over(Window.partitionBy("strata", "stratum"))
     return table.withColumn("share", F.col("n") / whole)

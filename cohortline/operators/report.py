@@ -22,11 +22,16 @@ def wald_interval(table: DataFrame) -> DataFrame:
 
 
 def coef_table(spark: SparkSession, fit: CoxFit) -> DataFrame:
-    """One row per term: estimate, its exponential, errors, test and limits."""
+    """One row per term: estimate, its exponential, errors, test and limits, and how the fit ended.
+
+    A term without an estimate has NULL there.
+    """
     table = spark.createDataFrame(coefficient_rows(fit), COEFFICIENTS)
     table = table.withColumn("exp_estimate", F.exp("estimate"))
     return table.join(wald_interval(table), "term").select(
-        "term", "estimate", "exp_estimate", "std_error", "robust_se", "statistic", "p_value", "lower", "upper")
+        "term", "estimate", "exp_estimate", "std_error", "robust_se", "statistic", "p_value", "lower", "upper",
+        F.lit(fit.n).cast("long").alias("n"), F.lit(fit.events).cast("long").alias("events"),
+        F.lit(fit.iterations).cast("int").alias("iterations"), F.lit(bool(fit.converged)).alias("converged"))
 
 
 def result_book(tables: Mapping[str, DataFrame], base: str) -> None:

@@ -11,6 +11,7 @@ Ties use Efron's approximation; weights are case weights with a sandwich varianc
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -27,6 +28,10 @@ MAX_SET_ROWS = 10_000
 MAX_CURVE_DAYS = 2_000      # each day carries the later change points
 MAX_SECOND_ORDER = 8      # up to here the second-order sums are part of the day table
 TIE_CHUNK = 4096
+MAX_TIED_EVENTS = 100_000    # with more events, tied ranks are visited in rows of their own
+
+# log hazard of one standard deviation beyond which an estimate counts as infinite
+INFINITE = 9.0
 
 # running sums along the days of a stratum
 AT_OR_AFTER = "OVER (PARTITION BY s ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -69,6 +74,8 @@ class CoxFit:
     n: int
     events: int
     iterations: int
+    converged: bool
+    estimated: np.ndarray       # terms that vary apart from the earlier ones; the others have no estimate
     model: RiskModel = field(repr=False)
 
     @property
@@ -80,6 +87,17 @@ class CoxFit:
         return self
 
 
+def independent(info: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    """Which terms add to the information of the terms before them: pivots of a Cholesky pass in order."""
+    left, scale = info.astype(float).copy(), np.diag(info).copy()
+    kept = np.zeros(len(info), bool)
+    for i in range(len(info)):
+        if scale[i] > 0 and left[i, i] > tolerance * scale[i]:
+            kept[i] = True
+            left -= np.outer(left[:, i], left[i]) / left[i, i]
+    return kept
+
+
 class RiskModel:
     """Rows of a survival model and their per-day sums at a coefficient vector.
 
@@ -102,6 +120,7 @@ class RiskModel:
         self.competing = competing
         self.second_order = self.k <= MAX_SECOND_ORDER
         self._cached: list[DataFrame] = []
+        self.split_ties = MAX_TIED_EVENTS
 
         w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
         stratum = F.lit(0) if strata is None else F.col(strata)
@@ -127,9 +146,7 @@ class RiskModel:
             F.sum("n"), F.sum(F.when(F.col("ev") == 1, F.col("n"))), F.sum("w"),
             *[F.sum(F.col("w") * F.col(c)) for c in self.x]).first()
         self.n, self.events = int(facts[0] or 0), int(facts[1] or 0)
-        if not self.events:
-            raise ValueError("no events")
-        self.means = np.array([v / facts[2] for v in facts[3:]])
+        self.means = np.array([v / facts[2] if facts[2] else 0.0 for v in facts[3:]])
         # terms are centred once, for the numbers' sake and to keep the later plans narrow
         kept = [c for c in rows.columns if c not in self.x]
         self.rows = self._keep(rows.selectExpr(
@@ -194,8 +211,21 @@ class RiskModel:
             at_risk = {n: f"{e} + g * coalesce(sum(c{n} / g) {BEFORE}, 0D)" for n, e in at_risk.items()}
         day = day.selectExpr(*own, *[f"{e} AS s{n}" for n, e in at_risk.items()],
                              f"sum(n_exit) {AT_OR_AFTER} AS n_risk", "if(d > 0, ew / d, 0D) AS wbar")
-        day = day.selectExpr("*", f"if(d > 0, {TIE_SUMS}, {TIE_ZERO}) AS tie")
-        return day.selectExpr("* EXCEPT (tie)", "tie.*")
+        if self.events <= self.split_ties:
+            day = day.selectExpr("*", f"if(d > 0, {TIE_SUMS}, {TIE_ZERO}) AS tie")
+            return day.selectExpr("* EXCEPT (tie)", "tie.*")
+        return self._ties_apart(day)
+
+    @staticmethod
+    def _ties_apart(day: DataFrame) -> DataFrame:
+        """Tie sums from rows of ``TIE_CHUNK`` ranks, dealt out over all tasks and summed by day."""
+        names = ["a1", "a2", "b11", "b12", "b22", "ll"]
+        tasks = day.sparkSession.sparkContext.defaultParallelism
+        chunks = day.where("d > 0").selectExpr("s", "t", "s0", "e0", "d", f"explode(sequence(0L, d - 1, {TIE_CHUNK}L)) AS lo")
+        chunks = chunks.repartition(tasks, "s", "t", "lo")
+        ranks = f"aggregate(sequence(lo, least(lo + {TIE_CHUNK - 1}, d - 1)), {TIE_ZERO}, (z, l) -> {_RANK})"
+        sums = chunks.selectExpr("s", "t", f"{ranks} AS tie").groupBy("s", "t").agg(*[F.sum(f"tie.{n}").alias(n) for n in names])
+        return day.join(sums, ["s", "t"], "left").fillna(0.0, names)
 
     # -- partial likelihood ----------------------------------------------------------
 
@@ -275,24 +305,59 @@ class RiskModel:
         return joined.selectExpr("*", *[f"{e} AS exposure_{n}" for n, e in exposure.items()]), hazard
 
     def fit(self, max_iter: int = 20, eps: float = 1e-9, robust: bool = False) -> CoxFit:
-        """Newton-Raphson with step halving from zero."""
-        beta = np.zeros(self.k)
+        """Newton-Raphson with step halving from zero.
+
+        Terms without variation of their own at zero are left out and have no estimate. Without events nothing has. A fit
+        that has not settled, or whose information vanishes on the way, is marked and warned of.
+        """
+        k = self.k
+        if not self.events:
+            none = np.full((k, k), np.nan)
+            return CoxFit(self.terms, np.full(k, np.nan), none, none if robust else None, np.nan, self.n, 0, 0, False,
+                          np.zeros(k, bool), self)
+        beta = np.zeros(k)
         loglik, score, info = self.evaluate(beta)
-        for iteration in range(1, max_iter + 1):
-            step = np.linalg.solve(info, score)
+        kept = independent(info)
+        own = np.ix_(kept, kept)
+        converged, iteration = not kept.any(), 0
+        while not converged and iteration < max_iter:
+            iteration += 1
+            try:
+                step = np.zeros(k)
+                step[kept] = np.linalg.solve(info[own], score[kept])
+            except np.linalg.LinAlgError:
+                break
             for _ in range(20):
                 new = self.evaluate(beta + step)
                 if new[0] >= loglik - eps * max(1.0, abs(loglik)):
                     break
                 step = step / 2
+            else:
+                break
             change = abs(new[0] - loglik)
             beta, (loglik, score, info) = beta + step, new
-            if change <= eps * max(1.0, abs(loglik)):
-                break
-        naive = np.linalg.inv(info)
-        meat = self._meat(beta) if robust else None
-        return CoxFit(self.terms, beta, naive, None if meat is None else naive @ meat @ naive, loglik,
-                      self.n, self.events, iteration, self)
+            converged = change <= eps * max(1.0, abs(loglik))
+        far = kept & (np.abs(beta) * self._spreads() > INFINITE)
+        if far.any():
+            converged = False
+        if not converged:
+            names = [t for t, x in zip(self.terms, far) if x]
+            warnings.warn(f"the fit has not settled{': no finite estimate for ' + ', '.join(names) if names else ''}", stacklevel=2)
+        naive = np.full((k, k), np.nan)
+        if kept.any():
+            naive[own] = np.linalg.pinv(info[own], hermitian=True)
+        sandwich = None
+        if robust:
+            sandwich = np.full((k, k), np.nan)
+            if kept.any():
+                sandwich[own] = naive[own] @ self._meat(beta)[own] @ naive[own]
+        beta = np.where(kept, beta, np.nan)
+        return CoxFit(self.terms, beta, naive, sandwich, loglik, self.n, self.events, iteration, converged, kept, self)
+
+    def _spreads(self) -> np.ndarray:
+        """Standard deviation of each term."""
+        row = self.rows.agg(F.sum("w"), *[F.sum(F.col("w") * F.col(c) * F.col(c)) for c in self.x]).first()
+        return np.sqrt(np.array([v / row[0] for v in row[1:]]))
 
     def _meat(self, beta: np.ndarray) -> np.ndarray:
         """Sum of squared weighted score residuals."""
@@ -413,7 +478,7 @@ def fine_gray_rows(df: DataFrame, time: str = "etime", status: str = "estatus",
 
 def _event_times(fit: CoxFit) -> DataFrame:
     """Day table at the estimates with ``gt``, the centred 1 - KM(t-) transform of event days."""
-    day = fit.model.day_table(fit.beta, second_order=True).persist()
+    day = fit.model.day_table(np.nan_to_num(fit.beta), second_order=True).persist()
     fit.model._keep(day)
     later = Window.partitionBy("one").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     pooled = day.groupBy(F.lit(0).alias("one"), "t").agg(F.sum("n_exit").alias("n"), F.sum("d").alias("d"))
@@ -432,6 +497,10 @@ def cox_zph(fit: CoxFit, groups: Mapping[str, Sequence[str]] | None = None) -> l
     ``groups`` names several coefficients that are tested together, such as the levels of a factor.
     """
     model, k = fit.model, fit.model.k
+    tests = dict(groups) if groups else {t: [t] for t in fit.terms}
+    tests = {**tests, "GLOBAL": fit.terms}
+    if not fit.estimated.any():
+        return [(name, None, 0, None) for name in tests]
     events = _event_times(fit)
     cells = [f"sum(gt * (ex_{i} - wbar * {model._mean_term(i)}))" for i in range(k)]
     for p in ("1", "gt", "gt * gt"):
@@ -441,13 +510,12 @@ def cox_zph(fit: CoxFit, groups: Mapping[str, Sequence[str]] | None = None) -> l
     m = len(pairs(k))
     u = np.array(row[:k])
     i11, i12, i22 = (symmetric(row[k + b * m: k + (b + 1) * m], k) for b in range(3))
-    left = i22 - i12 @ np.linalg.solve(i11, i12)
+    left = i22 - i12 @ np.linalg.pinv(i11, hermitian=True) @ i12
     out = []
-    tests = dict(groups) if groups else {t: [t] for t in fit.terms}
-    for name, members in {**tests, "GLOBAL": fit.terms}.items():
-        j = [fit.terms.index(t) for t in members]
-        chi2 = float(u[j] @ np.linalg.solve(left[np.ix_(j, j)], u[j]))
-        out.append((name, chi2, len(j), chi2_upper(chi2, len(j))))
+    for name, members in tests.items():
+        j = [i for i in map(fit.terms.index, members) if fit.estimated[i]]
+        chi2 = float(u[j] @ np.linalg.pinv(left[np.ix_(j, j)], hermitian=True) @ u[j]) if j else None
+        out.append((name, chi2, len(j), chi2_upper(chi2, len(j)) if j else None))
     return out
 
 
@@ -460,12 +528,14 @@ def schoenfeld_residuals(fit: CoxFit) -> DataFrame:
     model, k = fit.model, fit.model.k
     events = _event_times(fit).selectExpr("s", "t", "gt", *[f"{model._mean_term(i)} / d AS xbar_{i}" for i in range(k)])
     small = broadcast_if_small(events, MAX_DAY_ROWS)
-    rows = model._scored(fit.beta).where("ev = 1").join(small, ["s", "t"])
+    rows = model._scored(np.nan_to_num(fit.beta)).where("ev = 1").join(small, ["s", "t"])
     raw = [F.col(c) - F.col(f"xbar_{i}") for i, c in enumerate(model.x)]
     scaled = []
     for i, term in enumerate(fit.terms):
+        if not fit.estimated[i]:
+            continue
         value = F.lit(float(fit.beta[i]))
-        for j in range(k):
+        for j in np.flatnonzero(fit.estimated).tolist():
             value = value + F.lit(float(fit.events * fit.naive[j, i])) * raw[j]
         scaled.append(F.struct(F.lit(term).alias("term"), raw[i].alias("residual"), value.alias("scaled")))
     return rows.select(F.col("t").alias("time"), F.col("gt").alias("transformed"), "n",
@@ -477,9 +547,14 @@ def zph_table(spark: SparkSession, tests: Sequence[tuple[str, float, int, float]
 
 
 def coefficient_rows(fit: CoxFit) -> list[tuple]:
+    """(term, estimate, error, robust error, statistic, p); without an estimate all are NULL."""
     out = []
     for i, term in enumerate(fit.terms):
+        if not fit.estimated[i]:
+            out.append((term, None, None, None, None, None))
+            continue
         est, se = float(fit.beta[i]), float(np.sqrt(fit.variance[i, i]))
         naive = float(np.sqrt(fit.naive[i, i]))
-        out.append((term, est, naive, None if fit.robust is None else se, est / se, normal_two_sided(est / se)))
+        z = est / se if se > 0 else float("nan")
+        out.append((term, est, naive, None if fit.robust is None else se, z, normal_two_sided(z)))
     return out
