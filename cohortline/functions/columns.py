@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -96,3 +96,11 @@ def any_of(conditions: Sequence[Column]) -> Column:
 
 def total(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
+
+
+def present(df: DataFrame, names: Iterable[str], absent: Sequence[str] = ()) -> list[str]:
+    """The names without those declared absent; any other that the frame lacks is an error."""
+    wanted = [n for n in names if n not in absent]
+    if missing := [n for n in wanted if n not in df.columns]:
+        raise ValueError(f"columns are missing: {', '.join(missing)}; name them as absent to go on without them")
+    return wanted

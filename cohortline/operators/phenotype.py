@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.functions.columns import any_of, find, flag, total
+from cohortline.functions.columns import any_of, find, flag, present, total
 from cohortline.functions.fixed_values import INDEX_SUPERSEDED_BY, INDEX_WEIGHTS
 from cohortline.functions.sizing import checked_small
 from cohortline.operators.timejoin import episode_overlap
@@ -15,6 +15,13 @@ from cohortline.sources.tables import Rule
 
 # rows of the code dictionary that may be broadcast: about 200 bytes each
 MAX_DICTIONARY = 100_000
+# rules that become columns of one aggregate
+BLOCK_RULES = 200
+
+
+def blocks(rules: Sequence[Rule]) -> list[Sequence[Rule]]:
+    """Rules in blocks that fit one aggregate, for codebooks of any length."""
+    return [rules[i:i + BLOCK_RULES] for i in range(0, len(rules), BLOCK_RULES)]
 
 
 def tag_records(records: DataFrame, code: str, rules: Sequence[Rule],
@@ -43,29 +50,34 @@ def history_flags(records: DataFrame, anchors: DataFrame, rules: Sequence[Rule],
     The earliest matching date per patient and rule decides, so one aggregate over the records
     serves any number of anchors per patient.
     """
-    tagged, tests = tag_records(records, code, rules)
-    first = tagged.groupBy(key).agg(
-        *[F.min(F.when(t, F.col(date))).alias(f"_first_{n}") for n, t in tests.items()])
-    flags = {n: flag(F.col(f"_first_{n}") < F.col(anchor)) for n in tests}
-    return anchors.join(first, key, "left").select(*anchors.columns, *[c.alias(n) for n, c in flags.items()])
+    out = anchors
+    for block in blocks(rules):
+        tagged, tests = tag_records(records, code, block)
+        first = tagged.groupBy(key).agg(
+            *[F.min(F.when(t, F.col(date))).alias(f"_first_{n}") for n, t in tests.items()])
+        flags = {n: flag(F.col(f"_first_{n}") < F.col(anchor)) for n in tests}
+        out = out.join(first, key, "left").select(*out.columns, *[c.alias(n) for n, c in flags.items()])
+    return out
 
 
 def episode_flags(records: DataFrame, anchors: DataFrame, rules: Sequence[Rule], code: str, lookback: int,
                   anchor_keys: Sequence[str], anchor: str = "index_date", inclusive: bool = False) -> DataFrame:
     """``anchor_keys`` plus one 0/1 column per drug rule for episodes overlapping the look-back."""
-    tagged, tests = tag_records(records, code, rules)
-    return episode_overlap(tagged, anchors, tests, lookback, anchor_keys, anchor=anchor, inclusive=inclusive)
+    out = None
+    for block in blocks(rules):
+        tagged, tests = tag_records(records, code, block)
+        part = episode_overlap(tagged, anchors, tests, lookback, anchor_keys, anchor=anchor, inclusive=inclusive)
+        out = part if out is None else out.join(part, list(anchor_keys))
+    return anchors.select(*anchor_keys).distinct() if out is None else out
 
 
-def comorbidity_index(df: DataFrame, name: str = "cci") -> DataFrame:
-    """Weighted sum of the 0/1 history flags; a flag the codebook does not define counts 0."""
+def comorbidity_index(df: DataFrame, name: str = "cci", absent: Sequence[str] = ()) -> DataFrame:
+    """Weighted sum of the 0/1 history flags; flags named in ``absent`` count 0, any other must be there."""
     terms = []
-    for column, weight in INDEX_WEIGHTS.items():
-        if column not in df.columns:
-            continue
-        term = F.col(column) * weight
+    for column in present(df, INDEX_WEIGHTS, absent):
+        term = F.col(column) * INDEX_WEIGHTS[column]
         graver = INDEX_SUPERSEDED_BY.get(column)
-        if graver in df.columns:
+        if graver and graver not in absent:
             term = term * (1 - F.col(graver))
         terms.append(term)
     return df.withColumn(name, total(terms).cast("int"))

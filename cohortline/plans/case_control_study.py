@@ -89,12 +89,13 @@ def with_covariates(t: StudyTables, rows: DataFrame, brands: Sequence[str] = tup
     return cut_lineage(out)
 
 
-def model_terms(df: DataFrame, adjusted: bool) -> dict[str, str]:
-    brand = {c: c for c in ("brand_2", "brand_1") if c in df.columns}
+def model_terms(df: DataFrame, adjusted: bool, absent: Sequence[str] = ()) -> dict[str, str]:
+    """Brands, and with adjustment all covariates but those named absent."""
+    brand = {c: c for c in X.present(df, ("brand_2", "brand_1"), absent)}
     if not adjusted:
         return brand
     more = [*V.SCORE_DX, *V.SCORE_RX, *V.SCORE_UTILISATION, "infection"]
-    return {**brand, **{c: c for c in more if c in df.columns}}
+    return {**brand, **{c: c for c in X.present(df, more, absent)}}
 
 
 def populations(df: DataFrame) -> dict[str, DataFrame]:
@@ -122,7 +123,7 @@ def model_book(spark: SparkSession, df: DataFrame) -> dict[str, DataFrame]:
 
 def table_book(spark: SparkSession, df: DataFrame) -> dict[str, DataFrame]:
     """Baseline by brand for cases and controls; brand by outcome, sex and age group with tests."""
-    flags = [c for c in [*V.TABLE_DX, *V.SCORE_DX, *V.SCORE_RX, "infection"] if c in df.columns]
+    flags = X.present(df, [*V.TABLE_DX, "dx_crf", "dx_cancer_mets", *V.SCORE_DX, *V.SCORE_RX, "infection"])
     categorical: Mapping = {"sex": ["F", "M"], **{c: [0, 1] for c in flags}}
     book = {}
     for name, tb in (("cases", 1), ("controls", 0)):

@@ -211,10 +211,13 @@ def codebook_flags_items_per_admission(spark, folder):
                            ["patient_id", "admission_date"], anchor="admission_date", inclusive=True)
 
 
-@query(f"""WITH {DX_FLAGS}
-SELECT patient_id, CAST(dx_mi + dx_chf + dx_copd + CASE WHEN dx_dm_com0 = 1 AND dx_dm_com1 = 0 THEN 1 ELSE 0 END
-  + dx_dm_com1 * 2 + CASE WHEN dx_liver_mild = 1 AND dx_liver_modsev = 0 THEN 1 ELSE 0 END + dx_liver_modsev * 3
-  + dx_cancer * 2 + dx_cancer_mets * 6 AS INTEGER) AS cci FROM flags""")
+def _index_sql() -> str:
+    """Weighted flags; the milder form counts where the graver one is absent."""
+    graver = V.INDEX_SUPERSEDED_BY
+    return " + ".join(f"{n} * {w}" + (f" * (1 - {graver[n]})" if n in graver else "") for n, w in V.INDEX_WEIGHTS.items())
+
+
+@query(f"WITH {DX_FLAGS} SELECT patient_id, CAST({_index_sql()} AS INTEGER) AS cci FROM flags")
 def comorbidity_index(spark, folder):
     flags = P.history_flags(D.dx(spark, folder), _own(spark, folder, "index_date"), DX_RULES)
     return P.comorbidity_index(flags).select("patient_id", "cci")

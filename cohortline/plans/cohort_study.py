@@ -94,23 +94,23 @@ def analysis_frame(cohort: DataFrame, lab: DataFrame, study_end: str = V.STUDY_E
     return df.withColumns({c.replace("censor", "time"): U.followup_days(c) for c in variants})
 
 
-def score_terms(df: DataFrame, with_sex: bool = True) -> dict[str, str]:
-    """Covariates of the propensity model that the frame holds."""
+def score_terms(df: DataFrame, with_sex: bool = True, absent: Sequence[str] = ()) -> dict[str, str]:
+    """Covariates of the propensity model; the frame must hold all but those named absent."""
     names = [*V.SCORE_DX, *V.SCORE_UTILISATION, *V.SCORE_RX, "tb_bet", "infection_his"]
-    terms = {"age": "age", **{c: c for c in names if c in df.columns}}
+    terms = {"age": "age", **{c: c for c in X.present(df, names, absent)}}
     return {**terms, "male": "CAST(sex = 'M' AS double)"} if with_sex else terms
 
 
-def weighted(df: DataFrame, arms: Sequence[str], with_sex: bool = True) -> DataFrame:
+def weighted(df: DataFrame, arms: Sequence[str], with_sex: bool = True, absent: Sequence[str] = ()) -> DataFrame:
     """Rows with trimmed weights towards the unexposed arm."""
-    scored = Q.propensity_scores(df, "arm", arms, score_terms(df, with_sex))
+    scored = Q.propensity_scores(df, "arm", arms, score_terms(df, with_sex, absent))
     scored = cut_lineage(scored.withColumn("weight", Q.att_weight("arm", arms, V.UNEXPOSED_ARM)))
     return Q.trim_weights(scored, "weight", "arm", V.UNEXPOSED_ARM)
 
 
-def baseline(df: DataFrame, weight: str | None = None) -> DataFrame:
-    """Baseline table of the covariates the frame holds."""
-    flags = [c for c in [*V.TABLE_DX, *V.SCORE_DX, *V.SCORE_RX, "infection_his", "tb_bet"] if c in df.columns]
+def baseline(df: DataFrame, weight: str | None = None, absent: Sequence[str] = ()) -> DataFrame:
+    """Baseline table of all covariates but those named absent."""
+    flags = X.present(df, [*V.TABLE_DX, *V.SCORE_DX, *V.SCORE_RX, "infection_his", "tb_bet"], absent)
     return B.table_one(df, "arm", ["age", *V.SCORE_UTILISATION],
                        {"sex": ["F", "M"], **{c: [0, 1] for c in flags}}, weight)
 
@@ -135,20 +135,26 @@ def rate_book(df: DataFrame) -> dict[str, DataFrame]:
 def model_book(spark: SparkSession, df: DataFrame, arms: Sequence[str]) -> dict[str, DataFrame]:
     """Coefficients and proportional-hazards tests of every model, and the baseline tables."""
     arm_terms = Y.dummies("arm", arms)
-    book = {"baseline": baseline(df)}
+    by_arm = {"arm": list(arm_terms)}
+    plain = baseline(df)
+    book = {"baseline": plain, "differences": B.smd(spark, plain)}
 
     def add(name: str, rows: DataFrame, event: str, with_age: bool, strata: str | None = None, test: bool = True):
         terms = {**arm_terms, "age": "age"} if with_age else arm_terms
         fit = Y.cox(rows, OUTCOMES[event], event, terms, weight="weight", strata=strata)
         book[name] = coef_table(spark, fit)
         if test:
-            book[f"{name}_zph"] = Y.zph_table(spark, Y.cox_zph(fit))
+            book[f"{name}_zph"] = Y.zph_table(spark, Y.cox_zph(fit, {**by_arm, "age": ["age"]} if with_age else by_arm))
+            book[f"{name}_zph_terms"] = Y.zph_table(spark, Y.cox_zph(fit))
+            if fit.estimated.any():
+                book[f"{name}_residuals"] = cut_lineage(Y.schoenfeld_residuals(fit))
         fit.close()
 
     for name, (rows, with_sex, with_age) in subgroups(df).items():
         rows = weighted(rows, arms, with_sex)
         book[f"{name}_weights"] = Q.weight_summary(rows, "weight", "arm")
-        book[f"{name}_balance"] = B.smd(spark, baseline(rows, "weight"))
+        book[f"{name}_weighted"] = baseline(rows, "weight")
+        book[f"{name}_balance"] = B.smd(spark, book[f"{name}_weighted"])
         add(name, rows, "tb", with_age)
         if name == "all":
             for event in ("ap", "tb_wide", "tb_late"):

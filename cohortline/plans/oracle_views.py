@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from cohortline.sources.driver_views import CODEBOOK
+
 _SOURCE = """CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN '1.IP'
             WHEN o_orderpriority LIKE '3%' THEN '2.AE' WHEN o_orderpriority LIKE '4%' THEN '3.SO' ELSE '4.GO' END"""
 
@@ -54,10 +56,7 @@ SELECT user_id AS patient_id, event_id AS rec_id, CAST(CAST(ts AS DATE) - 9000 A
        CAST(210 + event_id % 10 AS VARCHAR) AS t_num,
        CASE WHEN event_type = 'error' THEN 'detected' ELSE 'not detected' END AS result
 FROM events""",
-    "v_codebook": """
-SELECT * FROM (VALUES ('dx_mi','^00[0-1]'),('dx_chf','^00[2-3]'),('dx_copd','^00[4-5]'),('dx_dm_com0','^00[6-7]'),
-  ('dx_dm_com1','^008'),('dx_liver_mild','^009|^019'),('dx_liver_modsev','^020'),('dx_cancer','^02[1-3]'),('dx_cancer_mets','^19[6-9]'),
-  ('rx_av','^2[.][1-3]$'),('rx_ab','^2[.][4-6]$'),('rx_statin','^2[.]1[0-2]$')) t(name, regex)""",
+    "v_codebook": "SELECT * FROM (VALUES " + ", ".join(f"('{r.name}','{r.regex}')" for r in CODEBOOK) + ") t(name, regex)",
     "v_cohort": """
 SELECT * REPLACE (CAST(age - 1 AS INTEGER) AS age) FROM v_patients
 WHERE NOT coalesce(death_date < index_date2, false) AND age - 1 >= 18""",

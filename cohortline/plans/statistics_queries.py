@@ -52,8 +52,7 @@ def study_frame(spark, folder):
     return frame.withColumn("estatus", F.when(F.col("status") == 1, 1).when(died, 2).otherwise(0))
 
 
-ADJUSTMENT = ["dx_mi", "dx_chf", "dx_copd", "dx_dm_com0", "rx_av", "rx_ab", "rx_statin", *V.SCORE_UTILISATION,
-              "infection_his"]
+ADJUSTMENT = [*V.SCORE_DX, *V.SCORE_RX, *V.SCORE_UTILISATION, "infection_his"]
 
 
 def adjusted_terms():

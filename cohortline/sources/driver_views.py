@@ -21,7 +21,15 @@ CODEBOOK = [
     Rule("dx_dm_com0", "^00[6-7]"), Rule("dx_dm_com1", "^008"),
     Rule("dx_liver_mild", "^009|^019"), Rule("dx_liver_modsev", "^020"),
     Rule("dx_cancer", "^02[1-3]"), Rule("dx_cancer_mets", "^19[6-9]"),
+    Rule("dx_pvd", "^02[4-5]"), Rule("dx_cbd", "^02[6-7]"), Rule("dx_dementia", "^02[8-9]"), Rule("dx_paralysis", "^05[0-1]"),
+    Rule("dx_crf", "^05[2-3]"), Rule("dx_ulcers", "^05[4-5]"), Rule("dx_ra", "^05[6-7]"), Rule("dx_aids", "^058"),
+    Rule("dx_stroke_embo", "^06[0-2]"), Rule("dx_asthma", "^06[3-5]"), Rule("dx_infection_resp", "^06[6-9]"),
+    Rule("dx_infection_viral", "^07[0-2]"), Rule("dx_sle", "^07[3-4]"), Rule("dx_spa", "^07[5-6]"), Rule("dx_psa", "^07[7-8]"),
+    Rule("dx_ibd", "^079|^08[0-1]"), Rule("dx_ms", "^08[2-4]"),
     Rule("rx_av", "^2[.][1-3]$"), Rule("rx_ab", "^2[.][4-6]$"), Rule("rx_statin", "^2[.]1[0-2]$"),
+    Rule("rx_gc", "^2[.]7$"), Rule("rx_immunsupp", "^2[.]8$"), Rule("rx_ac", "^2[.]9$"), Rule("rx_am", "^2[.]0$"),
+    Rule("rx_bb", "^2[.][1-2]$"), Rule("rx_ccb", "^2[.]4$"), Rule("rx_acei", "^2[.]10$"), Rule("rx_arb", "^2[.]11$"),
+    Rule("rx_dig", "^2[.]5$"),
 ]
 ITEM_CODEBOOK = [Rule("it_rif", "^rif[ai]0"), Rule("it_iso", "^ison"), Rule("it_oth", "^pyra|^etha|^stre")]
 

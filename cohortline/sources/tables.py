@@ -9,9 +9,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.functions.columns import align_union, month_to_date
+from cohortline.functions.columns import fill_union, month_to_date
 
-MAX_RULES = 10_000
+
+MAX_ONE_FILE = 100_000
 
 
 class Rule(NamedTuple):
@@ -42,11 +43,8 @@ def read_codebook(spark: SparkSession, path: str) -> list[Rule]:
 
 
 def codebook(rules: DataFrame) -> list[Rule]:
-    """Rules become columns, so a codebook is read into the plan. It is human-written and short."""
-    rows = rules.select("name", "regex").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a codebook may hold at most {MAX_RULES} rules")
-    return [Rule(r["name"], r["regex"]) for r in rows]
+    """Rules become columns, in blocks, so a codebook, which people write, is read into the plan."""
+    return [Rule(r["name"], r["regex"]) for r in rules.select("name", "regex").collect()]
 
 
 def rules_named(rules: Sequence[Rule], part: str) -> list[Rule]:
@@ -55,10 +53,12 @@ def rules_named(rules: Sequence[Rule], part: str) -> list[Rule]:
 
 
 def combine_history(history: DataFrame, recent: DataFrame, month: str, date: str) -> DataFrame:
-    """Impute the month column of the history, align both tables and stack them."""
-    columns = [c for c in recent.columns]
-    dated = history.withColumn(date, month_to_date(F.col(month))).select(columns)
-    return align_union(recent, dated)
+    """Impute the month column of the history, align both tables and stack them.
+
+    A column that the history lacks is NULL there; one that only the history has is left out.
+    """
+    dated = history.withColumn(date, month_to_date(F.col(month)))
+    return fill_union(recent, dated.select([c for c in recent.columns if c in dated.columns]))
 
 
 def with_end_date(rx: DataFrame, start: str = "disp_date", days: str = "days", end: str = "end_date") -> DataFrame:
@@ -74,10 +74,11 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 
 
 def write_book(tables: Mapping[str, DataFrame], base: str, kind: str = "csv") -> None:
-    """One dataset per named result table. Result tables are small, so each is one CSV file."""
+    """One dataset per named result table; a table of at most ``MAX_ONE_FILE`` rows is one CSV file."""
     for name, df in tables.items():
         if kind == "csv":
-            df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}/{name}")
+            one = df.limit(MAX_ONE_FILE + 1).count() <= MAX_ONE_FILE
+            (df.coalesce(1) if one else df).write.mode("overwrite").option("header", True).csv(f"{base}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{base}/{name}")
 

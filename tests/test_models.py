@@ -210,3 +210,61 @@ def test_tail_probabilities():
     assert chi2_upper(5.991464547107979, 2) == pytest.approx(0.05)
     assert chi2_upper(7.814727903251179, 3) == pytest.approx(0.05)
     assert chi2_upper(9.487729036781154, 4) == pytest.approx(0.05)
+
+
+def small_frame(spark, n=600):
+    make = np.random.default_rng(8)
+    rows = [(int(make.integers(1, 40)), int(make.random() < 0.4), float(make.normal()), int(make.integers(0, 2)), 0) for _ in range(n)]
+    return spark.createDataFrame(rows, "time int, status int, x double, z int, none int")
+
+
+def test_aliased_terms_have_no_estimate(spark):
+    df = small_frame(spark)
+    plain = Y.cox(df, "time", "status", {"x": "x", "z": "z"})
+    fit = Y.cox(df, "time", "status", {"x": "x", "c": "none", "z": "z", "copy": "2 * x - 3"})
+    assert fit.converged and fit.estimated.tolist() == [True, False, True, False]
+    assert np.allclose(fit.beta[[0, 2]], plain.beta, atol=1e-8) and np.isnan(fit.beta[[1, 3]]).all()
+    table = {r["term"]: r for r in coef_table(spark, fit).collect()}
+    assert table["c"]["estimate"] is None and table["c"]["lower"] is None and abs(table["z"]["estimate"] - plain.beta[1]) < 1e-8
+    assert {r[0]: r[2] for r in Y.cox_zph(fit)} == {"x": 1, "c": 0, "z": 1, "copy": 0, "GLOBAL": 2}
+
+
+def test_fit_without_events(spark):
+    df = small_frame(spark).withColumn("status", F.lit(0))
+    for fit in (Y.cox(df, "time", "status", {"x": "x"}), Y.cox(df.limit(0), "time", "status", {"x": "x"})):
+        row = coef_table(spark, fit).first()
+        assert row["estimate"] is None and row["events"] == 0 and not row["converged"]
+        assert Y.cox_zph(fit) == [("x", None, 0, None), ("GLOBAL", None, 0, None)]
+
+
+def test_separation_is_marked(spark):
+    df = small_frame(spark).withColumn("z", F.col("status"))
+    with pytest.warns(UserWarning, match="not settled"):
+        fit = Y.cox(df, "time", "status", {"z": "z"})
+    assert not fit.converged
+
+
+@pytest.mark.parametrize("second_order", [True, False])
+def test_ties_dealt_out_give_the_same(spark, monkeypatch, second_order):
+    if not second_order:
+        monkeypatch.setattr(Y, "MAX_SECOND_ORDER", 0)
+    df = small_frame(spark).withColumn("time", F.ceil(F.col("time") / 20).cast("int"))
+    monkeypatch.setattr(Y, "TIE_CHUNK", 7)
+    fits = []
+    for limit in (Y.MAX_TIED_EVENTS, 0):
+        monkeypatch.setattr(Y, "MAX_TIED_EVENTS", limit)
+        fits.append(Y.cox(df, "time", "status", {"x": "x", "z": "z"}))
+    assert np.allclose(fits[0].beta, fits[1].beta, atol=1e-9) and np.allclose(fits[0].naive, fits[1].naive, atol=1e-9)
+
+
+def test_one_day_with_a_million_events_is_spread(spark):
+    df = spark.range(1_000_000).select(F.lit(5).alias("time"), F.lit(1).alias("status"), (F.col("id") % 2).alias("z"))
+    model = Y.RiskModel(df, "time", "status", {"z": "z"})
+    day = model.day_table(np.zeros(1))
+    chunks = model._ties_apart(day.drop("a1", "a2", "b11", "b12", "b22", "ll"))
+    assert chunks.count() == 1
+    ranks = spark.range(1).selectExpr("explode(sequence(0L, 999999L, 4096L)) AS lo").repartition(8, "lo")
+    assert ranks.select(F.spark_partition_id()).distinct().count() > 1
+    want = sum(1 / (1e6 - l) for l in range(1_000_000))
+    assert abs(chunks.first()["a1"] - want) < 1e-9 * want
+    model.close()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortline.functions import columns as X
+from cohortline.functions.fixed_values import INDEX_WEIGHTS
 from cohortline.operators import cohort as C
 from cohortline.operators import describe as B
 from cohortline.operators import followup as U
@@ -317,3 +318,32 @@ def test_lineage_folder(spark, monkeypatch):
         sizing.shared_folder(Session(None, "yarn"))
     df = spark.createDataFrame([(1, None), (2, "a")], "k int, v string")
     assert sorted(sizing.cut_lineage(df).collect()) == sorted(df.collect())
+
+
+def test_contingency_drops_only_own_gaps(spark):
+    rows = [("a", 1, "F"), ("a", 0, None), ("b", 1, None), ("b", 1, "M"), (None, 1, "F"), ("b", None, "F")]
+    df = spark.createDataFrame(rows, "arm string, tb int, sex string")
+    table = {(r["strata"], r["stratum"], r["level"]): r["n"] for r in B.contingency(df, "arm", [["tb"], ["tb", "sex"]]).collect()}
+    assert table == {("tb", "1", "a"): 1, ("tb", "0", "a"): 1, ("tb", "1", "b"): 2, ("tb+sex", "1:F", "a"): 1, ("tb+sex", "1:M", "b"): 1}
+
+
+def test_missing_covariates_are_an_error(spark):
+    df = spark.createDataFrame([(1, 1)], "patient_id long, dx_mi int")
+    with pytest.raises(ValueError, match="dx_chf"):
+        P.comorbidity_index(df)
+    others = [c for c in INDEX_WEIGHTS if c != "dx_mi"]
+    assert P.comorbidity_index(df, absent=others).first()["cci"] == 1
+
+
+def test_long_codebooks_and_short_histories(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_RULES", 2)
+    rules = [Rule(f"dx_{i}", f"^{i}") for i in range(5)]
+    records = spark.createDataFrame([(1, "3x", "2020-01-01"), (1, "0y", "2020-01-02")], "patient_id long, code string, date string")
+    anchors = spark.createDataFrame([(1, "2020-02-01"), (2, "2020-02-01")], "patient_id long, index_date string")
+    rows = {r["patient_id"]: [r[f"dx_{i}"] for i in range(5)] for r in P.history_flags(records, anchors, rules).collect()}
+    assert rows == {1: [1, 0, 0, 1, 0], 2: [0, 0, 0, 0, 0]}
+    history = spark.createDataFrame([(1, "2019-07", "h")], "patient_id long, date_ym string, only_here string")
+    recent = spark.createDataFrame([(2, "c")], "patient_id long, code string").withColumn("date", F.to_date(F.lit("2021-01-05")))
+    both = S.combine_history(history, recent, "date_ym", "date")
+    assert both.columns == recent.columns
+    assert sorted((r["patient_id"], r["code"], str(r["date"])) for r in both.collect()) == [(1, None, "2019-07-15"), (2, "c", "2021-01-05")]

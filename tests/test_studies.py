@@ -40,6 +40,11 @@ def test_cohort_study(spark, tables):
     rates = cohort_study.rate_book(frame)["rates_death"]
     assert rates.where("grouping = 'all'").agg(F.sum("n_event")).first()[0] > 0
     assert cohort_study.baseline(weighted, "weight").where("variable = 'age'").count() == 3
+    book = cohort_study.model_book(spark, frame, ["None", "BrandA", "BrandB"])
+    assert {"competing_risk", "all", "all_zph", "all_zph_terms", "old_by_age", "tb_late", "all_weighted", "differences", "male_balance"} <= set(book)
+    competing = {r["term"]: r for r in book["competing_risk"].collect()}
+    assert {"rx_dig", "dx_ms", "infection_his", "tb_bet"} <= set(competing)
+    assert {r["df"] for r in book["tb_wide_zph"].where("term = 'arm'").collect()} <= {0, 1, 2}
 
 
 def test_case_control_study(spark, tables):
@@ -58,4 +63,7 @@ def test_case_control_study(spark, tables):
     tables_out = case_control_study.table_book(spark, full)
     assert tables_out["brands"].agg(F.sum("n")).first()[0] == 3 * full.count()
     assert tables_out["brands_chisq"].count() == 3
+    assert tables_out["brands_chisq"].where("p BETWEEN 0 AND 1").count() == 3
     assert "brand_1" in case_control_study.model_terms(full, adjusted=True)
+    book = case_control_study.model_book(spark, full)
+    assert len(book) == 15 and {r["term"] for r in book["all_adjusted"].collect()} >= {"rx_dig", "dx_ms", "cci", "brand_2"}
