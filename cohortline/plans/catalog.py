@@ -5,6 +5,7 @@ from cohortline.plans import (  # noqa: F401
     case_control_queries,
     cohort_queries,
     statistics_queries,
+    study_queries,
 )
 from cohortline.plans.registry import ORACLES, QUERIES
 
