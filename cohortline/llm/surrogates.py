@@ -36,9 +36,12 @@ SAME_LENGTH_DRAWS = 6
 
 EMAIL = re.compile(r"[\w.+-]*[\w+-]@(?:[\w-]+\.)+[^\W\d_]{2,}")
 IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
-CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)")
+CARD = re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\w-]|\.\d)")
 SSN = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)")
-PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])")
+PHONE = re.compile(r"(?<![\w.])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])")
+#: Other international numbers; a last group too many belongs to what follows.
+ABROAD = re.compile(r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,5}(?![\w-])")
+LAST_GROUP = re.compile(r"[ .-]?\d{2,4}$")
 SECRET = re.compile(r"""\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?([A-Za-z0-9+/_-]{8,}={0,2})""", re.IGNORECASE)
 KEY = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})\b")
 
@@ -96,30 +99,54 @@ def _names(text: str) -> Iterator[Mention]:
             yield Mention(*m.span(), *known[m[0]])
 
 
+def _abroad(text: str) -> Iterator[Mention]:
+    for m in ABROAD.finditer(text):
+        value = m[0]
+        while len(_digits(value)) > 15:
+            value = LAST_GROUP.sub("", value)
+        if len(_digits(value)) >= 7:
+            yield Mention(m.start(), m.start() + len(value), "phone", "+" + _digits(value))
+
+
+def _hidden(text: str, found: list[Mention]) -> str:
+    """The text with blanks, of no use to any pattern, where something has been found."""
+    for m in found:
+        text = f"{text[:m.start]}{chr(0) * (m.stop - m.start)}{text[m.stop:]}"
+    return text
+
+
 def mentions(text: str | None) -> list[Mention]:
-    """Entities in order of place, without overlaps: the earliest, and among those the longest, wins."""
+    """Entities in order of place, without overlaps: each kind is looked for in what the kinds before it have left."""
     if not text:
         return []
-    found: list[Mention] = []
+    out: list[Mention] = []
+    left = text
+
+    def take(some: Iterable[Mention]) -> None:
+        nonlocal left
+        if new := list(some):
+            out.extend(new)
+            left = _hidden(left, new)
+
     if "@" in text:
-        found += [Mention(*m.span(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
-    if any(d in text for d in "0123456789"):
-        found += [Mention(*m.span(), "ip", m[0]) for m in IPV4.finditer(text) if all(int(x) < 256 for x in m[0].split("."))]
-        found += [Mention(*m.span(), "card", _digits(m[0])) for m in CARD.finditer(text)]
-        found += [Mention(*m.span(), "ssn", _digits(m[0])) for m in SSN.finditer(text)]
-        found += [Mention(*m.span(), "phone", "+" * (m[0][0] == "+") + _digits(m[0])) for m in PHONE.finditer(text) if 7 <= len(_digits(m[0])) <= 15]
-        found += [Mention(*m.span(), "secret", m[0]) for m in KEY.finditer(text)]
+        take(Mention(*m.span(), "email", m[0].lower()) for m in EMAIL.finditer(left))
     if "=" in text or ":" in text:
-        found += [Mention(*m.span(1), "secret", m[1].lower() if re.fullmatch("[0-9a-fA-F]+", m[1]) else m[1]) for m in SECRET.finditer(text)]
+        take(Mention(*m.span(1), "secret", m[1].lower() if re.fullmatch("[0-9a-fA-F]+", m[1]) else m[1]) for m in SECRET.finditer(left))
+    if any(d in text for d in "0123456789"):
+        take(Mention(*m.span(), "secret", m[0]) for m in KEY.finditer(left))
+        take(Mention(*m.span(), "ip", m[0]) for m in IPV4.finditer(left) if all(int(x) < 256 for x in m[0].split(".")))
+        take(Mention(*m.span(), "phone", "+" * (m[0][0] == "+") + _digits(m[0])) for m in PHONE.finditer(left))
+        take(Mention(*m.span(), "ssn", _digits(m[0])) for m in SSN.finditer(left))
+        take(Mention(*m.span(), "card", _digits(m[0])) for m in CARD.finditer(left))
+        take(_abroad(left))
     if any(t in text for t in TITLES):
-        found += _names(text)
-    found.sort(key=lambda x: (x.start, -x.stop, x.kind))
-    out, end = [], 0
-    for m in found:
-        if m.start >= end:
-            out.append(m)
-            end = m.stop
-    return out
+        found, end = [], 0
+        for m in sorted(_names(left), key=lambda x: (x.start, -x.stop, x.kind)):
+            if m.start >= end:
+                found.append(m)
+                end = m.stop
+        take(found)
+    return sorted(out)
 
 
 class Source:
