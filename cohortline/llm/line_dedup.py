@@ -2,8 +2,9 @@
 
 Lines within ``EDITS`` edits (insert, delete, replace a character) of each other are linked. A line is cut into EDITS + 1 segments;
 EDITS edits leave one of them whole, so the shorter line of a linked pair has a segment that is a substring of the longer one, near
-its own place. Segments are hashed with the line's length and the segment's number, the longer line probes the few substrings that
-can align, and lines that share a key are verified by a banded bit-parallel edit distance over many pairs at once.
+its own place. Segments are hashed with the line's length and the segment's number, and the longer line probes the few substrings that
+can align. Lines that share a key meet in one task; the parities of their character counts, 64 bits that one edit changes in two
+places at most, leave few pairs, which are verified by a banded bit-parallel edit distance over many pairs at once.
 
 Equal lines are one node of the join. A line's class is what it reaches over links, and the class stands for itself by its first
 occurrence in the order of document and line.
@@ -29,8 +30,8 @@ from cohortline.llm.components import components
 EDITS = 2
 #: Shorter lines have segments that say too little, and two edits would change what they say.
 MIN_CHARS = 24
-#: Lines that share a key and are paired at once; a key with more is dealt out in tiles of that size.
-TOGETHER = 256
+#: Lines that share a key and are compared at once; a key with more is dealt out in tiles of that size.
+TOGETHER = 1024
 #: Line ids, 16 bytes each, that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Characters of pairs that are verified together.
@@ -79,8 +80,18 @@ def _seed(length: int, segment: int) -> int:
     return length << 8 | segment
 
 
+def parities(texts: list[str]) -> np.ndarray:
+    """For each text 64 bits: whether the characters of a class, by code modulo 64, are odd in number."""
+    if not texts:
+        return np.zeros(0, np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    odd = np.bincount(row * 64 + codes % 64, minlength=64 * len(texts)).reshape(-1, 64) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)[:, 0]
+
+
 def _keys(docs: DataFrame, text: str, edits: int, least: int) -> DataFrame:
-    """Rows (key, a, b, probe), each line once for a slice of documents."""
+    """Rows (key, a, b, parity, probe), each line once for a slice of documents."""
     plans: dict[int, tuple[list, list]] = {}
 
     def plan(n: int) -> tuple[list, list]:
@@ -93,7 +104,7 @@ def _keys(docs: DataFrame, text: str, edits: int, least: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in sliced(batches, text):
-            found = {x for whole in batch.column(text).to_pylist() if whole for x in whole.split("\n") if len(x) >= least and x.strip(SPACE)}
+            found = list({x for whole in batch.column(text).to_pylist() if whole for x in whole.split("\n") if len(x) >= least and x.strip(SPACE)})
             keys, counts, first, second, indexed = [], [], [], [], []
             for line in found:
                 own, others = plan(len(line))
@@ -110,12 +121,12 @@ def _keys(docs: DataFrame, text: str, edits: int, least: int) -> DataFrame:
             place = np.arange(int(counts.sum())) - np.repeat(starts, counts)
             columns = [
                 np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(first, np.uint64).view(np.int64), counts),
-                np.repeat(np.array(second, np.uint64).view(np.int64), counts), place >= np.repeat(indexed, counts),
+                np.repeat(np.array(second, np.uint64).view(np.int64), counts), np.repeat(parities(found), counts), place >= np.repeat(indexed, counts),
             ]
             for at in range(0, len(place), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 18)]) for c in columns], names=["key", "a", "b", "probe"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 18)]) for c in columns], names=["key", "a", "b", "parity", "probe"])
 
-    return docs.select(text).mapInArrow(run, "key long, a long, b long, probe boolean")
+    return docs.select(text).mapInArrow(run, "key long, a long, b long, parity long, probe boolean")
 
 
 def _grouped(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -135,10 +146,11 @@ def _grouped(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _pairs(batches: Iterable[pa.RecordBatch], together: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each key, or the key alone where it has too many lines for one task."""
+def _pairs(batches: Iterable[pa.RecordBatch], together: int, edits: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of each key whose parities allow the edits, or the key alone where it has too many lines for one task."""
     for table in _grouped(batches, "key"):
-        key, a, b, probe = (table.column(c).to_numpy() for c in ("key", "a", "b", "probe"))
+        key, a, b, parity, probe = (table.column(c).to_numpy() for c in ("key", "a", "b", "parity", "probe"))
+        parity = parity.view(np.uint64)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
         mixed = np.minimum.reduceat(a, starts) != np.maximum.reduceat(a, starts)
@@ -148,12 +160,12 @@ def _pairs(batches: Iterable[pa.RecordBatch], together: int) -> Iterator[pa.Reco
             if e - s > 2 * together:
                 hot.append(int(key[s]))
                 continue
-            names = list(zip(a[s:e].tolist(), b[s:e].tolist(), strict=True))
-            asks = probe[s:e].tolist()
-            own = [x for x, p in zip(names, asks, strict=True) if not p]
-            for x, p in zip(names, asks, strict=True):
-                if p:
-                    found.update((x, y) if x < y else (y, x) for y in own if x != y)
+            asks, own = s + np.flatnonzero(probe[s:e]), s + np.flatnonzero(~probe[s:e])
+            near = np.bitwise_count(parity[asks][:, None] ^ parity[own][None, :]) <= 2 * edits
+            for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+                x, y = (int(a[asks[i]]), int(b[asks[i]])), (int(a[own[j]]), int(b[own[j]]))
+                if x != y:
+                    found.add((x, y) if x < y else (y, x))
         rows = [(*x, *y, None) for x, y in found] + [(None, None, None, None, k) for k in hot]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "c", "d", "hot"])
@@ -243,7 +255,7 @@ def _verified(pairs: DataFrame, edits: int) -> DataFrame:
 
 def _tiled(keys: DataFrame, hot: DataFrame, docs: DataFrame, key: str, text: str, together: int, edits: int) -> DataFrame:
     """Links among the lines of keys with very many lines: tiles of index and probe lines, compared where they meet."""
-    rows = cut_lineage(keys.join(hot, keys["key"] == hot["hot"], "left_semi").distinct())
+    rows = cut_lineage(keys.drop("parity").join(hot, keys["key"] == hot["hot"], "left_semi").distinct())
     known = _texts(docs, rows.select("a", "b").distinct(), key, text)
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / together).cast("int").alias("tiles"))
     tiled = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("a", "b"), F.col("tiles")).cast("int"))
@@ -274,7 +286,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int =
         raise ValueError("lines must be long enough for edits + 1 segments")
     keys = _keys(docs, text, edits, least)
     dealt = keys.repartition("key").dropDuplicates(["key", "a", "b", "probe"]).sortWithinPartitions("key")
-    found = cut_lineage(dealt.mapInArrow(lambda batches: _pairs(batches, together), "a long, b long, c long, d long, hot long"))
+    found = cut_lineage(dealt.mapInArrow(lambda batches: _pairs(batches, together, edits), "a long, b long, c long, d long, hot long"))
     pairs = found.where("hot is null").select("a", "b", "c", "d").distinct()
     known = _texts(docs, pairs.select("a", "b").union(pairs.select("c", "d")).distinct(), key, text)
     left = known.select("a", "b", F.col("line").alias("x"))

@@ -114,6 +114,8 @@ def test_banded_distance_and_segments():
     second = [edited(pick, x, pick.randint(0, 4)) if x else "ab" for x in first]
     for limit in (1, 2, 3):
         assert line_dedup.within(first, second, limit).tolist() == [edits(a, b) <= limit for a, b in zip(first, second, strict=True)]
+    odd = line_dedup.parities(first) ^ line_dedup.parities(second)
+    assert all(int(x).bit_count() <= 2 * edits(a, b) for x, a, b in zip(odd.view(np.uint64), first, second, strict=True))
     for a, b in zip(first, second, strict=True):
         short, long = sorted((a, b), key=len)
         if len(short) >= 6 and edits(a, b) <= 2:
