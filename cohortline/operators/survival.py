@@ -553,8 +553,8 @@ def coefficient_rows(fit: CoxFit) -> list[tuple]:
         if not fit.estimated[i]:
             out.append((term, None, None, None, None, None))
             continue
-        est, se = float(fit.beta[i]), float(np.sqrt(fit.variance[i, i]))
-        naive = float(np.sqrt(fit.naive[i, i]))
+        est, se = float(fit.beta[i]), float(np.sqrt(max(0.0, fit.variance[i, i])))
+        naive = float(np.sqrt(max(0.0, fit.naive[i, i])))
         z = est / se if se > 0 else float("nan")
         out.append((term, est, naive, None if fit.robust is None else se, z, normal_two_sided(z)))
     return out
