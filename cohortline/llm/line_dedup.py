@@ -34,6 +34,8 @@ MIN_CHARS = 24
 TOGETHER = 1024
 #: Line ids, 16 bytes each, that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Removed lines, 4 bytes each and 50 for a document, whose numbers are broadcast; more are joined by a shuffle.
+BROADCAST_LINES = 1_000_000
 #: Characters of pairs that are verified together.
 VERIFY_CHARS = 1 << 22
 SPACE = " \t\n\x0b\x0c\r"
@@ -307,12 +309,8 @@ def _name(a: str, b: str) -> Column:
     return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """Rows (key, line_no, class_key, class_line, n_links, kept) for every line that holds a word.
-
-    (class_key, class_line) is the first occurrence in the line's class, which alone is kept; n_links counts the different lines
-    that the line is linked to directly.
-    """
+def _classes(docs: DataFrame, key: str, text: str, edits: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``classes`` and the written tables they are read from."""
     first, number = free_name("class_key", [key]), "class_line"
     every = cut_lineage(lines(docs, key, text).drop("line"))
     joined = links(docs, key, text, edits, least)
@@ -325,17 +323,31 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int
     known = distinct.join(nodes, ["a", "b"], "left")
     leads = known.where("root is not null").groupBy("root").agg(F.min("_first").alias("_lead"))
     lead = known.join(leads, "root", "left").select("a", "b", F.coalesce("_lead", "_first").alias("_lead"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return every.join(lead, ["a", "b"]).select(
+    found = every.join(lead, ["a", "b"]).select(
         key, F.col("line_no").cast("long").alias("line_no"), F.col(f"_lead.{key}").alias(first), F.col("_lead.line_no").cast("long").alias(number),
         "n_links", (F.struct(key, "line_no") == F.col("_lead")).alias("kept"),
     )
+    return found, [every, nodes]
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
+    """Rows (key, line_no, class_key, class_line, n_links, kept) for every line that holds a word.
+
+    (class_key, class_line) is the first occurrence in the line's class, which alone is kept; n_links counts the different lines
+    that the line is linked to directly.
+    """
+    return _classes(docs, key, text, edits, least)[0]
 
 
-def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
+def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = MIN_CHARS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The documents with only the first line of each class; lines without a word stay. A document may become empty."""
-    gone = classes(docs, key, text, edits, least).where(~F.col("kept"))
-    names = [free_name(x, docs.columns) for x in ("_gone", "_key")]
-    lists = gone.groupBy(F.col(key).alias(names[1])).agg(F.collect_set(F.col("line_no").cast("int")).alias(names[0]))
-    left = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(names[0], i))
-    source = docs.join(lists, F.col(key) == F.col(names[1]), "left")
-    return source.withColumn(text, F.when(F.col(names[0]).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+    found, tables = _classes(docs, key, text, edits, least)
+    out, name, parts = (free_name(x, docs.columns) for x in ("_gone", "_key", "_lines"))
+    gone = cut_lineage(found.where(~F.col("kept")).select(F.col(key).alias(name), F.col("line_no").cast("int").alias("n")))
+    drop_cut(*tables)
+    lists = gone.groupBy(name).agg(F.collect_set("n").alias(out))
+    source = docs.join(marked(lists, gone.count() <= broadcast_lines), F.col(key) == F.col(name), "left")
+    cut = source.withColumn(parts, F.when(F.col(out).isNotNull(), F.split(F.col(text), "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(out))
+    joined = F.array_join(F.transform(left, lambda i: F.get(F.col(parts), i)), "\n")
+    return cut.withColumn(text, F.when(F.col(out).isNull(), F.col(text)).otherwise(joined)).select(*docs.columns)

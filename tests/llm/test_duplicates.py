@@ -163,4 +163,6 @@ def test_lines_removed(spark):
     assert texts["1"] == TEXTS[0][1] and texts["2"] == "" and texts["3"] == "" and texts["4"] is None and texts["5"] == TEXTS[4][1]
     assert texts["None"] == "no id at all" and texts["7"] == TEXTS[8][1]
     assert line_dedup.without_duplicates(docs).columns == docs.columns
+    shuffled = line_dedup.without_duplicates(docs, broadcast_lines=-1).collect()
+    assert sorted(((str(r["doc_id"]), r["text"]) for r in shuffled), key=str) == got
     assert line_dedup.classes(documents(spark, [])).count() == 0
