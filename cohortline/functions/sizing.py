@@ -8,13 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checked_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Cache ``df`` and tell whether it has at most ``max_rows`` rows; at most one more is counted.
+#: What a table may take when it is sent to all executors, by the width of its row type.
+MAX_BROADCAST_BYTES = 128 << 20
 
-    The caller releases the cache, and needs an exact plan for the case that it does not fit.
+
+def checked_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Tell whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes; at most one row more is counted.
+
+    A table that fits is cached, and the caller releases it; one that does not is not kept, and the caller needs an exact
+    plan for it.
     """
+    most = min(max_rows, max_bytes // max(1, df._jdf.schema().defaultSize()))
     cached = df.persist()
-    return cached, cached.limit(max_rows + 1).count() <= max_rows
+    if cached.limit(most + 1).count() <= most:
+        return cached, True
+    cached.unpersist()
+    return df, False
 
 
 def marked(df: DataFrame, fits: bool) -> DataFrame:

@@ -39,7 +39,6 @@ def tag_records(records: DataFrame, code: str, rules: Sequence[Rule],
     if fits:
         dictionary = codes.where(matched).select(code, *[t.alias(f"_is_{n}") for n, t in tests.items()]).persist()
         return records.join(F.broadcast(dictionary), code), {n: F.col(f"_is_{n}") for n in tests}
-    codes.unpersist()
     return records.where(matched), tests
 
 

@@ -565,3 +565,76 @@ def fine_gray_fit_by_arm(spark, folder):
     frame = known_arm(spark, folder).withColumn(
         "estatus", F.when(F.col("status") == 1, 1).when(died, 2).otherwise(0))
     return _estimates(spark, Y.fine_gray(frame, "time", "estatus", ARM_TERMS))
+
+
+# --- diagnostics with an oracle: the same two terms at the estimates -----------------------------
+
+_ARM_SOURCE = f"(SELECT time AS t, status AS ev, w, {_ARM_CAT} AS cat FROM v_analysis WHERE arm IS NOT NULL)"
+_BY_ARM = _fit_sql(_arms_per(_ARM_SOURCE, "0", "w"), _ARMS).split("\nSELECT '")[0]
+# a row per tied rank with the risk set's mean of each term, and the sums of a day
+_AT_FIT = f"""{_BY_ARM},
+ranks AS (SELECT t, l, d, (e0 + e1 + e2) / d AS wbar, e1, e2, r0 - l / d * e0 + (r1 - l / d * e1) * exp(b1) + (r2 - l / d * e2) * exp(b2) AS s0,
+    (r1 - l / d * e1) * exp(b1) AS p1, (r2 - l / d * e2) * exp(b2) AS p2
+  FROM (SELECT *, unnest(range(0, d)) AS l FROM risk WHERE d > 0), last),
+days AS (SELECT t, max(d) AS d, sum(wbar / s0) AS a, sum(wbar / s0 * p1 / s0) AS a1, sum(wbar / s0 * p2 / s0) AS a2,
+    sum((1 - l / d) * wbar / s0) AS q, sum((1 - l / d) * wbar / s0 * p1 / s0) AS q1, sum((1 - l / d) * wbar / s0 * p2 / s0) AS q2,
+    sum(p1 / s0) / max(d) AS x1bar, sum(p2 / s0) / max(d) AS x2bar,
+    max(e1) - sum(wbar * p1 / s0) AS u1, max(e2) - sum(wbar * p2 / s0) AS u2,
+    sum(wbar * p1 / s0 * (1 - p1 / s0)) AS v11, sum(wbar * p2 / s0 * (1 - p2 / s0)) AS v22, -sum(wbar * p1 / s0 * p2 / s0) AS v12
+  FROM ranks GROUP BY t)"""
+
+
+@query(f"""{_AT_FIT},
+rows_ AS (SELECT t, cat, ev, sum(w * w) AS w2 FROM {_ARM_SOURCE} GROUP BY ALL),
+cum AS (SELECT t, sum(coalesce(a, 0)) OVER o AS ca, sum(coalesce(a1, 0)) OVER o AS ca1, sum(coalesce(a2, 0)) OVER o AS ca2, days.* EXCLUDE (t)
+  FROM (SELECT DISTINCT t FROM rows_) LEFT JOIN days USING (t) WINDOW o AS (ORDER BY t)),
+res AS (SELECT w2, CASE cat WHEN 0 THEN 1 WHEN 1 THEN exp(b1) ELSE exp(b2) END AS r, CAST(cat = 1 AS INT) AS x1, CAST(cat = 2 AS INT) AS x2, ev,
+    ca + ev * coalesce(q - a, 0) AS h, ca1 + ev * coalesce(q1 - a1, 0) AS h1, ca2 + ev * coalesce(q2 - a2, 0) AS h2, x1bar, x2bar
+  FROM rows_ JOIN cum USING (t), last),
+res2 AS (SELECT w2, CASE WHEN ev = 1 THEN x1 - x1bar ELSE 0 END - r * (x1 * h - h1) AS g1, CASE WHEN ev = 1 THEN x2 - x2bar ELSE 0 END - r * (x2 * h - h2) AS g2 FROM res),
+meat AS (SELECT sum(w2 * g1 * g1) AS m11, sum(w2 * g1 * g2) AS m12, sum(w2 * g2 * g2) AS m22 FROM res2),
+inv AS (SELECT b1, b2, i22 / det AS n11, -i12 / det AS n12, i11 / det AS n22 FROM (SELECT *, i11 * i22 - i12 * i12 AS det FROM last))
+SELECT '{_ARMS[0]}' AS term, round(b1, 6) AS estimate, round(sqrt(n11), 6) AS std_error,
+  round(sqrt(n11 * n11 * m11 + 2 * n11 * n12 * m12 + n12 * n12 * m22), 6) AS robust_se FROM inv, meat
+UNION ALL SELECT '{_ARMS[1]}', round(b2, 6), round(sqrt(n22), 6), round(sqrt(n12 * n12 * m11 + 2 * n12 * n22 * m12 + n22 * n22 * m22), 6) FROM inv, meat""")
+def cox_sandwich_by_arm(spark, folder):
+    """Weighted model on the arm with the sandwich errors."""
+    fit = Y.cox(known_arm(spark, folder), "time", "status", ARM_TERMS, weight="w")
+    table = report.coef_table(spark, fit).select("term", "estimate", "std_error", "robust_se")
+    fit.close()
+    return rounded(table)
+
+
+_TRANSFORM = f"""{_AT_FIT},
+leave AS (SELECT t, count(*) AS n FROM {_ARM_SOURCE} GROUP BY 1),
+at_risk AS (SELECT t, sum(n) OVER (ORDER BY t DESC) AS n_risk FROM leave),
+km AS (SELECT days.*, 1 - exp(coalesce(sum(CASE WHEN d < n_risk THEN ln(1 - d / n_risk) END)
+    OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS g FROM days JOIN at_risk USING (t)),
+gt AS (SELECT *, g - (SELECT sum(g * d) / sum(d) FROM km) AS gt FROM km)"""
+
+
+@query(f"""{_TRANSFORM},
+sums AS (SELECT sum(gt * u1) AS s1, sum(gt * u2) AS s2, sum(v11) AS a11, sum(v12) AS a12, sum(v22) AS a22, sum(gt * v11) AS b11, sum(gt * v12) AS b12,
+    sum(gt * v22) AS b22, sum(gt * gt * v11) AS c11, sum(gt * gt * v12) AS c12, sum(gt * gt * v22) AS c22 FROM gt),
+inv AS (SELECT *, a22 / (a11 * a22 - a12 * a12) AS n11, -a12 / (a11 * a22 - a12 * a12) AS n12, a11 / (a11 * a22 - a12 * a12) AS n22 FROM sums),
+half AS (SELECT *, b11 * n11 + b12 * n12 AS k11, b11 * n12 + b12 * n22 AS k12, b12 * n11 + b22 * n12 AS k21, b12 * n12 + b22 * n22 AS k22 FROM inv),
+left_ AS (SELECT s1, s2, c11 - (k11 * b11 + k12 * b12) AS l11, c12 - (k11 * b12 + k12 * b22) AS l12, c22 - (k21 * b12 + k22 * b22) AS l22 FROM half),
+chi AS (SELECT (s1 * s1 * l22 - 2 * s1 * s2 * l12 + s2 * s2 * l11) / (l11 * l22 - l12 * l12) AS chisq FROM left_)
+SELECT term, round(chisq, 6) AS chisq, CAST(2 AS INTEGER) AS df, round(exp(-chisq / 2), 6) AS p FROM chi, (VALUES ('arm'), ('GLOBAL')) v(term)""")
+def cox_zph_by_arm(spark, folder):
+    """Proportional-hazards test of the arm, two degrees of freedom."""
+    fit = Y.cox(known_arm(spark, folder), "time", "status", ARM_TERMS, weight="w")
+    tests = Y.cox_zph(fit, {"arm": list(ARM_TERMS)})
+    fit.close()
+    return rounded(Y.zph_table(spark, tests))
+
+
+@query(f"""{_TRANSFORM},
+ev AS (SELECT t, cat, count(*) AS n FROM {_ARM_SOURCE} WHERE ev = 1 GROUP BY ALL),
+raw AS (SELECT CAST(t AS INTEGER) AS time, gt AS transformed, n, CAST(cat = 1 AS INT) - x1bar AS e1, CAST(cat = 2 AS INT) - x2bar AS e2 FROM ev JOIN gt USING (t))
+SELECT time, round(transformed, 6) AS transformed, n, '{_ARMS[0]}' AS term, round(e1, 6) AS residual FROM raw
+UNION ALL SELECT time, round(transformed, 6), n, '{_ARMS[1]}', round(e2, 6) FROM raw""")
+def schoenfeld_by_arm(spark, folder):
+    """Schoenfeld residuals of the arm; rows that agree in day and arm are one."""
+    fit = Y.cox(known_arm(spark, folder), "time", "status", ARM_TERMS, weight="w")
+    return rounded(Y.schoenfeld_residuals(fit).select("time", "transformed", "n", "term", "residual"))
