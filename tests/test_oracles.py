@@ -1,4 +1,4 @@
-"""Every query with an oracle statement against DuckDB, on tables that hold rows for every rule."""
+"""Every query with an oracle statement against DuckDB: the smallest tables, or the next where those hold no row for a rule."""
 
 import pytest
 
@@ -6,7 +6,7 @@ import __spark_entry__ as entry_point
 from cohortline.plans.catalog import ORACLES, QUERIES
 from tests.oracle_check import compare, connect
 
-FOLDER = "/root/testdata/sf0.01"
+FOLDER, NEXT = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, con, name):
-    assert compare(spark, FOLDER, QUERIES[name], ORACLES[name], con) == []
+    problems = compare(spark, FOLDER, QUERIES[name], ORACLES[name], con)
+    if problems == ["oracle is empty"]:
+        problems = compare(spark, NEXT, QUERIES[name], ORACLES[name])
+    assert problems == []
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
