@@ -38,9 +38,9 @@ def token_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Totals after four loads, one of them delivered twice, the removal of exact copies, and counts revised without licence lines."""
     docs = documents(spark, folder, "doc_id", "source", "lang", "text")
     path = public_tokenizers.path("byte_bpe_50k.json")
-    plain = docs.withColumn("text", F.regexp_replace("text", LICENCE_LINE, "")).withColumn("kind", F.lit("plain"))
-    changed = docs.where(F.col("text").rlike(LICENCE_LINE)).select("doc_id").withColumn("changed", F.lit(True))
-    both = docs.withColumn("kind", F.lit("whole")).union(plain.join(changed, "doc_id", "left_semi").select(*docs.columns, "kind"))
+    changed = docs.where(F.col("text").rlike(LICENCE_LINE))
+    plain = changed.withColumn("text", F.regexp_replace("text", LICENCE_LINE, "")).withColumn("kind", F.lit("plain"))
+    both = docs.withColumn("kind", F.lit("whole")).union(plain)
     counted = token_rollup.bpe_counts(both.withColumn("words", token_rollup.word_counts()).withColumn("digest", F.sha2("text", 256)), path, out="bpe")
     counts = cut_lineage(counted.drop("text"))
     whole = counts.where("kind = 'whole'")
