@@ -31,9 +31,32 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition.cast("int"), F.lit(0))
 
 
+def literal_prefixes(pattern: str) -> list[str] | None:
+    """The letters and digits every match begins with, for each alternative of an anchored pattern; None if there are none."""
+    if "(" in pattern or re.search(r"\[[^\]]*[|]", pattern):
+        return None
+    out = []
+    for part in pattern.split("|"):
+        found = re.match(r"\^([A-Za-z0-9]+)", part)
+        prefix = found[1] if found else ""
+        if found and part[found.end():found.end() + 1] in ("?", "*", "+", "{"):
+            prefix = prefix[:-1]  # the last character may be absent
+        if not prefix:
+            return None
+        out.append(prefix)
+    return out
+
+
 def find(column: Column, pattern: str, ignore_case: bool = False) -> Column:
-    """Regex search anywhere in the string, as a predicate."""
-    return column.rlike(f"(?i){pattern}" if ignore_case else pattern)
+    """Regex search anywhere in the string, as a predicate.
+
+    An anchored pattern is preceded by the ranges its beginnings imply, which reach the scan and prune there.
+    """
+    test = column.rlike(f"(?i){pattern}" if ignore_case else pattern)
+    prefixes = None if ignore_case else literal_prefixes(pattern)
+    if not prefixes:
+        return test
+    return any_of([(column >= p) & (column < p[:-1] + chr(ord(p[-1]) + 1)) for p in prefixes]) & test
 
 
 def with_levels(column: Column, levels: Sequence[str]) -> Column:

@@ -59,17 +59,21 @@ def episode_overlap(records: DataFrame, anchors: DataFrame, flags: Mapping[str,
                     start: str = "disp_date", end: str = "end_date", inclusive: bool = False) -> DataFrame:
     """0/1 per flag: an episode started before the anchor and reaches into the look-back days.
 
-    ``inclusive`` also accepts an episode that starts on the anchor day. Per patient and start day
-    only the latest end can decide, so records are reduced to that first.
+    ``inclusive`` also accepts an episode that starts on the anchor day. Per patient and start day only the latest end can
+    decide, so records are reduced to that first. Along a patient's days the latest end so far is carried to the anchors, so
+    the work is linear in days and anchors.
     """
-    daily = records.groupBy(key, start).agg(
-        *[F.max(F.when(c, F.col(end))).alias(f"_end_{n}") for n, c in flags.items()])
-    begun = F.col(start) <= F.col(anchor) if inclusive else F.col(start) < F.col(anchor)
-    limit = F.date_sub(F.col(anchor), lookback)
-    own = anchors.select(*anchor_keys).distinct()
-    joined = own.join(daily.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & begun, "left")
-    return joined.groupBy(*anchor_keys).agg(
-        *[F.max(flag(F.col(f"_end_{n}") >= limit)).alias(n) for n in flags])
+    ends = [f"_end_{n}" for n in flags]
+    daily = records.where(F.col(key).isNotNull() & F.col(start).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(start).alias("_day")).agg(
+        *[F.max(F.when(c, F.col(end))).alias(e) for e, c in zip(ends, flags.values())])
+    own = anchors.select(*anchor_keys).distinct().select(
+        F.col(key).alias("_key"), F.col(anchor).alias("_day"), F.struct(*anchor_keys).alias("_own"))
+    first, second = (daily, own) if inclusive else (own, daily)
+    rows = first.withColumn("_order", F.lit(0)).unionByName(second.withColumn("_order", F.lit(1)), allowMissingColumns=True)
+    so_far = Window.partitionBy("_key").orderBy("_day", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    carried = rows.select("_own", "_day", *[F.max(e).over(so_far).alias(e) for e in ends]).where("_own IS NOT NULL")
+    limit = F.date_sub("_day", lookback)
+    return carried.select("_own.*", *[flag(F.col(e) >= limit).alias(n) for e, n in zip(ends, flags)])
 
 
 def window_counts(records: DataFrame, anchors: DataFrame, classes: Mapping[str, str], days: int,

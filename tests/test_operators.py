@@ -347,3 +347,31 @@ def test_long_codebooks_and_short_histories(spark, monkeypatch):
     both = S.combine_history(history, recent, "date_ym", "date")
     assert both.columns == recent.columns
     assert sorted((r["patient_id"], r["code"], str(r["date"])) for r in both.collect()) == [(1, None, "2019-07-15"), (2, "c", "2021-01-05")]
+
+
+def test_anchored_patterns_reach_the_scan(spark, tmp_path):
+    assert X.literal_prefixes("^01[0-8]") == ["01"] and X.literal_prefixes("^54[0-3]|^47[.]") == ["54", "47"]
+    assert X.literal_prefixes("^5.1.9") == ["5"] and X.literal_prefixes("^ab?c|^x") == ["a", "x"]
+    assert X.literal_prefixes("^a?|^b") is None and X.literal_prefixes("01") is None and X.literal_prefixes("^(a|b)") is None
+    codes = [f"{i:03d}" for i in range(1000)] + ["01", "", "540x", "a1", None]
+    spark.createDataFrame([(c,) for c in codes], "code string").write.parquet(str(tmp_path / "codes"))
+    df = spark.read.parquet(str(tmp_path / "codes"))
+    for pattern in ("^01[0-8]", "^54[0-3]|^47[.]", "^0|^9[0-1]", "^54", "1$"):
+        assert df.where(X.find(F.col("code"), pattern)).count() == df.where(F.col("code").rlike(pattern)).count()
+    plan = df.where(X.find(F.col("code"), "^01[0-8]"))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(code,01)" in plan and "LessThan(code,02)" in plan
+
+
+def test_overlap_is_linear_and_has_no_range_join(spark):
+    episodes = spark.createDataFrame([(1, day(-300), day(-100)), (1, day(-10), day(-5)), (1, day(0), day(9)), (None, day(-9), day(9)), (2, None, day(9))],
+                                     "patient_id long, disp_date date, end_date date")
+    own = spark.createDataFrame([(1, day(0)), (1, day(-150)), (1, day(200)), (1, None), (2, day(0)), (None, day(0)), (1, day(0))], "patient_id long, index_date date")
+    got = {}
+    for inclusive in (False, True):
+        out = T.episode_overlap(episodes, own, {"x": F.lit(True)}, 100, ["patient_id", "index_date"], inclusive=inclusive)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        got[inclusive] = {(r["patient_id"], r["index_date"]): r["x"] for r in out.collect()}
+    assert got[False] == {(1, day(0)): 1, (1, day(-150)): 1, (1, day(200)): 0, (1, None): 0, (2, day(0)): 0, (None, day(0)): 0}
+    late = T.episode_overlap(episodes, own, {"x": F.lit(True)}, 191, ["patient_id", "index_date"])
+    assert {r["index_date"]: r["x"] for r in late.collect() if r["patient_id"] == 1}[day(200)] == 1
+    assert got[True] == got[False]
