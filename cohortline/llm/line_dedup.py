@@ -26,12 +26,17 @@ from pyspark.sql import functions as F
 from cohortline.functions.sizing import cut_lineage, drop_cut, marked
 from cohortline.llm.common import free_name, sliced
 from cohortline.llm.components import components
+from cohortline.llm.simhash import _mask
 
 EDITS = 2
 #: Shorter lines have segments that say too little, and two edits would change what they say.
 MIN_CHARS = 24
 #: Lines that share a key and are compared at once; a key with more is dealt out in tiles of that size.
 TOGETHER = 1024
+#: One line in so many is looked at to find keys with too many lines before anything is dealt out by key.
+SAMPLE = 64
+#: Such keys, 8 bytes each, that are broadcast; more are joined by a shuffle.
+BROADCAST_LARGE = 500_000
 #: Line ids, 16 bytes each, that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Removed lines, 4 bytes each and 50 for a document, whose numbers are broadcast; more are joined by a shuffle.
@@ -92,8 +97,8 @@ def parities(texts: list[str]) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
-def _keys(docs: DataFrame, text: str, edits: int, least: int) -> DataFrame:
-    """Rows (key, a, b, parity, probe), each line once for a slice of documents."""
+def _keys(docs: DataFrame, text: str, edits: int, least: int, sample: int = 1) -> DataFrame:
+    """Rows (key, a, b, parity, probe), each line once for a slice of documents; of one line in ``sample``, by its hash."""
     plans: dict[int, tuple[list, list]] = {}
 
     def plan(n: int) -> tuple[list, list]:
@@ -107,6 +112,8 @@ def _keys(docs: DataFrame, text: str, edits: int, least: int) -> DataFrame:
         digest = xxhash.xxh64_intdigest
         for batch in sliced(batches, text):
             found = list({x for whole in batch.column(text).to_pylist() if whole for x in whole.split("\n") if len(x) >= least and x.strip(SPACE)})
+            if sample > 1:
+                found = [x for x in found if digest(x.encode(), SEED) % sample == 0]
             keys, counts, first, second, indexed = [], [], [], [], []
             for line in found:
                 own, others = plan(len(line))
@@ -131,8 +138,8 @@ def _keys(docs: DataFrame, text: str, edits: int, least: int) -> DataFrame:
     return docs.select(text).mapInArrow(run, "key long, a long, b long, parity long, probe boolean")
 
 
-def _grouped(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Tables of whole groups of a sorted column."""
+def _grouped(batches: Iterable[pa.RecordBatch], column: str, most: int | None = None) -> Iterator[pa.Table]:
+    """Tables of whole groups of a sorted column; of a group with over ``most`` rows the first most + 1 and the last are enough."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -144,13 +151,19 @@ def _grouped(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Tabl
             cut = int(np.flatnonzero(value[1:] != value[:-1])[-1]) + 1
             yield table.slice(0, cut)
             held = table.slice(cut).combine_chunks().to_batches()
+        elif most is not None and sum(x.num_rows for x in held) > most + 2:
+            table = pa.Table.from_batches(held)
+            held = pa.concat_tables([table.slice(0, most + 1), table.slice(table.num_rows - 1)]).combine_chunks().to_batches()
     if held:
         yield pa.Table.from_batches(held)
 
 
 def _pairs(batches: Iterable[pa.RecordBatch], together: int, edits: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of each key whose parities allow the edits, or the key alone where it has too many lines for one task."""
-    for table in _grouped(batches, "key"):
+    """Pairs of each key whose parities allow the edits, or the key alone where it has too many lines for one task.
+
+    Rows come sorted by key and probe, so that a key's first and last row tell whether it has both sides.
+    """
+    for table in _grouped(batches, "key", 2 * together):
         key, a, b, parity, probe = (table.column(c).to_numpy() for c in ("key", "a", "b", "parity", "probe"))
         parity = parity.view(np.uint64)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -255,30 +268,65 @@ def _verified(pairs: DataFrame, edits: int) -> DataFrame:
     return pairs.select("a", "b", "c", "d", "x", "y").mapInArrow(run, "a long, b long, c long, d long")
 
 
+def _dealt(keys: DataFrame) -> DataFrame:
+    return keys.repartition("key").dropDuplicates(["key", "a", "b", "probe"]).sortWithinPartitions("key", "probe")
+
+
+def _compared(dealt: DataFrame, together: int, edits: int) -> DataFrame:
+    return cut_lineage(dealt.mapInArrow(lambda batches: _pairs(batches, together, edits), "a long, b long, c long, d long, hot long"))
+
+
+def _large(docs: DataFrame, text: str, edits: int, least: int, together: int, sample: int = SAMPLE) -> DataFrame:
+    """Rows (hot) of the keys that a sample of the lines shows to be too large for one task. A written table.
+
+    Only the way of a key depends on it, not its links: a large key that the sample misses is found where its rows meet.
+    """
+    some = _keys(docs, text, edits, least, sample).select("key", "a", "b", "probe").distinct()
+    return cut_lineage(some.groupBy(F.col("key").alias("hot")).count().where(F.col("count") > max(1, 2 * together // sample)).select("hot"))
+
+
+def _parted(rows: DataFrame, edits: int) -> DataFrame:
+    """Each row once for every block of its parities: lines within the edits differ in 2 * edits of the bits and agree in a block."""
+    count = 2 * edits + 1
+    blocks = [F.xxhash64("key", F.lit(i), F.col("parity").bitwiseAND(F.lit(_mask(list(range(i, 64, count)))).cast("long"))) for i in range(count)]
+    return rows.select(F.explode(F.array(*blocks)).alias("key"), "a", "b", "parity", "probe")
+
+
 def _tiled(keys: DataFrame, hot: DataFrame, docs: DataFrame, key: str, text: str, together: int, edits: int) -> DataFrame:
-    """Links among the lines of keys with very many lines: tiles of index and probe lines, compared where they meet."""
-    rows = cut_lineage(keys.drop("parity").join(hot, keys["key"] == hot["hot"], "left_semi").distinct())
-    known = _texts(docs, rows.select("a", "b").distinct(), key, text)
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / together).cast("int").alias("tiles"))
+    """Links among the lines of keys with very many lines, parted by parities and, where that is not enough, dealt out in tiles
+    of index and probe lines, which are compared where they meet."""
+    found = cut_lineage(keys.join(marked(hot, hot.count() <= BROADCAST_LARGE), keys["key"] == hot["hot"], "left_semi").select("key", "a", "b", "parity", "probe").distinct())
+    known = _texts(docs, found.select("a", "b").distinct(), key, text)
+    rows = _parted(found, edits)
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / together).cast("int").alias("tiles"), F.bool_or("probe").alias("asks"), F.bool_or(~F.col("probe")).alias("own")).where("asks and own").select("key", "tiles")
     tiled = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("a", "b"), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     row, column = F.when(F.col("probe"), F.col("own")).otherwise(F.col("other")), F.when(F.col("probe"), F.col("other")).otherwise(F.col("own"))
-    dealt = tiled.withColumn("tile", F.xxhash64("key", row, column)).join(known, ["a", "b"]).select("tile", "a", "b", "probe", "line")
+    dealt = tiled.withColumn("tile", F.xxhash64("key", row, column)).join(known, ["a", "b"]).select("tile", "a", "b", "parity", "probe", "line")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "tile"):
-            for _, part in table.to_pandas().groupby("tile", sort=False):
-                own, asks = part[~part["probe"]], part[part["probe"]]
-                for x in asks.itertuples(index=False):
-                    size = own["line"].str.len()
-                    some = own[(size >= len(x.line) - edits) & (size <= len(x.line)) & ((own["a"] != x.a) | (own["b"] != x.b))]
-                    near = within(some["line"].tolist(), [x.line] * len(some), edits)
-                    found = [(min((x.a, x.b), y), max((x.a, x.b), y)) for y in zip(some["a"][near], some["b"][near], strict=True)]
-                    columns = [[int(f[i][k]) for f in found] for i in (0, 1) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "c", "d"])
+            tile, a, b, parity, probe = (table.column(c).to_numpy() for c in ("tile", "a", "b", "parity", "probe"))
+            parity, line = parity.view(np.uint64), np.array(table.column("line").to_pylist(), object)
+            size = np.fromiter(map(len, line), np.int64, len(line))
+            starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(tile)], strict=True):
+                own, every = s + np.flatnonzero(~probe[s:e]), s + np.flatnonzero(probe[s:e])
+                for at in range(0, len(every), 256):
+                    asks = every[at:at + 256]
+                    gap = size[asks][:, None] - size[own][None, :]
+                    near = (np.bitwise_count(parity[asks][:, None] ^ parity[own][None, :]) <= 2 * edits) & (gap >= 0) & (gap <= edits)
+                    near &= (a[asks][:, None] != a[own][None, :]) | (b[asks][:, None] != b[own][None, :])
+                    i, j = np.nonzero(near)
+                    i, j = asks[i], own[j]
+                    linked = within(line[j].tolist(), line[i].tolist(), edits)
+                    i, j = i[linked], j[linked]
+                    first = (a[i] < a[j]) | ((a[i] == a[j]) & (b[i] < b[j]))
+                    x, y = np.where(first, i, j), np.where(first, j, i)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[x], b[x], a[y], b[y])], names=["a", "b", "c", "d"])
 
     links = cut_lineage(dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, c long, d long"))
-    drop_cut(rows, known)
+    drop_cut(found, known)
     return links
 
 
@@ -287,21 +335,22 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int =
     if least < edits + 1:
         raise ValueError("lines must be long enough for edits + 1 segments")
     keys = _keys(docs, text, edits, least)
-    dealt = keys.repartition("key").dropDuplicates(["key", "a", "b", "probe"]).sortWithinPartitions("key")
-    found = cut_lineage(dealt.mapInArrow(lambda batches: _pairs(batches, together, edits), "a long, b long, c long, d long, hot long"))
+    large = _large(docs, text, edits, least, together)
+    rest = keys.join(marked(large, large.count() <= BROADCAST_LARGE), keys["key"] == large["hot"], "left_anti")
+    found = _compared(_dealt(rest), together, edits)
+    hot = cut_lineage(found.where("hot is not null").select("hot").union(large).distinct())
     pairs = found.where("hot is null").select("a", "b", "c", "d").distinct()
     known = _texts(docs, pairs.select("a", "b").union(pairs.select("c", "d")).distinct(), key, text)
     left = known.select("a", "b", F.col("line").alias("x"))
     right = known.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("line").alias("y"))
     near = _verified(pairs.join(left, ["a", "b"]).join(right, ["c", "d"]), edits)
-    hot = cut_lineage(found.where("hot is not null").select("hot").distinct())
     if not hot.isEmpty():
         more = _tiled(keys, hot, docs, key, text, together, edits)
         out = cut_lineage(near.union(more).distinct())
         drop_cut(more)
     else:
         out = cut_lineage(near)
-    drop_cut(found, known, hot)
+    drop_cut(found, known, large, hot)
     return out
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from cohortline.llm import components, line_dedup, simhash
@@ -156,6 +157,38 @@ def test_line_classes_with_and_without_tiles(spark):
     assert len(pairs) == len(near)
 
 
+def test_large_keys_are_not_held():
+    """A task keeps no more of a key than it can compare, and hands the key on if it has both sides."""
+    held = []
+
+    def batches(probe, n=200, rows=1000):
+        for i in range(n):
+            a = np.arange(i * rows, (i + 1) * rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, 5)), pa.array(a), pa.array(a), pa.array(a), pa.array(probe(a))], names=["key", "a", "b", "parity", "probe"])
+            held.append(pa.total_allocated_bytes())
+
+    before = pa.total_allocated_bytes()
+    out = pa.Table.from_batches(line_dedup._pairs(batches(lambda a: a >= 100_000), 64, 2))
+    assert out.column("hot").to_pylist() == [5]
+    assert max(held) - before < 200_000
+    assert not pa.Table.from_batches(line_dedup._pairs(batches(lambda a: a >= 0), 64, 2)).num_rows
+
+
+def test_large_keys_are_known_before_rows_are_dealt(spark):
+    """Numbered lines of one form: their keys come from the sample, are parted by parities, and lose no link."""
+    pick = random.Random(3)
+    held = sorted({f"licensed under the terms {pick.randint(0, 9999):04d} of page" for _ in range(300)})
+    near = [(a, b) for i, a in enumerate(held) for b in held[:i] if edits(a, b) <= 2]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(held)], "doc_id long, text string")
+    assert line_dedup._large(docs, "text", 2, 24, 16, sample=4).count() > 0
+    keys = line_dedup._keys(docs, "text", 2, 24)
+    assert keys.groupBy("key").count().agg({"count": "max"}).first()[0] == 2 * len(held)
+    parted = line_dedup._parted(keys.distinct(), 2).groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert parted < 2 * len(held)
+    pairs = {frozenset([(r["a"], r["b"]), (r["c"], r["d"])]) for r in line_dedup.links(docs, together=16).collect()}
+    assert len(pairs) == len(near)
+
+
 def test_lines_removed(spark):
     docs = documents(spark)
     got = sorted(((str(r["doc_id"]), r["text"]) for r in line_dedup.without_duplicates(docs).collect()), key=str)
