@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortline.functions.sizing import cut_lineage, drop_cut, marked
-from cohortline.llm.common import sliced
+from cohortline.llm.common import arrow_schema, free_name, sliced
 from cohortline.llm.components import components
 
 RADIUS = 3
@@ -283,8 +283,38 @@ def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are the smallest key of their group; rows without a key stay."""
+def _with_prints(docs: DataFrame, out: str, text: str) -> DataFrame:
+    """The rows with their fingerprint in a new column."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.LongType(), False)])
+    arrow = arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text):
+            found = pa.array([fingerprint(x) for x in batch.column(text).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", repeats: bool = True) -> DataFrame:
+    """The documents that are the smallest key of their group; rows without a key stay.
+
+    With ``repeats`` all rows of a kept key stay, and all rows of a key go that is not the smallest of a group. Without, rows that
+    share a key are told apart by their groups, and one row of each group stays.
+    """
     found = near_duplicates(docs, key, text)
-    extra = cut_lineage(found.where(F.col(key) != F.col("component")).select(key).distinct())
-    return docs.join(marked(extra, extra.count() <= BROADCAST_KEYS), key, "left_anti")
+    if repeats:
+        extra = cut_lineage(found.where(F.col(key) != F.col("component")).select(key).distinct())
+        return docs.join(marked(extra, extra.count() <= BROADCAST_KEYS), key, "left_anti")
+    found = cut_lineage(found)
+    several = cut_lineage(found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
+    fits = several.count() <= BROADCAST_KEYS
+    extra = cut_lineage(found.where(F.col(key) != F.col("component")).select(key).union(several).distinct())
+    out = docs.join(marked(extra, extra.count() <= BROADCAST_KEYS), key, "left_anti").select(*docs.columns)
+    if several.isEmpty():
+        return out
+    fp, name, group = (free_name(x, docs.columns) for x in ("_fp", "_of", "_group"))
+    rows = _with_prints(docs.join(marked(several, fits), key, "left_semi").select(*docs.columns), fp, text)
+    firsts = found.where(F.col(key) == F.col("component")).join(marked(several, fits), key, "left_semi").select(F.col("fp").alias(name), F.col("component").alias(group)).distinct()
+    again = rows.join(firsts, (F.col(fp) == F.col(name)) & (F.col(key) == F.col(group))).dropDuplicates([group])
+    return out.unionByName(again.select(*docs.columns))

@@ -38,8 +38,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    return simhash.one_of_each(docs).select(*COLUMNS)
+    """One document with the smallest id of each group of near duplicates; documents without an id stay."""
+    return simhash.one_of_each(docs, repeats=False).select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+import corpus_pipeline
 from cohortline.llm import components, line_dedup, simhash
 from tests.llm.frames import TEXTS, documents
 
@@ -79,6 +80,15 @@ def test_groups_and_one_of_each(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group(spark):
+    """The stage keeps one row of a repeated key, and a key's row in one group does not decide on its row in another."""
+    other = "quite another text that has nothing to do with the first one at all"
+    rows = [(1, other), (2, TEXTS[0][1]), (2, TEXTS[0][1]), (2, TEXTS[0][1].upper()), (2, other), (3, TEXTS[0][1]), (4, "alone"), (None, other), (None, other)]
+    docs = documents(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "1L AS n_chars")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"].lower()) for r in kept) == sorted([("1", other), ("2", TEXTS[0][1]), ("4", "alone"), ("None", other), ("None", other)])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, 100), (100, 200), (7, 7), (300, 301), (301, 302), (300, 302), (None, 3)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
