@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.functions.sizing import cut_lineage, shared_folder
-from cohortline.llm import bpe, line_dedup, metric_search, packing, perspectives, simhash, surrogates, token_rollup, toxicity
+from cohortline.llm import bpe, line_dedup, merkle, metric_search, packing, perspectives, simhash, surrogates, token_rollup, toxicity
 from cohortline.llm import quality_ledger as quality
 from cohortline.llm.common import read_table
 
@@ -178,3 +178,58 @@ FROM s QUALIFY rank <= 10
 @query("op5_metric_top_k", TOP_K_SQL)
 def metric_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return metric_search.top_k(read_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _manifest_sql(levels: int, top_levels: int) -> str:
+    """The statement for sources of at most 16 ** levels rows, and at most 16 ** top_levels sources."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE CAST(strlen({0}) AS VARCHAR) || ':' || {0} END"
+    texts = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"]
+    leaf = lambda text: "sha256(" + " || ".join(field.format(x) for x in [*texts, text]) + ")"
+    crc = ("list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])), "
+           "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, CAST(4294967295 AS BIGINT))")
+    parts = [f"""d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN xor({crc}, 4294967295) % 5 = 0
+             THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {leaf('text')} END AS start FROM documents)""",
+             "a0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d)",
+             "t0 AS (SELECT source AS g, pos, leaf AS h FROM a0)"]
+
+    def tree(name: str, n: int) -> None:
+        for i in range(n):
+            parts.append(f"{name}s{i} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}{i})")
+            parts.append(f"""{name}r{i} AS (SELECT g, pos // 16 AS run, n, CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h,
+                         CASE WHEN n = 1 THEN [] ELSE list(h ORDER BY pos) END AS hs FROM {name}s{i} GROUP BY 1, 2, 3)""")
+            parts.append(f"{name}{i + 1} AS (SELECT g, run AS pos, h FROM {name}r{i})")
+
+    def path(name: str, n: int, rows: str, group: str, out: str) -> None:
+        """The siblings and the hash of ``node`` level by level, from ``pos`` upwards."""
+        for i in range(n):
+            parts.append(f"""{out}{i + 1} AS (SELECT x.* EXCLUDE (pos, proof, node), x.pos // 16 AS pos,
+                proof || array_to_string(hs[:x.pos % 16], '') || array_to_string(hs[x.pos % 16 + 2:], '') AS proof,
+                CASE WHEN len(hs) = 0 THEN node ELSE sha256(array_to_string(hs[:x.pos % 16], '') || node || array_to_string(hs[x.pos % 16 + 2:], '')) END AS node
+                FROM {rows if i == 0 else f'{out}{i}'} x JOIN {name}r{i} r ON x.{group} IS NOT DISTINCT FROM r.g AND r.run = x.pos // 16)""")
+
+    tree("t", levels)
+    parts.append(f"u AS (SELECT g AS source, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS place FROM t{levels})")
+    parts.append("v0 AS (SELECT 0 AS g, place AS pos, subroot AS h FROM u)")
+    tree("v", top_levels)
+    parts.append("b0 AS (SELECT *, '' AS proof, start AS node FROM a0)")
+    path("t", levels, "b0", "source", "b")
+    parts.append(f"c0 AS (SELECT b.* EXCLUDE (pos), 0 AS top, u.place AS pos, u.subroot FROM b{levels} b JOIN u ON b.source IS NOT DISTINCT FROM u.source)")
+    path("v", top_levels, "c0", "top", "c")
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM c{top_levels} CROSS JOIN (SELECT h AS root FROM v{top_levels})"""
+
+
+@query("op11_merkle_manifest", _manifest_sql(5, 3))
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select(*LEAF_FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    fields = [F.translate("text", UPPER, LOWER) if c == "text" else F.col(c) for c in LEAF_FIELDS]
+    found = merkle.manifest(docs.withColumn("altered", F.when(tampered, merkle.leaf(*fields))), LEAF_FIELDS, keep=["altered"])
+    root = merkle.folded(F.coalesce("altered", "leaf"), F.col("witness"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("witness"))).alias("proof_sha256"),
+                        root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
