@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.functions.sizing import cut_lineage, shared_folder
-from cohortline.llm import bpe, line_dedup, merkle, metric_search, packing, perspectives, simhash, surrogates, token_rollup, toxicity
+from cohortline.llm import bpe, hard_negatives, line_dedup, merkle, metric_search, packing, perspectives, simhash, surrogates, token_rollup, toxicity, url_rules
 from cohortline.llm import quality_ledger as quality
 from cohortline.llm.common import read_table
 
@@ -233,3 +233,62 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     root = merkle.folded(F.coalesce("altered", "leaf"), F.col("witness"))
     return found.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("witness"))).alias("proof_sha256"),
                         root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+HARD_NEGATIVES_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM e),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query("op13_hard_negatives", HARD_NEGATIVES_SQL)
+def mined_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+URL_RULES = [
+    url_rules.ListRule("net", "/", "block"), url_rules.ListRule("example.net", "/en/", "allow"),
+    url_rules.ListRule("example.com", "/de/", "block"), url_rules.ListRule("org", "/fr/", "allow"),
+]
+URL_SQL = """
+WITH u AS (SELECT row_number() OVER () AS k, page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'UPPER', 'LOWER') AS host,
+             coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+w AS (SELECT *, list_transform(regexp_extract_all(host, '[^./:@_-]+'), lambda x: 'h:' || x) AS hs,
+             list_transform(regexp_extract_all(translate(path, 'UPPER', 'LOWER'), '[^./:@_-]+'), lambda x: 'p:' || x) AS ps FROM u),
+b AS (SELECT doc_id, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad FROM labels
+      WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
+t AS (SELECT list_sort(list_distinct(list_concat(list_reverse(hs)[:6], ps[:6]))) AS items, bad
+      FROM (SELECT DISTINCT page_id, url, hs, ps FROM w) JOIN b ON page_id = doc_id),
+m AS (SELECT items, bad, unnest(range(1, 1 << len(items))) AS mask FROM t),
+c AS (SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS s, count(*) AS n, count(*) FILTER (bad) AS hits FROM m GROUP BY 1),
+r AS (SELECT s, hits / n AS confidence FROM c WHERE hits >= greatest(12, (SELECT ceil(0.001 * count(*)) FROM t)) AND hits / n >= 0.6),
+x AS (SELECT * FROM r WHERE NOT EXISTS (FROM r q WHERE len(q.s) < len(r.s) AND list_has_all(r.s, q.s))),
+h AS (SELECT k, array_to_string(arg_max(s, (confidence, array_to_string(s, ' '))), ' ') AS mined FROM w JOIN x ON list_has_all(list_concat(hs, ps), s) GROUP BY 1),
+l AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) v(rule_host, rule_path, says)),
+f AS (SELECT k, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(says, length(rule_host || rule_path)) AS says
+      FROM u JOIN l ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN mined IS NULL THEN 'allow' ELSE 'block' END) AS verdict, mined
+FROM u LEFT JOIN f USING (k) LEFT JOIN h USING (k)
+""".replace("UPPER", UPPER).replace("LOWER", LOWER)
+
+
+def bad_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of labelled rows; bad are those of low quality and toxic ones."""
+    labels = read_table(spark, folder, "labels").where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)")
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    return labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
+
+
+@query("op12_url_rules", URL_SQL)
+def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judged(read_table(spark, folder, "pages").select("page_id", "url"), bad_pages(spark, folder), URL_RULES)
