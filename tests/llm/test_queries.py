@@ -20,7 +20,7 @@ def test_oracle(spark, name):
 
 def test_every_operator_has_its_query():
     names = entry_point.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
 
 
 def test_rollup_query(spark):
