@@ -164,7 +164,7 @@ class WordBpe:
         for token, number in [*vocab.items(), *self.specials.items()]:
             self.tokens[number] = token
         self.normalizer = Tokenizer.from_file(path).normalizer
-        self.words, self.chunks = WordCache(100_000), WordCache(200_000)
+        self.words, self.chunks = WordCache(16 << 20), WordCache()
 
     def _words(self, words: list[str]) -> list[bytes]:
         data = [w.encode("utf-8") for w in words]
@@ -238,13 +238,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     arrow = arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts = coder(path).encode
+        encoder = coder(path)
         for batch in sliced(batches, text):
-            found = encode_texts(batch.column(text).to_pylist())
+            found = encoder.encode(batch.column(text).to_pylist())
             offsets = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
             values = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
             yield _replaced(batch, arrow, ids, pa.ListArray.from_arrays(pa.array(offsets), values).cast(arrow.field(ids).type))
+        encoder.words.clear()
+        encoder.chunks.clear()
 
     return docs.mapInArrow(run, schema)
 

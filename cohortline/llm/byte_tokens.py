@@ -34,7 +34,7 @@ class ByteBpe:
         ranks = {bytes(map(value.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in specials}
         self.coding = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=specials)
         self.special = regex.compile("|".join(map(regex.escape, specials)))
-        self.cache = WordCache(150_000)
+        self.cache = WordCache()
 
     def _ids(self, text: str) -> bytes:
         found = self.coding.encode_ordinary(text)
@@ -75,5 +75,5 @@ class ByteBpe:
 
 @cache
 def coder(path: str) -> ByteBpe:
-    """One coder for each worker process and file."""
+    """One coder for each worker process and file; a task that is done with it clears its cache."""
     return ByteBpe(path)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text handled at once inside a task.
-SLICE_BYTES = 4 << 20
+#: Bytes of text handled at once inside a task; what is made of them on the way takes up to a hundred times as much.
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,24 +64,41 @@ def key_as_text(column) -> F.Column:
 
 
 class WordCache:
-    """Values by word in two generations of bounded size.
+    """Values by word in two generations of bounded size in bytes.
 
-    What has not been asked for during a whole generation is forgotten, so memory does not follow the vocabulary.
+    What has not been asked for during a whole generation is forgotten, and long words are not kept at all, so memory follows
+    neither the vocabulary nor the texts. Workers outlive tasks: a task clears its cache when it ends.
     """
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+    #: Characters of the longest word that is kept.
+    LONGEST = 64
+    #: What an entry takes besides its word and value.
+    ENTRY = 200
+
+    def __init__(self, limit: int = 24 << 20):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.new, self.old, self.size = {}, {}, 0
 
     def values(self, words: list, make) -> list:
         """One value for each word; ``make`` gets the list of distinct unknown words and returns their values."""
-        if len(self.new) > self.size:
-            self.old, self.new = self.new, {}
         found = list(map(self.new.get, words))
         if None in found:
             late = {w for w, v in zip(words, found, strict=True) if v is None}
-            kept = {w: v for w in late if (v := self.old.get(w)) is not None}
-            unknown = [w for w in late if w not in kept]
-            self.new.update(kept)
-            self.new.update(zip(unknown, make(unknown), strict=True))
-            found = [self.new[w] if v is None else v for w, v in zip(words, found, strict=True)]
+            fresh = {w: v for w in late if (v := self.old.get(w)) is not None}
+            unknown = [w for w in late if w not in fresh]
+            fresh.update(zip(unknown, make(unknown), strict=True))
+            found = [fresh[w] if v is None else v for w, v in zip(words, found, strict=True)]
+            self._keep(fresh)
         return found
+
+    def _keep(self, fresh: dict) -> None:
+        for word, value in fresh.items():
+            length = sum(len(x) for x in word if isinstance(x, str)) if isinstance(word, tuple) else len(word)
+            if length <= self.LONGEST:
+                self.new[word] = value
+                self.size += length + len(value) + self.ENTRY
+                if self.size > self.limit:
+                    self.old, self.new, self.size = self.new, {}, 0

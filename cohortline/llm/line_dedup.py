@@ -28,6 +28,8 @@ from cohortline.llm.common import free_name, sliced
 from cohortline.llm.components import components
 from cohortline.llm.simhash import _mask
 
+#: Bytes of text whose equal lines become one before they leave a task.
+SLICE = 4 << 20
 EDITS = 2
 #: Shorter lines have segments that say too little, and two edits would change what they say.
 MIN_CHARS = 24
@@ -110,7 +112,7 @@ def _keys(docs: DataFrame, text: str, edits: int, least: int, sample: int = 1) -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, SLICE):
             found = list({x for whole in batch.column(text).to_pylist() if whole for x in whole.split("\n") if len(x) >= least and x.strip(SPACE)})
             if sample > 1:
                 found = [x for x in found if digest(x.encode(), SEED) % sample == 0]

@@ -8,8 +8,9 @@ less than one sequence for each class, is put together by decreasing length.
 Documents may be cut anywhere. A document gives whole sequences first; its rest is cut by a small table that weighs the
 padding of each class against a cost for every further piece.
 
-Defined cases: a null text counts as empty and an empty document is its end token alone; repeated rows are packed each; rows of
-other columns are carried along, and those named as an output are replaced; an empty table gives no sequences.
+Defined cases: a null text counts as empty and an empty document is its end token alone; repeated rows are packed each; ``cut``
+reads the key and the text only; ``place`` keeps all columns of the pieces, and those named as an output are replaced; an empty
+table gives no sequences.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from cohortline.functions.sizing import cut_lineage, drop_cut
 from cohortline.llm.byte_tokens import coder
-from cohortline.llm.common import arrow_schema, sliced
+from cohortline.llm.common import arrow_schema, free_name, sliced
 
 CAPACITY = 1024
 END = 0
@@ -78,10 +79,10 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id
     arrow, end = arrow_schema(schema), np.array([END], "<i4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, encode = cuts(capacity), coder(path).encode
+        plan, encoder = cuts(capacity), coder(path)
         for batch in sliced(batches, text):
             row, start, length, tokens, ids = [], [], [], [], []
-            for i, data in enumerate(encode(batch.column(text).to_pylist())):
+            for i, data in enumerate(encoder.encode(batch.column(text).to_pylist())):
                 data += end
                 n, at = len(data) // 4, 0
                 for size in (*[capacity] * (n // capacity), *plan[n % capacity]):
@@ -94,6 +95,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id
             columns = [batch.column(key).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                        pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        encoder.cache.clear()
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -104,7 +106,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", shar
     Shares are chosen by a hash, so that copies of a document and pieces of a long one lie apart.
     """
     given = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    table = cut_lineage(pieces.select(*given).withColumn("_k", F.floor(F.lit(capacity) / F.col("length")).cast("long")))
+    k_, share_, n_, rank_, bin_ = (free_name(x, given) for x in ("_k", "_share", "_n", "_rank", "_bin"))
+    table = cut_lineage(pieces.select(*given).withColumn(k_, F.floor(F.lit(capacity) / F.col("length")).cast("long")))
     shares = max(1, -(-table.count() // share))
     room = (1 << 62) // (64 * (capacity + 1) * shares)
     if room < 1 << 20:
@@ -112,35 +115,35 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", shar
     left, placed, level = table, [], 0
     while True:
         share_of = F.pmod(F.xxhash64(key, "start", F.lit(level)), F.lit(shares))
-        group = Window.partitionBy("_k", "_share")
+        group = Window.partitionBy(k_, share_)
         ranked = (
-            left.withColumn("_share", share_of)
-            .withColumn("_n", F.count("*").over(group))
-            .withColumn("_rank", F.row_number().over(group.orderBy("length", key, "start")) - 1)
+            left.withColumn(share_, share_of)
+            .withColumn(n_, F.count("*").over(group))
+            .withColumn(rank_, F.row_number().over(group.orderBy("length", key, "start")) - 1)
         )
         ranked = cut_lineage(ranked)
         drop_cut(left)
-        full = F.col("_rank") < F.col("_n") - F.col("_n") % F.col("_k")
-        number = F.floor(F.col("_rank") / F.col("_k"))
-        first = (F.lit(level * (capacity + 1)) + F.col("_k")) * F.lit(shares) + F.col("_share")
-        within = Window.partitionBy("_k", "_share", "_bin").orderBy("_rank")
-        done = ranked.where(full).withColumn("_bin", number)
+        full = F.col(rank_) < F.col(n_) - F.col(n_) % F.col(k_)
+        number = F.floor(F.col(rank_) / F.col(k_))
+        first = (F.lit(level * (capacity + 1)) + F.col(k_)) * F.lit(shares) + F.col(share_)
+        within = Window.partitionBy(k_, share_, bin_).orderBy(rank_)
+        done = ranked.where(full).withColumn(bin_, number)
         placed.append(done.select(
-            *given, (first * F.lit(room) + F.col("_bin")).cast("long").alias("sequence_id"),
+            *given, (first * F.lit(room) + F.col(bin_)).cast("long").alias("sequence_id"),
             (F.sum("length").over(within) - F.col("length")).cast("long").alias("offset"),
         ))
         if shares == 1:
             rest = ranked.where(~full)
-            sizes = {r["_k"]: r["n"] for r in rest.groupBy("_k").agg(F.sum("length").alias("n")).collect()}  # a row for each class
-            places = F.create_map(*[F.lit(x).cast("long") for k, (bin_, base) in first_fit(sizes, capacity).items() for x in (k, bin_ * capacity + base)] or [F.lit(0).cast("long")] * 2)
-            at = F.element_at(places, F.col("_k"))
-            own = F.sum("length").over(Window.partitionBy("_k").orderBy("_rank")) - F.col("length")
+            sizes = {r[k_]: r["n"] for r in rest.groupBy(k_).agg(F.sum("length").alias("n")).collect()}  # a row for each class
+            places = F.create_map(*[F.lit(x).cast("long") for k, (at, base) in first_fit(sizes, capacity).items() for x in (k, at * capacity + base)] or [F.lit(0).cast("long")] * 2)
+            at = F.element_at(places, F.col(k_))
+            own = F.sum("length").over(Window.partitionBy(k_).orderBy(rank_)) - F.col("length")
             placed.append(rest.select(
                 *given, (F.lit((level + 1) * (capacity + 1) * room) + F.floor(at / capacity)).cast("long").alias("sequence_id"),
                 (at % capacity + own).cast("long").alias("offset"),
             ))
             break
-        left = cut_lineage(ranked.where(~full).select(*given, "_k"))
+        left = cut_lineage(ranked.where(~full).select(*given, k_))
         shares, level = -(-shares // fold), level + 1
     out = placed[0]
     for more in placed[1:]:

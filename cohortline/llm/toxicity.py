@@ -33,7 +33,6 @@ THRESHOLD = 0.3
 STEMS = (4, 5, 6)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 EDGES = ".,;:!?()[]{}\"'|#*$%&<>"
-_words = WordCache(150_000)
 
 
 def _hash(words: list[str]) -> list[bytes]:
@@ -45,12 +44,13 @@ def _hash(words: list[str]) -> list[bytes]:
     return out
 
 
-def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and hashed features of the texts, with repetitions."""
+def features(texts: list[str | None], bits: int = BITS, known: WordCache | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashed features of the texts, with repetitions; ``known`` keeps words of earlier calls."""
+    known = WordCache() if known is None else known
     lists = [(x or "").lower().split() for x in texts]
     size = np.fromiter(map(len, lists), np.int64, len(lists))
     row = np.repeat(np.arange(len(lists)), size)
-    units = np.frombuffer(b"".join(_words.values([w for x in lists for w in x], _hash)), "<u8").reshape(-1, 1 + len(STEMS))
+    units = np.frombuffer(b"".join(known.values([w for x in lists for w in x], _hash)), "<u8").reshape(-1, 1 + len(STEMS))
     shift = np.uint64(64 - bits)
     h = units[:, 0]
     rows, found = [row], [h * MIX >> shift]
@@ -81,8 +81,8 @@ class Weights:
         return full
 
 
-def score(table: np.ndarray, bias: float, texts: list[str | None], bits: int = BITS) -> np.ndarray:
-    row, index = features(texts, bits)
+def score(table: np.ndarray, bias: float, texts: list[str | None], bits: int = BITS, known: WordCache | None = None) -> np.ndarray:
+    row, index = features(texts, bits, known)
     hit = table[index] != 0
     pair = np.unique(row[hit] << np.int64(32) | index[hit])
     total = np.bincount(pair >> 32, weights=table[pair & 0xFFFFFFFF], minlength=len(texts)) + bias
@@ -131,8 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     known = docs.select(key, text).join(F.broadcast(sample), key).select(text, "_y", "_order")
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordCache()
         for batch in sliced(batches, text):
-            row, index = features(batch.column(text).to_pylist())
+            row, index = features(batch.column(text).to_pylist(), known=known)
             pair = np.unique(row << np.int64(32) | index)
             ends = np.searchsorted(pair >> 32, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((pair & 0xFFFFFFFF).astype(np.int32)))
@@ -156,9 +157,9 @@ def scored(docs: DataFrame, weights: Weights, text: str = "text", out: str = "sc
     arrow = arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = weights.table()
+        table, known = weights.table(), WordCache()
         for batch in sliced(batches, text):
-            found = pa.array(score(table, weights.bias, batch.column(text).to_pylist(), weights.bits), pa.float64())
+            found = pa.array(score(table, weights.bias, batch.column(text).to_pylist(), weights.bits, known), pa.float64())
             yield pa.RecordBatch.from_arrays([found if f.name == out else batch.column(f.name).cast(f.type) for f in arrow], schema=arrow)
 
     return docs.mapInArrow(run, schema)

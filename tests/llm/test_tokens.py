@@ -104,6 +104,29 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
 
 def test_counts_of_awkward_texts(spark):
     library = Tokenizer.from_file(BYTES)
-    rows = token_rollup.bpe_counts(documents(spark), BYTES).collect()
+    rows = token_rollup.bpe_counts(documents(spark), BYTES, n_tokens="text").collect()
     assert sorted(r["n_tokens"] for r in rows) == sorted(len(library.encode(t or "", add_special_tokens=False).ids) for _, t in TEXTS)
     assert zlib.crc32(b"") == 0
+
+
+def test_word_cache_is_bounded_in_bytes():
+    from cohortline.llm.common import WordCache
+
+    cache, made = WordCache(limit=100_000), []
+    make = lambda words: made.extend(words) or [w.encode() for w in words]
+    words = [f"w{i}" for i in range(5000)] + ["long" * 250_000, ("first",)]
+    take = lambda some: cache.values(some, lambda new: make([w[0] if isinstance(w, tuple) else w for w in new]))
+    assert take(words) == [(w[0] if isinstance(w, tuple) else w).encode() for w in words]
+    assert cache.size <= 100_000 + 1000 and len(cache.new) + len(cache.old) < 1000
+    assert not any(len(w) > WordCache.LONGEST for w in [*cache.new, *cache.old])
+    made.clear()
+    assert take(words[-1:] * 3) == [b"first"] * 3 and made == []
+    cache.clear()
+    assert cache.values(["a", "a"], lambda new: [b"A" for _ in new]) == [b"A", b"A"] and cache.size > 0
+
+
+def test_placing_keeps_columns_of_any_name(spark):
+    rows = [(i, 0, 300 + i, "mine", "yours", 7, 8, 9) for i in range(20)]
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, _k string, _share string, _n int, _rank int, _bin int")
+    got = packing.place(pieces).collect()
+    assert sorted(tuple(r)[:8] for r in got) == rows
