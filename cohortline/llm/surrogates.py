@@ -248,7 +248,7 @@ def redrawn(known: DataFrame, key: bytes) -> DataFrame:
         now = then
 
 
-def rewritten(docs: DataFrame, secret: str, doc_key: str = "doc_id", text: str = "text", out: str = "entities", broadcast_rows: int = BROADCAST_REDRAWN) -> DataFrame:
+def rewritten(docs: DataFrame, secret: str, text: str = "text", out: str = "entities", broadcast_rows: int = BROADCAST_REDRAWN) -> DataFrame:
     """The documents with entities in ``text`` replaced, and where they now stand in ``out``: an array of (kind, start, stop)."""
     key = secret.encode()
     known = cut_lineage(entities(docs, text))
@@ -257,16 +257,16 @@ def rewritten(docs: DataFrame, secret: str, doc_key: str = "doc_id", text: str =
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
     schema = appended(docs.schema, T.StructField(out, T.ArrayType(span), False))
     arrow = arrow_schema(schema)
-    column = free_name("_attempts", docs.columns)
+    column, digest = free_name("_attempts", docs.columns), free_name("_digest", docs.columns)
     if again.limit(broadcast_rows + 1).count() <= broadcast_rows:
         everywhere = {(r["kind"], r["norm"]): r["attempt"] for r in again.collect()}
         source = docs
     else:
         everywhere = {}
-        source = docs.join(_attempts(docs, again, doc_key, text, column), doc_key, "left")
+        source = docs.withColumn(digest, F.sha2(text, 256)).join(_attempts(docs, again, text, digest, column), digest, "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(100_000)
+        cache = WordCache()
         make = lambda words: [draw(key, *w) for w in words]
         for batch in sliced(batches, text):
             own = batch.column(column).to_pylist() if column in batch.schema.names else [None] * batch.num_rows
@@ -295,18 +295,21 @@ def rewritten(docs: DataFrame, secret: str, doc_key: str = "doc_id", text: str =
     return source.mapInArrow(run, schema)
 
 
-def _attempts(docs: DataFrame, again: DataFrame, doc_key: str, text: str, column: str) -> DataFrame:
-    """For documents that mention entities drawn again: those entities and their attempts, bounded by the mentions."""
-    schema = T.StructType([T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField("kind", T.StringType()), T.StructField("norm", T.StringType())])
+def _attempts(docs: DataFrame, again: DataFrame, text: str, digest: str, column: str) -> DataFrame:
+    """For texts that mention entities drawn again: those entities and their attempts, bounded by the mentions.
 
+    Texts stand for their rows, so that rows without an id and repeated ids find their own.
+    """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, "text"):
             row, found = [], []
-            for i, x in enumerate(batch.column(text).to_pylist()):
+            for i, x in enumerate(batch.column("text").to_pylist()):
                 some = {(m.kind, m.norm) for m in mentions(x)}
                 row += [i] * len(some)
                 found += sorted(some)
-            yield pa.RecordBatch.from_arrays([batch.column(doc_key).take(pa.array(row, pa.int64())), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=[doc_key, "kind", "norm"])
+            columns = [batch.column("digest").take(pa.array(row, pa.int64())), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "kind", "norm"])
 
-    each = docs.select(doc_key, text).mapInArrow(run, schema).distinct().join(again, ["kind", "norm"])
-    return each.groupBy(doc_key).agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias(column))
+    texts = docs.select(F.sha2(text, 256).alias("digest"), F.col(text).alias("text"))
+    each = texts.mapInArrow(run, "digest string, kind string, norm string").distinct().join(again, ["kind", "norm"])
+    return each.groupBy(F.col("digest").alias(digest)).agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias(column))

@@ -93,6 +93,18 @@ def test_both_ways_to_remember_draws(spark):
     assert len({r["text"] for r in a.values()}) == len(phones)
 
 
+def test_redrawn_rows_without_id(spark):
+    """A first draw that is a real value of another row is drawn again, whatever the ids and the way to remember."""
+    taken = surrogates.draw(b"key", "ip", "10.0.0.1", 0)
+    rows = [(None, "host 10.0.0.1"), (1, "host 10.0.0.1 again"), (2, f"host {taken}"), (2, "no address"), (None, f"{taken} and 10.0.0.1"), (None, None)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, _digest string, _attempts string")
+    texts = [sorted(((r["doc_id"], r["text"]) for r in surrogates.rewritten(docs, "key", **more).collect()), key=str) for more in ({}, {"broadcast_rows": -1})]
+    assert texts[0] == texts[1]
+    joined = " ".join(t or "" for _, t in texts[0])
+    assert "10.0.0.1" not in joined and taken not in joined
+    assert len(set(re.findall(r"[\d.]{7,}", joined))) == 2
+
+
 def test_redraw_settles_clashes(spark):
     """Two-character secrets of ten values cannot stay two characters long; all end up distinct and none is a real one."""
     from cohortline.functions.sizing import cut_lineage
