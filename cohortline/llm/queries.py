@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.functions.sizing import cut_lineage, shared_folder
+from cohortline.functions.sizing import cut_lineage, drop_cut, shared_folder
 from cohortline.llm import bpe, hard_negatives, line_dedup, merkle, metric_search, packing, perspectives, simhash, surrogates, token_rollup, toxicity, url_rules
 from cohortline.llm import quality_ledger as quality
 from cohortline.llm.common import read_table
@@ -35,26 +35,29 @@ LICENCE_LINE = "(^|\\n)Licensed under [^\\n]*"
 
 @query("op1_token_rollup")
 def token_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals after four loads, one of them delivered twice, the removal of exact copies, and counts revised without licence lines."""
+    """Totals after four loads, one of them delivered twice, the removal of exact copies, and counts revised without licence lines.
+
+    Rows of equal text are copies, whether or not their ids differ, and null texts are copies of each other; the one with the
+    smallest id stays, rows without an id before others.
+    """
     docs = documents(spark, folder, "doc_id", "source", "lang", "text")
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    changed = docs.where(F.col("text").rlike(LICENCE_LINE))
-    plain = changed.withColumn("text", F.regexp_replace("text", LICENCE_LINE, "")).withColumn("kind", F.lit("plain"))
-    both = docs.withColumn("kind", F.lit("whole")).union(plain)
-    counted = token_rollup.bpe_counts(both.withColumn("words", token_rollup.word_counts()).withColumn("digest", F.sha2("text", 256)), path, out="bpe")
-    counts = cut_lineage(counted.drop("text"))
-    whole = counts.where("kind = 'whole'")
+    licensed = F.col("text").rlike(LICENCE_LINE)
+    both = docs.withColumn("plain", F.when(licensed, F.regexp_replace("text", LICENCE_LINE, "")))
+    both = both.withColumns({"words": token_rollup.word_counts(), "new_words": token_rollup.word_counts("plain"), "digest": F.sha2("text", 256)})
+    counted = token_rollup.bpe_counts(both, public_tokenizers.path("byte_bpe_50k.json"), bpe="text", new_bpe="plain")
+    counts = cut_lineage(counted.withColumn("licensed", F.col("plain").isNotNull()).drop("text", "plain").withColumn("row", F.monotonically_increasing_id()))
+    # One row of each text stays: all rows are taken away and the first ones put back, so that no row has to find its copies.
+    own = ["source", "lang", "licensed", "bpe", "words", "new_bpe", "new_words"]
+    first = counts.groupBy("digest").agg(F.min_by(F.struct(*own), F.struct("doc_id", "row")).alias("first"))
+    first = cut_lineage(first.select("first.*"))
     rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
     versions = {"byte_bpe_50k": "bpe", "words-1": "words"}
     for part in [0, 1, 2, 3, 2]:
-        some = whole.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == part)
+        some = counts.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == part)
         rollup.commit(f"load-{part}", *[token_rollup.inserted(some, v, c) for v, c in versions.items()])
-    first = whole.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = whole.join(first, "digest").where(F.col("doc_id") > F.col("first"))
-    rollup.commit("copies", *[token_rollup.deleted(copies, v, c) for v, c in versions.items()])
-    new = counts.where("kind = 'plain'").select("doc_id", F.col("bpe").alias("new_bpe"), F.col("words").alias("new_words"))
-    kept = whole.join(first, "digest").where(F.col("doc_id") == F.col("first")).join(new, "doc_id")
-    rollup.commit("licences", *[token_rollup.revised(kept, v, c, f"new_{c}") for v, c in versions.items()])
+    rollup.commit("copies", *[change(rows, v, c) for change, rows in ((token_rollup.deleted, counts), (token_rollup.inserted, first)) for v, c in versions.items()])
+    rollup.commit("licences", *[token_rollup.revised(first.where("licensed"), v, c, f"new_{c}") for v, c in versions.items()])
+    drop_cut(counts, first)
     return rollup.totals()
 
 

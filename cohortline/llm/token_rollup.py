@@ -27,16 +27,17 @@ KEYS = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens")
 
 
-def bpe_counts(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """The rows with the number of byte-level BPE tokens of each whole text in ``out``; 0 for a null."""
-    schema = appended(docs.schema, T.StructField(out, T.LongType(), False))
-    arrow = arrow_schema(schema)
+def bpe_counts(docs: DataFrame, path: str, **counts: str) -> DataFrame:
+    """The rows with the number of byte-level BPE tokens of whole texts, ``name=column`` each; 0 for a null."""
+    schema = appended(docs.schema, *[T.StructField(name, T.LongType(), False) for name in counts])
+    arrow, first = arrow_schema(schema), next(iter(counts.values()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder(path).encode
-        for batch in sliced(batches, text):
-            found = pa.array([len(x) // 4 for x in encode(batch.column(text).to_pylist())], pa.int64())
-            yield pa.RecordBatch.from_arrays([found if f.name == out else batch.column(f.name).cast(f.type) for f in arrow], schema=arrow)
+        encoder = coder(path)
+        for batch in sliced(batches, first):
+            found = {name: pa.array([len(x) // 4 for x in encoder.encode(batch.column(text).to_pylist())], pa.int64()) for name, text in counts.items()}
+            yield pa.RecordBatch.from_arrays([found[f.name] if f.name in found else batch.column(f.name).cast(f.type) for f in arrow], schema=arrow)
+        encoder.cache.clear()
 
     return docs.mapInArrow(run, schema)
 

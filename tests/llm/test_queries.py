@@ -40,6 +40,17 @@ def test_rollup_query(spark):
     assert {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rows} == want
 
 
+def test_rollup_of_copies_and_nulls(spark, tmp_path):
+    """Equal rows, equal texts under other ids, and null texts count once; licence lines do not count."""
+    licence = "some words here\nLicensed under terms"
+    rows = [(1, licence, "en", "a"), (1, licence, "en", "a"), (7, licence, "en", "b"), (2, None, "en", "a"), (3, None, "de", "b"), (None, None, "de", "c"), (4, "", "en", "a"),
+            (5, "two words", "en", "a"), (5, "two words", "en", "a"), (6, "Licensed under x", None, None)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_queries.QUERIES["op1_token_rollup"](spark, str(tmp_path)).where("tokenizer = 'words-1'").collect()
+    assert {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in got} == {("a", "en"): (3, 5), ("c", "de"): (1, 0), (None, None): (1, 0)}
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs, kept = spark.read.parquet(f"{FOLDER}/documents.parquet"), {}
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
