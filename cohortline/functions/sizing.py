@@ -12,17 +12,27 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_BYTES = 128 << 20
 
 
+#: Bytes a value takes in a row, by its type; others take eight.
+WIDTHS = {"string": 20, "binary": 100, "boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+
+
+def row_bytes(df: DataFrame) -> int:
+    """What a row takes, about; an array counts as four values."""
+    width = lambda kind: 4 * width(kind[6:-1]) if kind.startswith("array<") else WIDTHS.get(kind, 8)
+    return 8 + sum(width(kind) for _, kind in df.dtypes)
+
+
 def checked_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
-    """Tell whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes; at most one row more is counted.
+    """Tell whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes.
 
-    A table that fits is cached, and the caller releases it; one that does not is not kept, and the caller needs an exact
-    plan for it.
+    At most one row more is written to the shared folder. If that is all of it, the written table stands for ``df`` from here on;
+    if not, the caller needs an exact plan for ``df`` itself.
     """
-    most = min(max_rows, max_bytes // max(1, df._jdf.schema().defaultSize()))
-    cached = df.persist()
-    if cached.limit(most + 1).count() <= most:
-        return cached, True
-    cached.unpersist()
+    most = min(max_rows, max_bytes // row_bytes(df))
+    some = cut_lineage(df.limit(most + 1))
+    if some.count() <= most:
+        return some, True
+    drop_cut(some)
     return df, False
 
 
@@ -38,9 +48,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    A session without that setting uses its warehouse, which all executors share as well.
+    A session without that setting uses its warehouse, unless that is a folder of the driver's machine which the executors of a
+    cluster do not see.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        one_machine = spark.sparkContext.master.startswith("local")
+        if not one_machine and (base.startswith("file:") or ":" not in base):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/_cohortline/{spark.sparkContext.applicationId}"
 
 

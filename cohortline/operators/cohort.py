@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions import fixed_values as V
-from cohortline.functions.columns import find, flag, relabel
+from cohortline.functions.columns import any_of, find, flag, relabel, total
 from cohortline.operators.timejoin import earliest_per_key, forward_interval, seen_before
 
 RECORD_ORDER = ["date", "source", "ranking", "code", "rec_id"]
@@ -74,9 +74,13 @@ def prior_diagnosis(history: DataFrame, recent: DataFrame, pattern: str, cutoff:
     return id_union(old, new)
 
 
+def is_listed_drug(bnf: str = V.TB_DRUG_BNF, items: str = V.TB_DRUG_ITEMS_PRIOR) -> Column:
+    """Drug class (case-sensitive) and item code (any case)."""
+    return find(F.col("bnf"), bnf) & find(F.col("item_cd"), items, ignore_case=True)
+
+
 def drug_records(rx: DataFrame, bnf: str = V.TB_DRUG_BNF, items: str = V.TB_DRUG_ITEMS_PRIOR) -> DataFrame:
-    """Drug class first (case-sensitive), then item code (any case)."""
-    return rx.where(find(F.col("bnf"), bnf) & find(F.col("item_cd"), items, ignore_case=True))
+    return rx.where(is_listed_drug(bnf, items))
 
 
 def prior_drug(history: DataFrame, recent: DataFrame, cutoff: Column | None = None,
@@ -93,6 +97,48 @@ def prior_drug(history: DataFrame, recent: DataFrame, cutoff: Column | None = No
     return id_union(old, new)
 
 
+def reason_hits(records: DataFrame, tests: Mapping[str, Column], date: str = "date", key: str = "patient_id") -> DataFrame:
+    """One row per patient with any hit: a bit for each test that a history record meets, and the first recent day of each.
+
+    All tests are one pass and one aggregate, combined before the shuffle; ``records`` has a boolean ``_old``.
+    """
+    bits = [F.when(t, F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(tests.values())]
+    marked = records.select(key, F.col(date).alias("_day"), "_old", F.coalesce(total(bits), F.lit(0)).cast("long").alias("_hits")).where("_hits <> 0")
+    recent = lambda i: F.when(~F.col("_old") & (F.getbit("_hits", F.lit(i)) == 1), F.col("_day"))
+    hits = marked.groupBy(key).agg(
+        F.bit_or(F.when(F.col("_old"), F.col("_hits")).otherwise(F.lit(0))).alias("_before"), *[F.min(recent(i)).alias(f"_since_{i}") for i in range(len(tests))])
+    return hits.select(key, *[
+        F.struct((F.getbit("_before", F.lit(i)) == 1).alias("before"), F.col(f"_since_{i}").alias("since")).alias(name) for i, name in enumerate(tests)])
+
+
+def mark_reasons(cohort: DataFrame, reasons: Mapping[str, DataFrame], cutoff: Column, key: str = "patient_id") -> DataFrame:
+    """The cohort with a boolean ``_has_<name>`` for each reason: a history hit, or a recent one before the cut-off.
+
+    Each table of :func:`reason_hits` is joined once, whatever the number of reasons it answers.
+    """
+    tables: dict[int, tuple[DataFrame, list[str]]] = {}
+    for name, hits in reasons.items():
+        tables.setdefault(id(hits), (hits, []))[1].append(name)
+    out = cohort
+    for i, (hits, names) in enumerate(tables.values()):
+        own = hits.select(F.col(key).alias(f"_key{i}"), *[F.col(n).alias(f"_hit_{n}") for n in names])
+        out = out.join(own, F.col(key) == F.col(f"_key{i}"), "left").drop(f"_key{i}")
+    found = {f"_has_{n}": F.coalesce(F.col(f"_hit_{n}.before"), F.lit(False)) | F.coalesce(F.col(f"_hit_{n}.since") < cutoff, F.lit(False)) for n in reasons}
+    return out.withColumns(found).drop(*[f"_hit_{n}" for n in reasons])
+
+
+def without_reasons(cohort: DataFrame, reasons: Mapping[str, DataFrame], cutoff: Column, key: str = "patient_id") -> DataFrame:
+    """The rows that no reason excludes."""
+    return mark_reasons(cohort, reasons, cutoff, key).where(~any_of([F.col(f"_has_{n}") for n in reasons])).select(*cohort.columns)
+
+
+def study_exclusions(dx: DataFrame, rx: DataFrame) -> dict[str, DataFrame]:
+    """Prior disease, metastases and drugs from record tables with ``_old``, each of them read once."""
+    diagnoses = reason_hits(dx, {"disease": find(F.col("code"), V.TUBERCULOSIS_DX), "metastatic": find(F.col("code"), V.METASTATIC_DX)})
+    drugs = reason_hits(rx, {"drug": is_listed_drug()}, "disp_date")
+    return {"disease": diagnoses, "metastatic": diagnoses, "drug": drugs}
+
+
 def mixed_brand_ids(cohort: DataFrame, first: str = "brand_1st", second: str = "brand_2nd",
                     key: str = "patient_id") -> DataFrame:
     return cohort.where(F.col(first) != F.col(second)).select(key).distinct()

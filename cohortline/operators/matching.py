@@ -4,8 +4,9 @@ A case may draw from every patient with a control record of the same attributes,
 within the gaps. All cases with the same attributes, age and date share that pool, so pools are
 built once per such *cell*; the number of cells is bounded by the calendar and the attribute values.
 Pairs of case and control are never listed. Each pool is put into a hash order and numbered; a case
-starts at a position given by its own hash and takes the next K patients, going round. For one
-case this is a uniform draw without replacement, and the work is linear in records and cases.
+draws K distinct numbers below the pool's size by Floyd's method, one keyed hash for each, and takes the
+patients that have them. That is a uniform draw without replacement, independent of the draws of all
+other cases, and the work is linear in records and cases.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ MAX_CELL_DAYS = 500_000
 POOL_ROWS_PER_TASK = 200_000
 
 
+def inpatient_records(dx: DataFrame, cutoff: Column, *more: str, key: str = "patient_id") -> DataFrame:
+    """Inpatient records from the cut-off on, written once: cases, control pool and first events all come from them."""
+    kept = dx.where((F.col("date") >= cutoff) & (F.col("source") == V.INPATIENT))
+    return cut_lineage(kept.select(*dict.fromkeys([key, "rec_id", "date", "code", "source", "ranking", *more])))
+
+
 def control_pool(dx: DataFrame, cohort: DataFrame, cases: DataFrame, cutoff: Column,
                  pattern: str = V.TUBERCULOSIS_DX, key: str = "patient_id") -> DataFrame:
     """Inpatient records from the cut-off on of eligible patients who are not cases, plus the
@@ -55,6 +62,23 @@ def _hash_text(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
+def draw_without_replacement(size: Column, k: int, *keys: Column) -> Column:
+    """At most k distinct numbers from 0 to size - 1, chosen by the keys; every set of them is equally likely.
+
+    For j from size - k on, a hashed number up to j is taken, or j itself if that number is taken already.
+    """
+    hashed = lambda j: F.conv(F.substring(_hash_text(*keys, j), 1, 12), 16, 10).cast("long")
+    nothing = F.array().cast("array<bigint>")
+
+    def step(taken: Column, j: Column) -> Column:
+        number = hashed(j) % (j + 1)
+        return F.array_append(taken, F.when(F.array_contains(taken, number), j).otherwise(number))
+
+    last = size.cast("long")
+    numbers = F.sequence(last - F.least(last, F.lit(k)), last - 1)
+    return F.when(last > 0, F.aggregate(numbers, nothing, step)).otherwise(nothing)
+
+
 def _pools(cells: DataFrame, controls: DataFrame, age: str, age_gap: int, date: str, date_gap: int,
            match_vars: Sequence[str], key: str) -> DataFrame:
     """Distinct (cell, patient) with a control record inside the gaps for every match variable."""
@@ -105,11 +129,10 @@ def match_controls(cohort: DataFrame, case_var: str = "tb", age: str = "age", ag
     numbered = bucketed.withColumn("_rn", F.row_number().over(in_bucket)).join(shifts, [*names, "_bucket"]).select(
         *names, F.col(key).alias("control_id"), (F.col("_shift") + F.col("_rn") - 1).alias("_rank"))
 
-    start = F.conv(F.substring(_hash_text(F.lit(seed), F.col(key), F.col(date)), 1, 12), 16, 10).cast("long")
     slots = cases.join(totals, names, "left").withColumn("pool_size", F.coalesce("pool_size", F.lit(0)))
+    slots = slots.withColumn("_picks", draw_without_replacement(F.col("pool_size"), k, F.lit(seed), F.col(key), F.col(date)))
     slots = slots.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    slots = slots.withColumn("_rank", F.when(
-        F.col("m") <= F.col("pool_size"), (start + F.col("m") - 1) % F.col("pool_size")))
+    slots = slots.withColumn("_rank", F.get("_picks", F.col("m") - 1)).drop("_picks")
     drawn = slots.join(numbered, [*names, "_rank"], "left")
     return drawn.select(F.col(key).alias("case_id"), *names, "pool_size", F.col("m").cast("int"), "control_id")
 

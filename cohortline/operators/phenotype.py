@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.functions.columns import any_of, find, flag, present, total
+from cohortline.functions.code_index import CodeIndex
+from cohortline.functions.columns import flag, present, total
 from cohortline.functions.fixed_values import INDEX_SUPERSEDED_BY, INDEX_WEIGHTS
-from cohortline.functions.sizing import checked_small
-from cohortline.operators.timejoin import episode_overlap
+from cohortline.operators.timejoin import carried_overlap
 from cohortline.sources.tables import Rule
 
-# rows of the code dictionary that may be broadcast: about 200 bytes each
-MAX_DICTIONARY = 100_000
 # rules that become columns of one aggregate
-BLOCK_RULES = 200
+BLOCK_RULES = 1000
 
 
 def blocks(rules: Sequence[Rule]) -> list[Sequence[Rule]]:
@@ -24,48 +22,44 @@ def blocks(rules: Sequence[Rule]) -> list[Sequence[Rule]]:
     return [rules[i:i + BLOCK_RULES] for i in range(0, len(rules), BLOCK_RULES)]
 
 
-def tag_records(records: DataFrame, code: str, rules: Sequence[Rule],
-                max_dictionary: int = MAX_DICTIONARY) -> tuple[DataFrame, dict[str, Column]]:
-    """Records that match at least one rule, and one boolean column per rule.
+def matched_rules(records: DataFrame, code: str, rules: Sequence[Rule]) -> DataFrame:
+    """Each record once for every rule its code matches, with the rule's number in ``_rule``.
 
-    Rules are tested once per distinct code when the dictionary of codes is small enough to
-    broadcast, otherwise on the records themselves. Both give the same rows.
+    One pass over the records; what it costs follows the matches, not the number of rules.
     """
-    tests = {r.name: find(F.col(code), r.regex, ignore_case=True) for r in rules}
-    matched = any_of(list(tests.values()))
-    # Both steps are cached: otherwise the planner moves the tests below the distinct, and infers
-    # them for the records from the join.
-    codes, fits = checked_small(records.select(code).distinct(), max_dictionary)
-    if fits:
-        dictionary = codes.where(matched).select(code, *[t.alias(f"_is_{n}") for n, t in tests.items()]).persist()
-        return records.join(F.broadcast(dictionary), code), {n: F.col(f"_is_{n}") for n in tests}
-    return records.where(matched), tests
+    return CodeIndex.of([r.regex for r in rules]).matches(records, code)
 
 
 def history_flags(records: DataFrame, anchors: DataFrame, rules: Sequence[Rule], code: str = "code",
                   key: str = "patient_id", anchor: str = "index_date", date: str = "date") -> DataFrame:
     """Anchor rows plus one 0/1 column per rule: a matching record strictly before the anchor.
 
-    The earliest matching date per patient and rule decides, so one aggregate over the records
-    serves any number of anchors per patient.
+    The earliest matching date per patient and rule decides, so one aggregate over the matches serves any number of anchors
+    per patient.
     """
     out = anchors
     for block in blocks(rules):
-        tagged, tests = tag_records(records, code, block)
-        first = tagged.groupBy(key).agg(
-            *[F.min(F.when(t, F.col(date))).alias(f"_first_{n}") for n, t in tests.items()])
-        flags = {n: flag(F.col(f"_first_{n}") < F.col(anchor)) for n in tests}
-        out = out.join(first, key, "left").select(*out.columns, *[c.alias(n) for n, c in flags.items()])
+        tagged = matched_rules(records.select(key, code, date), code, block)
+        firsts = tagged.groupBy(key, "_rule").agg(F.min(date).alias("_first"))
+        wide = firsts.groupBy(key).pivot("_rule", list(range(len(block)))).agg(F.min("_first"))
+        wide = wide.toDF(key, *[f"_first_{r.name}" for r in block])
+        flags = [flag(F.col(f"_first_{r.name}") < F.col(anchor)).alias(r.name) for r in block]
+        out = out.join(wide, key, "left").select(*out.columns, *flags)
     return out
 
 
 def episode_flags(records: DataFrame, anchors: DataFrame, rules: Sequence[Rule], code: str, lookback: int,
-                  anchor_keys: Sequence[str], anchor: str = "index_date", inclusive: bool = False) -> DataFrame:
+                  anchor_keys: Sequence[str], anchor: str = "index_date", inclusive: bool = False,
+                  key: str = "patient_id", start: str = "disp_date", end: str = "end_date") -> DataFrame:
     """``anchor_keys`` plus one 0/1 column per drug rule for episodes overlapping the look-back."""
     out = None
     for block in blocks(rules):
-        tagged, tests = tag_records(records, code, block)
-        part = episode_overlap(tagged, anchors, tests, lookback, anchor_keys, anchor=anchor, inclusive=inclusive)
+        tagged = matched_rules(records.select(key, code, start, end), code, block)
+        # the latest end per patient, day and rule decides; a day of a patient is one row of all rules
+        ends = tagged.groupBy(key, start, "_rule").agg(F.max(end).alias("_end"))
+        wide = ends.groupBy(key, start).pivot("_rule", list(range(len(block)))).agg(F.max("_end"))
+        names = [r.name for r in block]
+        part = carried_overlap(wide.toDF(key, start, *names), anchors, names, lookback, anchor_keys, key, anchor, start, inclusive)
         out = part if out is None else out.join(part, list(anchor_keys))
     return anchors.select(*anchor_keys).distinct() if out is None else out
 

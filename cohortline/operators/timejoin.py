@@ -63,9 +63,16 @@ def episode_overlap(records: DataFrame, anchors: DataFrame, flags: Mapping[str,
     decide, so records are reduced to that first. Along a patient's days the latest end so far is carried to the anchors, so
     the work is linear in days and anchors.
     """
+    daily = records.groupBy(key, start).agg(*[F.max(F.when(c, F.col(end))).alias(n) for n, c in flags.items()])
+    return carried_overlap(daily, anchors, list(flags), lookback, anchor_keys, key, anchor, start, inclusive)
+
+
+def carried_overlap(daily: DataFrame, anchors: DataFrame, flags: Sequence[str], lookback: int, anchor_keys: Sequence[str],
+                    key: str = "patient_id", anchor: str = "index_date", start: str = "disp_date", inclusive: bool = False) -> DataFrame:
+    """As :func:`episode_overlap`, from one row per patient and start day with each flag's latest end in its column."""
     ends = [f"_end_{n}" for n in flags]
-    daily = records.where(F.col(key).isNotNull() & F.col(start).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(start).alias("_day")).agg(
-        *[F.max(F.when(c, F.col(end))).alias(e) for e, c in zip(ends, flags.values())])
+    daily = daily.where(F.col(key).isNotNull() & F.col(start).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(start).alias("_day"), *[F.col(n).alias(e) for e, n in zip(ends, flags, strict=True)])
     own = anchors.select(*anchor_keys).distinct().select(
         F.col(key).alias("_key"), F.col(anchor).alias("_day"), F.struct(*anchor_keys).alias("_own"))
     first, second = (daily, own) if inclusive else (own, daily)
@@ -73,7 +80,7 @@ def episode_overlap(records: DataFrame, anchors: DataFrame, flags: Mapping[str,
     so_far = Window.partitionBy("_key").orderBy("_day", "_order").rowsBetween(Window.unboundedPreceding, 0)
     carried = rows.select("_own", "_day", *[F.max(e).over(so_far).alias(e) for e in ends]).where("_own IS NOT NULL")
     limit = F.date_sub("_day", lookback)
-    return carried.select("_own.*", *[flag(F.col(e) >= limit).alias(n) for e, n in zip(ends, flags)])
+    return carried.select("_own.*", *[flag(F.col(e) >= limit).alias(n) for e, n in zip(ends, flags, strict=True)])
 
 
 def window_counts(records: DataFrame, anchors: DataFrame, classes: Mapping[str, str], days: int,

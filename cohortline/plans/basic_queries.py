@@ -200,18 +200,17 @@ UNION ALL SELECT 1, 'early death', count(*) FROM s1 UNION ALL SELECT 2, 'age', c
 UNION ALL SELECT 3, 'prior disease', count(*) FROM s3 UNION ALL SELECT 4, 'metastatic', count(*) FROM s4
 UNION ALL SELECT 5, 'prior drug', count(*) FROM s5""")
 def attrition_flow(spark, folder):
-    people = D.patients(spark, folder)
-    own = people.select("patient_id", "index_date")
-    hist, recent = D.dx_hist(spark, folder), D.dx_recent(spark, folder)
-    rx = D.rx(spark, folder)
+    """Registry rows left after each step; each record table is read once for all reasons."""
+    dx, rx = D.dx(spark, folder), D.rx(spark, folder)
     split = F.to_date(F.lit(D.HISTORY_SPLIT))
+    reasons = C.study_exclusions(dx.withColumn("_old", F.col("date") < split), rx.withColumn("_old", F.col("disp_date") < split))
+    people = C.mark_reasons(D.patients(spark, folder), reasons, F.col("index_date"))
     return C.attrition(people, [
         ("early death", C.died_before(people)),
         ("age", F.col("age") - 1 < V.ADULT_AGE),
-        ("prior disease", C.prior_diagnosis(hist, recent, V.TUBERCULOSIS_DX, anchors=own)),
-        ("metastatic", C.prior_diagnosis(hist, recent, V.METASTATIC_DX, anchors=own)),
-        ("prior drug", C.prior_drug(rx.where(F.col("disp_date") < split), rx.where(F.col("disp_date") >= split),
-                                    anchors=own)),
+        ("prior disease", F.col("_has_disease")),
+        ("metastatic", F.col("_has_metastatic")),
+        ("prior drug", F.col("_has_drug")),
     ])
 
 

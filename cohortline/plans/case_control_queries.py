@@ -20,8 +20,12 @@ def _cutoff():
     return F.to_date(F.lit(D.HISTORY_SPLIT))
 
 
-def _cases(spark, folder):
-    return C.cases_filter_first(D.dx_recent(spark, folder), _cutoff(), CODED)
+def _inpatient(spark, folder):
+    return M.inpatient_records(D.dx_recent(spark, folder), _cutoff())
+
+
+def _cases(records):
+    return C.cases_filter_first(records, _cutoff(), CODED)
 
 
 CASES = """
@@ -36,15 +40,15 @@ pool AS (SELECT d.* FROM v_dx_recent d
   WHERE d.source = '1.IP' AND (f.first_date IS NULL OR d.date < f.first_date))"""
 
 
-def _pool(spark, folder, cases):
-    dx = D.dx_recent(spark, folder)
-    return M.control_pool(dx, D.patients(spark, folder), cases, _cutoff(), CODED)
+def _pool(spark, folder, records, cases):
+    return M.control_pool(records, D.patients(spark, folder), cases, _cutoff(), CODED)
 
 
 @query(f"WITH {CASES} SELECT patient_id, rec_id, date, code FROM pool")
 def control_pool(spark, folder):
     """Inpatient records that may serve as controls."""
-    return _pool(spark, folder, _cases(spark, folder)).select("patient_id", "rec_id", "date", "code")
+    records = _inpatient(spark, folder)
+    return _pool(spark, folder, records, _cases(records)).select("patient_id", "rec_id", "date", "code")
 
 
 STACK = CASES + """,
@@ -58,8 +62,9 @@ stack AS (SELECT r.*, age, sex, date_1st, date_2nd FROM (
 def _stack(spark, folder):
     """Cases and control records with registry columns, known sex, adults."""
     people = C.adults(D.patients(spark, folder).where(F.col("sex").isin("M", "F")))
-    cases = cut_lineage(_cases(spark, folder).select("patient_id", "date", F.col("code").alias("case_code")))
-    pool = _pool(spark, folder, cases).select("patient_id", "date")
+    records = _inpatient(spark, folder)
+    cases = cut_lineage(_cases(records).select("patient_id", "date", F.col("code").alias("case_code")))
+    pool = _pool(spark, folder, records, cases).select("patient_id", "date")
     stacked = M.stack_case_control(cases, pool)
     return stacked.join(people.select("patient_id", "age", "sex", "date_1st", "date_2nd"), "patient_id")
 
@@ -74,6 +79,15 @@ def case_control_stack(spark, folder):
         F.count_distinct("patient_id").alias("n_patients"), F.min("date").alias("first_date"))
 
 
+def _draw(i: int) -> str:
+    """The i-th number of a draw: a hashed one up to j, or j if that is taken."""
+    j = f"(pool_size - least(pool_size, 10) + {i - 1})"
+    number = f"CAST('0x' || substr(md5(concat_ws('|', '475', case_id, date, {j})), 1, 12) AS BIGINT) % ({j} + 1)"
+    return f"""drawn{i} AS (SELECT * REPLACE (CASE WHEN {i} > pool_size THEN picks
+  WHEN list_contains(picks, {number}) THEN list_append(picks, {j}) ELSE list_append(picks, {number}) END AS picks) FROM drawn{i - 1})"""
+
+
+_DRAWS = ",\n".join(_draw(i) for i in range(1, 11))
 MATCH = STACK + f""",
 cc AS (SELECT patient_id, date, tb, CAST(age - 1 AS INTEGER) AS age, sex FROM stack),
 cells AS (SELECT DISTINCT sex, age, date FROM cc WHERE tb = 1),
@@ -83,13 +97,11 @@ pairs AS (SELECT DISTINCT c.sex, c.age, c.date, o.patient_id AS control_id FROM
 ranked AS (SELECT *, row_number() OVER (PARTITION BY sex, age, date
     ORDER BY md5(concat_ws('|', '475', sex, age, date, control_id)), control_id) - 1 AS rnk,
   count(*) OVER (PARTITION BY sex, age, date) AS n FROM pairs),
-slots AS (SELECT c.patient_id AS case_id, c.sex, c.age, c.date, coalesce(t.n, 0) AS pool_size,
-    CAST(s.m AS INTEGER) AS m,
-    CASE WHEN s.m <= t.n THEN (CAST('0x' || substr(md5(concat_ws('|', '475', c.patient_id, c.date)), 1, 12) AS BIGINT)
-                              + s.m - 1) % t.n END AS rnk
-  FROM cc c CROSS JOIN range(1, 11) s(m)
-  LEFT JOIN (SELECT DISTINCT sex, age, date, n FROM ranked) t ON t.sex = c.sex AND t.age = c.age AND t.date = c.date
+drawn0 AS (SELECT c.patient_id AS case_id, c.sex, c.age, c.date, coalesce(t.n, 0) AS pool_size, CAST([] AS BIGINT[]) AS picks
+  FROM cc c LEFT JOIN (SELECT DISTINCT sex, age, date, n FROM ranked) t ON t.sex = c.sex AND t.age = c.age AND t.date = c.date
   WHERE c.tb = 1),
+{_DRAWS},
+slots AS (SELECT case_id, sex, age, date, pool_size, CAST(s.m AS INTEGER) AS m, picks[s.m] AS rnk FROM drawn10 CROSS JOIN range(1, 11) s(m)),
 matched AS (SELECT s.case_id, s.sex, s.age, s.date, CAST(s.pool_size AS BIGINT) AS pool_size, s.m, r.control_id
   FROM slots s LEFT JOIN ranked r ON r.sex = s.sex AND r.age = s.age AND r.date = s.date AND r.rnk = s.rnk)"""
 

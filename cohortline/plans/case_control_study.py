@@ -26,19 +26,14 @@ def population(t: StudyTables, start: Column) -> DataFrame:
     """Registry without mixed brands, prior disease, prior drugs and metastases before the start."""
     people = t.registry.where(F.col("patient_id").isNotNull())
     people = people.withColumn("age", (F.col("age") - 1).cast("int"))
-    for reason in (
-        C.mixed_brand_ids(people),
-        C.prior_diagnosis(t.dx_hist, t.dx_recent, V.TUBERCULOSIS_DX, start),
-        C.prior_drug(t.rx_hist, t.rx_recent, start),
-        C.prior_diagnosis(t.dx_hist, t.dx_recent, V.METASTATIC_DX, start),
-    ):
-        people = C.exclude(people, reason)
-    return people
+    people = C.exclude(people, C.mixed_brand_ids(people))
+    return C.without_reasons(people, C.study_exclusions(*t.by_age()), start)
 
 
-def verified_cases(t: StudyTables, people: DataFrame, start: Column, pattern: str = V.TUBERCULOSIS_DX) -> DataFrame:
+def verified_cases(t: StudyTables, people: DataFrame, start: Column, pattern: str = V.TUBERCULOSIS_DX,
+                   records: DataFrame | None = None) -> DataFrame:
     """Earliest primary inpatient record, confirmed by a regimen; one row per case."""
-    first = C.keep(C.cases_filter_first(t.dx_recent, start, pattern), people)
+    first = C.keep(C.cases_filter_first(t.dx_recent if records is None else records, start, pattern), people)
     treated = C.treatment_records(t.rx_recent, first, after=start)
     return C.regimen_confirmed(C.regimen_flags(first, treated), duplicate=False)
 
@@ -48,8 +43,9 @@ def case_control_rows(t: StudyTables, start: str = V.CASE_CONTROL_START, pattern
     """Cases and control records of adults of known sex, none of them between two doses."""
     begin = F.to_date(F.lit(start))
     people = cut_lineage(population(t, begin).select(*REGISTRY))
-    cases = cut_lineage(verified_cases(t, people, begin, pattern) if cases is None else C.keep(cases, people))
-    pool = M.control_pool(t.dx_recent, people, cases, begin, pattern)
+    records = M.inpatient_records(t.dx_recent, begin)
+    cases = cut_lineage(verified_cases(t, people, begin, pattern, records) if cases is None else C.keep(cases, people))
+    pool = M.control_pool(records, people, cases, begin, pattern)
     stacked = M.stack_case_control(cases.select("patient_id", "date"), pool.select("patient_id", "date"))
     known = people.where(F.col("sex").isin("M", "F") & (F.col("age") >= V.ADULT_AGE))
     rows = C.dose_status(stacked.join(known, "patient_id"))

@@ -27,14 +27,7 @@ OUTCOMES = {"tb": "time_tb", "tb_late": "time_tb_late", "ap": "time_ap", "death"
 def eligible(t: StudyTables) -> DataFrame:
     """Adults alive at the second index date without the disease, metastases or the drugs before."""
     people = C.adults(C.exclude_early_death(t.registry))
-    own = people.select("patient_id", "index_date")
-    for reason in (
-        C.prior_diagnosis(t.dx_hist, t.dx_recent, V.TUBERCULOSIS_DX, anchors=own),
-        C.prior_diagnosis(t.dx_hist, t.dx_recent, V.METASTATIC_DX, anchors=own),
-        C.prior_drug(t.rx_hist, t.rx_recent, anchors=own),
-    ):
-        people = C.exclude(people, reason)
-    return people
+    return C.without_reasons(people, C.study_exclusions(*t.by_age()), F.col("index_date"))
 
 
 def outcomes(t: StudyTables, people: DataFrame, study_end: Column, pattern: str = V.TUBERCULOSIS_DX,

@@ -61,6 +61,12 @@ def combine_history(history: DataFrame, recent: DataFrame, month: str, date: str
     return fill_union(recent, dated.select([c for c in recent.columns if c in dated.columns]))
 
 
+def both_ages(history: DataFrame, recent: DataFrame, columns: Sequence[str], date: str, key: str = "patient_id") -> DataFrame:
+    """History and recent records as one table; ``_old`` tells the history, whose date is not needed."""
+    old = history.select(key, *columns, F.lit(None).cast("date").alias(date), F.lit(True).alias("_old"))
+    return old.unionAll(recent.select(key, *columns, date, F.lit(False).alias("_old")))
+
+
 def with_end_date(rx: DataFrame, start: str = "disp_date", days: str = "days", end: str = "end_date") -> DataFrame:
     """Episode end = dispensing date + duration."""
     return rx.withColumn(end, F.date_add(F.col(start), F.col(days).cast("int")))
@@ -110,5 +116,10 @@ class StudyTables:
     def rx(self) -> DataFrame:
         return with_end_date(combine_history(self.rx_hist, self.rx_recent, "disp_ym", "disp_date"))
 
+    def by_age(self) -> tuple[DataFrame, DataFrame]:
+        """Diagnoses and dispensings with ``_old`` for the history, whose months are not needed to exclude a patient."""
+        dx = both_ages(self.dx_hist, self.dx_recent, ["code"], "date")
+        return dx, both_ages(self.rx_hist, self.rx_recent, ["bnf", "item_cd"], "disp_date")
+
     def encounters(self) -> DataFrame:
         return combine_history(self.enc_hist, self.enc_recent, "date_ym", "date")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortline.functions import columns as X
+from cohortline.functions.code_index import CodeIndex
 from cohortline.functions.fixed_values import INDEX_WEIGHTS
 from cohortline.operators import cohort as C
 from cohortline.operators import describe as B
@@ -52,15 +53,41 @@ def test_long_early_episode_is_not_hidden_by_a_short_late_one(spark):
     assert flags.first()["rx_a"] == 1
 
 
-def test_dictionary_and_direct_rules_agree(spark):
-    dx = spark.createDataFrame([(i % 5, day(-i), f"{i % 40:03d}") for i in range(200)],
-                               "patient_id long, date date, code string")
-    rules = [Rule("a", "^00[1-5]"), Rule("b", "^01|^003"), Rule("c", "9$")]
-    out = []
-    for limit in (100_000, 3):
-        tagged, tests = P.tag_records(dx, "code", rules, limit)
-        out.append(sorted(tagged.select("patient_id", "date", "code", *[c.alias(n) for n, c in tests.items()]).collect()))
-    assert out[0] == out[1] and len(out[0]) > 0
+@pytest.mark.parametrize("ignore_case", [True, False])
+def test_indexed_rules_agree_with_their_patterns(spark, ignore_case):
+    """Prefixes, whole codes, classes, optional characters and what only a regular expression can say."""
+    patterns = ["^00[1-5]", "^01|^003", "9$", "^rif[ai]0", "^RIFA1[16]", "^2[.]1$", "^2[.]1[0-2]?$", "^5.1", "^a?b", "^x?", "^[^0]1", "^0[0-9][0-9]$", "^ISON1[012]|^ison0[1-9]",
+                "^(12|34)", "^V\\.7", "^é", "^0", "^k"]
+    codes = [f"{i:03d}" for i in range(60)] + ["rifa01", "RIFI02", "Rifa11", "rifA16", "RIFA11", "2.1", "2.10", "2.13", "2.1x", "5x1", "b", "ab", "AB1", "ISON10", "ison03", "iSoN12", "12", "34a",
+                                               "v.7", "V.71", "é1", "É1", "", None, "\u212a1", "K1", "k", "01"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "row int, code string")
+    got = {(r["row"], r["_rule"]) for r in CodeIndex.of(patterns, ignore_case).matches(df, "code").collect()}
+    want = set()
+    for n, p in enumerate(patterns):
+        want |= {(r["row"], n) for r in df.where(F.col("code").rlike(f"(?i){p}" if ignore_case else p)).collect()}
+    assert got == want and {n for _, n in want} >= set(range(16))
+
+
+def test_rules_prune_the_scan(spark, tmp_path):
+    dx = spark.createDataFrame([(i % 5, day(-i), f"{i:03d}") for i in range(200)], "patient_id long, date date, code string")
+    dx.write.parquet(f"{tmp_path}/dx")
+    stored = spark.read.parquet(f"{tmp_path}/dx")
+    flags = P.history_flags(stored, anchors(spark, 5), [Rule("dx_a", "^01[0-8]"), Rule("dx_b", "^15|^RIF")])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = flags._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert plan.count("FileScan parquet") == 1
+    assert "GreaterThanOrEqual(code,01" in plan and "LessThan(code," in plan and "GreaterThanOrEqual(code,R" in plan
+    assert [r["dx_a"] for r in flags.orderBy("patient_id").collect()] == [1] * 5
+
+
+def test_many_rules(spark):
+    """A thousand rules are one pass, each right."""
+    dx = spark.createDataFrame([(i % 7, day(-1), f"{i:03d}") for i in range(0, 1000, 3)], "patient_id long, date date, code string")
+    rules = [Rule(f"dx_{i}", f"^{i:03d}") for i in range(1000)]
+    rows = {r["patient_id"]: r.asDict() for r in P.history_flags(dx, anchors(spark, 7), rules).collect()}
+    for i in range(1000):
+        assert {p for p in rows if rows[p][f"dx_{i}"]} == ({i % 7} if i % 3 == 0 else set())
 
 
 def test_fourteen_day_window(spark):
@@ -110,7 +137,10 @@ def test_combination_recode_is_case_sensitive(spark):
 def test_graver_form_supersedes(spark):
     df = spark.createDataFrame([(1, 1, 0, 1), (1, 0, 1, 0), (0, 0, 1, 1)],
                                "dx_dm_com0 int, dx_dm_com1 int, dx_liver_mild int, dx_liver_modsev int")
-    assert [r["cci"] for r in P.comorbidity_index(df).collect()] == [2 + 3, 1 + 1, 3]
+    absent = [c for c in INDEX_WEIGHTS if c not in df.columns]
+    assert [r["cci"] for r in P.comorbidity_index(df, absent=absent).collect()] == [2 + 3, 1 + 1, 3]
+    with pytest.raises(ValueError, match="dx_mi"):
+        P.comorbidity_index(df)
 
 
 def test_exclusions_keep_unknown(spark):
@@ -203,6 +233,25 @@ def test_attrition_counts_in_order(spark):
     assert got == [("registry", 10), ("young", 7), ("listed", 5)]
 
 
+def test_reasons_from_one_pass(spark):
+    """History counts whatever its date, recent records before the cut-off; rows of unknown id stay."""
+    people = spark.createDataFrame([(i, D0) for i in range(6)] + [(None, D0), (7, None), (8, None)], "patient_id long, index_date date")
+    old = spark.createDataFrame([(0, "011", "2019-01"), (7, "011", "2019-01"), (5, "999", "2019-01"), (None, "011", "2019-01")], "patient_id long, code string, date_ym string")
+    new = spark.createDataFrame([(1, day(-1), "012"), (2, D0, "012"), (3, day(-1), "196"), (3, day(-2), "011"), (8, day(-1), "011"), (4, None, "011")],
+                                "patient_id long, date date, code string")
+    tests = {"tb": X.find(F.col("code"), "^01"), "mets": X.find(F.col("code"), "^19")}
+    hits = C.reason_hits(S.both_ages(old, new, ["code"], "date"), tests, "date")
+    marked = C.mark_reasons(people, {"tb": hits, "mets": hits}, F.col("index_date"))
+    got = {r["patient_id"]: (r["_has_tb"], r["_has_mets"]) for r in marked.collect()}
+    assert got == {0: (True, False), 1: (True, False), 2: (False, False), 3: (True, True), 4: (False, False), 5: (False, False), None: (False, False), 7: (True, False), 8: (False, False)}
+    kept = C.without_reasons(people, {"tb": hits, "mets": hits}, F.col("index_date"))
+    assert kept.columns == people.columns
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 3  # people and each record table once
+    ids = C.exclude(people, C.prior_diagnosis(old, new, "^01", anchors=people))
+    assert sorted(kept.collect(), key=str) == sorted(C.exclude(ids, C.prior_diagnosis(old, new, "^19", anchors=people)).collect(), key=str)
+
+
 def test_union_helpers(spark):
     a = spark.createDataFrame([(1, "x")], "k int, v string")
     b = spark.createDataFrame([(2, 3.0)], "k int, u double")
@@ -250,7 +299,36 @@ def test_hot_cell(spark, monkeypatch):
         picks.setdefault(r["case_id"], set()).add(r["control_id"])
         assert r["pool_size"] == 500
     assert all(len(p) == 10 for p in picks.values())
-    assert len(set().union(*picks.values())) > 150
+
+
+def test_draws_are_independent_and_uniform(spark):
+    """Two cases of one pool share as many controls as two independent draws, and every control is drawn as often."""
+    cases, pool, k = 400, 80, 10
+    df = spark.createDataFrame(_skewed(cases, pool), COHORT)
+    picks = {}
+    for r in M.match_controls(df).collect():
+        picks.setdefault(r["case_id"], []).append(r["control_id"])
+    sets = [set(p) for p in picks.values()]
+    assert len(sets) == cases and all(len(s) == k for s in sets)
+    overlaps = [len(a & b) for i, a in enumerate(sets) for b in sets[i + 1:]]
+    # hypergeometric: mean k * k / n, variance mean * (1 - k / n) * (n - k) / (n - 1)
+    mean, variance = k * k / pool, k * k / pool * (1 - k / pool) * (pool - k) / (pool - 1)
+    assert sum(overlaps) / len(overlaps) == pytest.approx(mean, rel=0.02)
+    assert sum((x - mean) ** 2 for x in overlaps) / len(overlaps) == pytest.approx(variance, rel=0.1)
+    drawn = [sum(1000 + c in s for s in sets) for c in range(pool)]
+    expected = cases * k / pool
+    # draws without replacement vary by (1 - k / n) of the multinomial's chi-square of pool - 1 degrees
+    assert sum((x - expected) ** 2 / expected for x in drawn) < 1.5 * (pool - 1) * (1 - k / pool)
+    neighbours = [len({c, c + 1} & s) == 2 for s in sets for c in range(1000, 1000 + pool - 1)]
+    assert sum(neighbours) / len(neighbours) == pytest.approx(k * (k - 1) / (pool * (pool - 1)), rel=0.15)
+
+
+def test_small_pools_are_drawn_whole(spark):
+    for size in (1, 2, 9, 10, 11):
+        rows = [(0, D0, 50, "M", 1)] + [(100 + i, day(1), 50, "M", 0) for i in range(size)]
+        got = [r["control_id"] for r in M.match_controls(spark.createDataFrame(rows, COHORT)).orderBy("m").collect()]
+        drawn = [c for c in got if c is not None]
+        assert len(got) == 10 and len(drawn) == len(set(drawn)) == min(size, 10) and None not in got[:min(size, 10)]
 
 
 def test_match_respects_gaps_and_self_matches(spark):
@@ -296,26 +374,21 @@ def test_hash_text_is_portable(spark):
     assert got == duckdb.sql("select md5(concat_ws('|', '475', 'M', DATE '2021-06-01'))").fetchall()[0][0]
 
 
-def test_lineage_folder(spark, monkeypatch):
+def test_lineage_folder(spark):
     from cohortline.functions import sizing
 
-    class Conf:
-        def __init__(self, folder):
-            self.folder = folder
-
-        def get(self, key, default=None):
-            return self.folder or default
-
-    class Session:
-        def __init__(self, folder, master):
-            self.conf = Conf(folder)
-            self.sparkContext = type("Context", (), {"master": master})
-
-    assert sizing.shared_folder(Session("hdfs://shared/ckpt", "yarn")) == "hdfs://shared/ckpt"
-    own = sizing.shared_folder(Session(None, "local[8]"))
-    assert own == sizing.shared_folder(Session(None, "local[8]"))
-    with pytest.raises(RuntimeError):
-        sizing.shared_folder(Session(None, "yarn"))
+    def session(master, **settings):
+        conf = type("Conf", (), {"get": lambda self, key, default=None: settings.get(key, default)})()
+        context = type("Context", (), {"master": master, "applicationId": "app-1"})
+        return type("Session", (), {"conf": conf, "sparkContext": context})
+
+    named = {"spark.checkpoint.dir": "hdfs://shared/ckpt/", "spark.sql.warehouse.dir": "file:/home/x/spark-warehouse"}
+    assert sizing.shared_folder(session("yarn", **named)) == "hdfs://shared/ckpt/_cohortline/app-1"
+    warehouse = {"spark.sql.warehouse.dir": "file:/home/x/spark-warehouse"}
+    assert sizing.shared_folder(session("local[8]", **warehouse)) == "file:/home/x/spark-warehouse/_cohortline/app-1"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        sizing.shared_folder(session("yarn", **warehouse))
+    assert sizing.shared_folder(session("yarn", **{"spark.sql.warehouse.dir": "s3a://lake/wh"})) == "s3a://lake/wh/_cohortline/app-1"
     df = spark.createDataFrame([(1, None), (2, "a")], "k int, v string")
     assert sorted(sizing.cut_lineage(df).collect()) == sorted(df.collect())
 
