@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortline.functions.tails import chi2_upper
+from cohortline.functions.tails import chi2_tail
 
 
 def table_one(df: DataFrame, arm: str, continuous: Sequence[str], categorical: Mapping[str, Sequence],
@@ -130,8 +130,6 @@ def chisq(table: DataFrame) -> DataFrame:
                         ((F.col("nc") - 1) * (F.col("nr") - 1)).alias("df"))
 
 
-def chisq_test(spark: SparkSession, table: DataFrame) -> DataFrame:
-    """:func:`chisq` with its tail probability, one row per stratification."""
-    rows = [(r["strata"], r["chisq"], r["df"], chi2_upper(r["chisq"], r["df"])) for r in chisq(table).collect()]
-    return spark.createDataFrame(rows, "strata string, chisq double, df bigint, p double")
-
+def chisq_test(table: DataFrame) -> DataFrame:
+    """:func:`chisq` with its tail probability, one row per stratification; all of it inside the plan."""
+    return chisq(table).withColumn("p", chi2_tail(F.col("chisq"), F.col("df")))

@@ -19,8 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortline.functions.linear import pairs, sum_vectors, symmetric, weighted_gram
-from cohortline.functions.sizing import broadcast_if_small, checked_small, cut_lineage, marked
+from cohortline.functions.linear import independent, pairs, sum_vectors, symmetric, weighted_gram
+from cohortline.functions.sizing import broadcast_if_small, cut_lineage, marked
 from cohortline.functions.tails import chi2_upper, normal_two_sided
 
 MAX_DAY_ROWS = 200_000
@@ -87,17 +87,6 @@ class CoxFit:
         return self
 
 
-def independent(info: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
-    """Which terms add to the information of the terms before them: pivots of a Cholesky pass in order."""
-    left, scale = info.astype(float).copy(), np.diag(info).copy()
-    kept = np.zeros(len(info), bool)
-    for i in range(len(info)):
-        if scale[i] > 0 and left[i, i] > tolerance * scale[i]:
-            kept[i] = True
-            left -= np.outer(left[:, i], left[i]) / left[i, i]
-    return kept
-
-
 class RiskModel:
     """Rows of a survival model and their per-day sums at a coefficient vector.
 
@@ -293,7 +282,8 @@ class RiskModel:
                 columns.append(f"(sum(g * {step}) {WHOLE} - sum(g * {step}) {UP_TO}) / g AS after_{n}")
         if len(names) > 1:
             columns += [f"if(d > 0, {self._mean_term(i)} / d, 0D) AS xbar_{i}" for i in range(self.k)]
-        hazard, fits = checked_small(day.selectExpr(*columns), MAX_DAY_ROWS)
+        hazard = day.selectExpr(*columns).persist()  # released by the caller
+        fits = hazard.limit(MAX_DAY_ROWS + 1).count() <= MAX_DAY_ROWS
         joined = self._scored(beta).join(marked(hazard, fits), ["s", "t"])
         exposure = {n: f"cum_{n} - if(ev = 1, tie_{n}, 0D)" for n in names}
         if self.competing:

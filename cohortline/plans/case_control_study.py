@@ -127,5 +127,5 @@ def table_book(spark: SparkSession, df: DataFrame) -> dict[str, DataFrame]:
         book[f"baseline_{name}"], book[f"balance_{name}"] = table, B.smd(spark, table)
     for name, rows in (("brands", df), ("brands_late", M.drop_recent_sets(df))):
         table = B.contingency(rows, "brand_arm", [["tb"], ["tb", "sex"], ["tb", "agegroup"]])
-        book[name], book[f"{name}_chisq"] = table, B.chisq_test(spark, table)
+        book[name], book[f"{name}_chisq"] = table, B.chisq_test(table)
     return book

@@ -208,17 +208,19 @@ grid AS (SELECT r.strata, stratum, arm, coalesce(n, 0) AS o, rt, ct, sum(coalesc
   FROM (SELECT strata, arm, sum(n) AS rt FROM cells GROUP BY ALL) r
   JOIN (SELECT strata, stratum, sum(n) AS ct FROM cells GROUP BY ALL) c USING (strata)
   LEFT JOIN cells USING (strata, stratum, arm)),
-dims AS (SELECT strata, count(DISTINCT arm) AS nr, count(DISTINCT stratum) AS nc FROM grid GROUP BY 1)
-SELECT strata, round(CASE WHEN max(nr) = 2 AND max(nc) = 2
+dims AS (SELECT strata, count(DISTINCT arm) AS nr, count(DISTINCT stratum) AS nc FROM grid GROUP BY 1),
+test AS (SELECT strata, CASE WHEN max(nr) = 2 AND max(nc) = 2
     THEN sum((abs(o - rt * ct / tot) - least(0.5, abs(o - rt * ct / tot))) ** 2 / (rt * ct / tot))
-    ELSE sum((o - rt * ct / tot) ** 2 / (rt * ct / tot)) END, 6) AS chisq,
+    ELSE sum((o - rt * ct / tot) ** 2 / (rt * ct / tot)) END AS chisq,
   (max(nr) - 1) * (max(nc) - 1) AS df
-FROM grid JOIN dims USING (strata) GROUP BY strata""")
+  FROM grid JOIN dims USING (strata) GROUP BY strata)
+SELECT strata, round(chisq, 6) AS chisq, df, round(1 - CASE WHEN chisq = 0 THEN 0.0 ELSE list_sum(list_transform(range(0, 400),
+    lambda n: exp((df / 2 + n) * ln(chisq / 2) - chisq / 2 - lgamma(df / 2 + n + 1)))) END, 6) AS p FROM test""")
 def contingency_chisq(spark, folder):
-    """Pearson statistic of arm against several stratifications; one of them is 2 x 2."""
+    """Pearson statistic and p of arm against several stratifications; one of them is 2 x 2."""
     df = known_arm(spark, folder).withColumn("agegroup", X.age_group(F.col("age")))
-    several = B.chisq(B.contingency(df, "arm", STRATA))
-    square = B.chisq(B.contingency(df.where(F.col("arm") != "BrandB"), "arm", [["agegroup"]]))
+    several = B.chisq_test(B.contingency(df, "arm", STRATA))
+    square = B.chisq_test(B.contingency(df.where(F.col("arm") != "BrandB"), "arm", [["agegroup"]]))
     return rounded(several.unionAll(square))
 
 
@@ -278,7 +280,7 @@ def weight_summary(spark, folder):
 
 @query()
 def ps_scores(spark, folder):
-    """Three logistic fits on the study covariates."""
+    """Three logistic fits on the study covariates, in shared passes."""
     frame = study_frame(spark, folder)
     scored = Q.propensity_scores(frame, "arm", LEVELS, adjusted_terms())
     return scored.select("patient_id", "arm", *[f"ps_{a}" for a in LEVELS])

@@ -171,9 +171,30 @@ def test_propensity_scores_match_separate_fits(spark, people):
     terms = {c: c for c in ("age", "band", "w", "flat")}
     got = propensity_scores(df, "arm", ["None", "A", "B"], terms).toPandas().sort_values("id")
     x = people[["age", "band", "w"]].to_numpy(float)
-    for arm in ("None", "A", "B"):
-        want = dense.logistic(x, (people["arm"] == arm).to_numpy(float))
-        assert np.allclose(got[f"ps_{arm}"], want, atol=1e-6)
+    fits = {arm: dense.logistic(x, (people["arm"] == arm).to_numpy(float)) for arm in ("None", "A", "B")}
+    for arm, fitted in fits.items():
+        assert np.allclose(got[f"ps_{arm}"], fitted / sum(fits.values()), atol=1e-6)
+    assert np.allclose(got[[f"ps_{a}" for a in fits]].sum(axis=1), 1)
+
+
+def test_propensity_fits_share_passes(spark, people, monkeypatch):
+    """Three arms, a repeated term and a term that parts one arm off: as many passes as one fit takes, and no error."""
+    from cohortline.operators import propensity
+
+    calls = []
+    real = propensity.sum_vectors
+    monkeypatch.setattr(propensity, "sum_vectors", lambda *a: calls.append(1) or real(*a))
+    df = spark.createDataFrame(people)
+    propensity_scores(df, "arm", ["None", "A", "B"], {"age": "age", "again": "2 * age", "band": "band"})
+    assert 3 <= len(calls) <= 12
+    parted = propensity_scores(df, "arm", ["None", "A", "B"], {"own": "CAST(arm = 'A' AS double)"}).withColumn("weight", att_weight("arm", ["None", "A", "B"], "None"))
+    rows = parted.toPandas()
+    assert (rows.loc[rows["arm"] == "None", "weight"] == 1).all() and (rows.loc[rows["arm"] == "A", "ps_A"] > 0.999).all()
+
+
+def test_weight_without_a_score(spark):
+    df = spark.createDataFrame([("None", 0.4, 0.0), ("A", 0.4, 0.0), ("A", 0.4, 0.8)], "arm string, ps_None double, ps_A double")
+    assert [r[0] for r in df.select(att_weight("arm", ["None", "A"], "None")).collect()] == [1.0, None, 0.5]
 
 
 def test_att_weights_and_trimming(spark, people):

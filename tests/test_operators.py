@@ -219,13 +219,28 @@ def test_chisq_with_and_without_correction(spark):
     df = spark.createDataFrame([("x", 0, "M")] * 10 + [("x", 1, "F")] * 5 + [("y", 0, "F")] * 3 + [("y", 1, "M")] * 12,
                                "arm string, tb int, sex string")
     table = B.contingency(df, "arm", [["tb"], ["tb", "sex"]])
-    got = {r["strata"]: r for r in B.chisq_test(spark, table).collect()}
+    got = {r["strata"]: r for r in B.chisq_test(table).collect()}
     want = (abs(10 * 12 - 5 * 3) - 15) ** 2 * 30 / (15 * 15 * 13 * 17)
     assert got["tb"]["chisq"] == pytest.approx(want) and got["tb"]["df"] == 1
     # the second table has empty cells: all of x or y in each column
     assert got["tb+sex"]["chisq"] == pytest.approx(30.0) and got["tb+sex"]["df"] == 3
 
 
+def test_tails_as_columns(spark):
+    """Against the finite sums, from far below the mean to far above it."""
+    from cohortline.functions.tails import chi2_tail, chi2_upper, normal_tail, normal_two_sided
+
+    cases = [(x, k) for k in (1, 2, 3, 4, 5, 8, 31, 100, 401) for x in (0.0, 1e-9, 0.3, 0.999 * k, float(k), k + 2.0, k + 2.1, 1.5 * k, 3.0 * k + 20, 900.0)]
+    df = spark.createDataFrame(cases, "x double, k int")
+    for r in df.withColumn("p", chi2_tail(F.col("x"), F.col("k"))).collect():
+        assert r["p"] == pytest.approx(chi2_upper(r["x"], r["k"]), rel=1e-7, abs=1e-12), r
+    odd = spark.createDataFrame([(None, 1), (2.0, None), (2.0, 0), (-1.0, 2)], "x double, k int").select(chi2_tail(F.col("x"), F.col("k")).alias("p"))
+    assert [r["p"] for r in odd.collect()] == [None, None, None, 1.0]
+    z = spark.createDataFrame([(v,) for v in (-5.0, -1.96, 0.0, 0.5, 9.0)], "z double").select("z", normal_tail(F.col("z")).alias("p"))
+    for r in z.collect():
+        assert r["p"] == pytest.approx(normal_two_sided(r["z"]), rel=1e-7)
+
+
 def test_attrition_counts_in_order(spark):
     df = spark.createDataFrame([(i, i) for i in range(10)], "patient_id long, age int")
     ids = spark.createDataFrame([(1,), (8,), (8,), (9,)], "patient_id long")
