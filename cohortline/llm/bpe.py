@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-from cohortline.llm.common import WordCache, appended, arrow_schema, sliced
+from cohortline.llm.common import WordCache, appended, arrow_schema, released, sliced
 
 #: Words up to this many bytes are merged by scanning the rank array.
 SHORT_WORD = 96
@@ -248,7 +248,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         encoder.words.clear()
         encoder.chunks.clear()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

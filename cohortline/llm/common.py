@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -63,6 +64,22 @@ def key_as_text(column) -> F.Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def released(run):
+    """``run`` over batches, after which the worker gives freed memory back to the system.
+
+    Workers wait for further tasks beside an executor's JVM, which may need the memory meanwhile.
+    """
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 class WordCache:
     """Values by word in two generations of bounded size in bytes.
 

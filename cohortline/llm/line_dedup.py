@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions.sizing import cut_lineage, drop_cut, marked
-from cohortline.llm.common import free_name, sliced
+from cohortline.llm.common import free_name, released, sliced
 from cohortline.llm.components import components
 from cohortline.llm.simhash import _mask
 
@@ -137,7 +137,7 @@ def _keys(docs: DataFrame, text: str, edits: int, least: int, sample: int = 1) -
             for at in range(0, len(place), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 18)]) for c in columns], names=["key", "a", "b", "parity", "probe"])
 
-    return docs.select(text).mapInArrow(run, "key long, a long, b long, parity long, probe boolean")
+    return docs.select(text).mapInArrow(released(run), "key long, a long, b long, parity long, probe boolean")
 
 
 def _grouped(batches: Iterable[pa.RecordBatch], column: str, most: int | None = None) -> Iterator[pa.Table]:
@@ -267,7 +267,7 @@ def _verified(pairs: DataFrame, edits: int) -> DataFrame:
             near = within(batch.column("x").to_pylist(), batch.column("y").to_pylist(), edits)
             yield batch.select(["a", "b", "c", "d"]).filter(pa.array(near))
 
-    return pairs.select("a", "b", "c", "d", "x", "y").mapInArrow(run, "a long, b long, c long, d long")
+    return pairs.select("a", "b", "c", "d", "x", "y").mapInArrow(released(run), "a long, b long, c long, d long")
 
 
 def _dealt(keys: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def _dealt(keys: DataFrame) -> DataFrame:
 
 
 def _compared(dealt: DataFrame, together: int, edits: int) -> DataFrame:
-    return cut_lineage(dealt.mapInArrow(lambda batches: _pairs(batches, together, edits), "a long, b long, c long, d long, hot long"))
+    return cut_lineage(dealt.mapInArrow(released(lambda batches: _pairs(batches, together, edits)), "a long, b long, c long, d long, hot long"))
 
 
 def _large(docs: DataFrame, text: str, edits: int, least: int, together: int, sample: int = SAMPLE) -> DataFrame:
@@ -327,7 +327,7 @@ def _tiled(keys: DataFrame, hot: DataFrame, docs: DataFrame, key: str, text: str
                     x, y = np.where(first, i, j), np.where(first, j, i)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[x], b[x], a[y], b[y])], names=["a", "b", "c", "d"])
 
-    links = cut_lineage(dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, c long, d long"))
+    links = cut_lineage(dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(released(run), "a long, b long, c long, d long"))
     drop_cut(found, known)
     return links
 

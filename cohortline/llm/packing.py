@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from cohortline.functions.sizing import cut_lineage, drop_cut
 from cohortline.llm.byte_tokens import coder
-from cohortline.llm.common import arrow_schema, free_name, sliced
+from cohortline.llm.common import arrow_schema, free_name, released, sliced
 
 CAPACITY = 1024
 END = 0
@@ -97,7 +97,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
         encoder.cache.clear()
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(released(run), schema)
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", share: int = SHARE, fold: int = FOLD) -> DataFrame:

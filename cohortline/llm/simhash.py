@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortline.functions.sizing import cut_lineage, drop_cut, marked
-from cohortline.llm.common import arrow_schema, free_name, sliced
+from cohortline.llm.common import arrow_schema, free_name, released, sliced
 from cohortline.llm.components import components
 
 RADIUS = 3
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             found = [fingerprint(x) for x in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.int64())], names=[key, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(released(run), schema)
 
 
 def _blocks(free: list[int], parts: int) -> list[list[int]]:
@@ -225,7 +225,7 @@ def _compared(tiles: DataFrame, crossed: bool) -> DataFrame:
             yield solve(pa.Table.from_batches(held))
 
     dealt = tiles.select(*names).repartition("bucket").sortWithinPartitions("bucket", "fp")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(released(run), "u long, v long")
 
 
 def links(distinct: DataFrame, bucket_rows: int = BUCKET, depth: int = DEPTH) -> DataFrame:
@@ -293,7 +293,7 @@ def _with_prints(docs: DataFrame, out: str, text: str) -> DataFrame:
             found = pa.array([fingerprint(x) for x in batch.column(text).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", repeats: bool = True) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortline.functions.sizing import cut_lineage, drop_cut
-from cohortline.llm.common import WordCache, appended, arrow_schema, free_name, sliced
+from cohortline.llm.common import WordCache, appended, arrow_schema, free_name, released, sliced
 
 #: Entities drawn again, well below 200 bytes each, that are sent to all tasks; more are joined to their documents.
 BROADCAST_REDRAWN = 100_000
@@ -213,7 +213,7 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
             found = sorted({(m.kind, m.norm) for x in batch.column(text).to_pylist() for m in mentions(x)})
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["kind", "norm"])
 
-    return docs.select(text).mapInArrow(run, "kind string, norm string").distinct()
+    return docs.select(text).mapInArrow(released(run), "kind string, norm string").distinct()
 
 
 def drawn(rows: DataFrame, key: bytes) -> DataFrame:
@@ -224,7 +224,7 @@ def drawn(rows: DataFrame, key: bytes) -> DataFrame:
             found = [draw(key, *x) for x in zip(*[c.to_pylist() for c in columns], strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string())], names=["kind", "norm", "attempt", "surrogate"])
 
-    return rows.select("kind", "norm", "attempt").mapInArrow(run, "kind string, norm string, attempt int, surrogate string")
+    return rows.select("kind", "norm", "attempt").mapInArrow(released(run), "kind string, norm string, attempt int, surrogate string")
 
 
 def redrawn(known: DataFrame, key: bytes) -> DataFrame:
@@ -292,7 +292,7 @@ def rewritten(docs: DataFrame, secret: str, text: str = "text", out: str = "enti
             new = {text: pa.array(texts, pa.string()), out: pa.array(spans, arrow.field(out).type)}
             yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else batch.column(f.name).cast(f.type) for f in arrow], schema=arrow)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def _attempts(docs: DataFrame, again: DataFrame, text: str, digest: str, column: str) -> DataFrame:
@@ -311,5 +311,5 @@ def _attempts(docs: DataFrame, again: DataFrame, text: str, digest: str, column:
             yield pa.RecordBatch.from_arrays(columns, names=["digest", "kind", "norm"])
 
     texts = docs.select(F.sha2(text, 256).alias("digest"), F.col(text).alias("text"))
-    each = texts.mapInArrow(run, "digest string, kind string, norm string").distinct().join(again, ["kind", "norm"])
+    each = texts.mapInArrow(released(run), "digest string, kind string, norm string").distinct().join(again, ["kind", "norm"])
     return each.groupBy(F.col("digest").alias(digest)).agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias(column))

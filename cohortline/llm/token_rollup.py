@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortline.llm.byte_tokens import coder
-from cohortline.llm.common import appended, arrow_schema, sliced
+from cohortline.llm.common import appended, arrow_schema, released, sliced
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens")
@@ -39,7 +39,7 @@ def bpe_counts(docs: DataFrame, path: str, **counts: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([found[f.name] if f.name in found else batch.column(f.name).cast(f.type) for f in arrow], schema=arrow)
         encoder.cache.clear()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def word_counts(text: str = "text") -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortline.llm.common import WordCache, appended, arrow_schema, key_as_text, sliced
+from cohortline.llm.common import WordCache, appended, arrow_schema, key_as_text, released, sliced
 
 #: Rows of the fit at most; below this all labelled rows are used.
 TRAIN_ROWS = 12_000
@@ -31,6 +31,8 @@ BITS = 20
 THRESHOLD = 0.3
 #: Letters at the beginning of a word that count as a stem.
 STEMS = (4, 5, 6)
+#: Bytes of hashed words that a task keeps, twice.
+CACHE = 8 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 EDGES = ".,;:!?()[]{}\"'|#*$%&<>"
 
@@ -46,7 +48,7 @@ def _hash(words: list[str]) -> list[bytes]:
 
 def features(texts: list[str | None], bits: int = BITS, known: WordCache | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows and hashed features of the texts, with repetitions; ``known`` keeps words of earlier calls."""
-    known = WordCache() if known is None else known
+    known = WordCache(CACHE) if known is None else known
     lists = [(x or "").lower().split() for x in texts]
     size = np.fromiter(map(len, lists), np.int64, len(lists))
     row = np.repeat(np.arange(len(lists)), size)
@@ -131,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     known = docs.select(key, text).join(F.broadcast(sample), key).select(text, "_y", "_order")
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordCache()
+        known = WordCache(CACHE)
         for batch in sliced(batches, text):
             row, index = features(batch.column(text).to_pylist(), known=known)
             pair = np.unique(row << np.int64(32) | index)
@@ -144,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         found = ftrl(list(rows["_x"]), rows["_y"].to_numpy())
         return pd.DataFrame({"i": np.r_[-1, found.index], "w": np.r_[found.bias, found.value]})
 
-    one = known.mapInArrow(hashed, "_x array<int>, _y double, _order long").groupBy(F.lit(0).alias("_all")).applyInPandas(learn, "i long, w double")
+    one = known.mapInArrow(released(hashed), "_x array<int>, _y double, _order long").groupBy(F.lit(0).alias("_all")).applyInPandas(learn, "i long, w double")
     got = {r["i"]: r["w"] for r in one.collect()}
     bias = got.pop(-1, 0.0)
     index = np.array(sorted(got), np.int32)
@@ -157,9 +159,9 @@ def scored(docs: DataFrame, weights: Weights, text: str = "text", out: str = "sc
     arrow = arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = weights.table(), WordCache()
+        table, known = weights.table(), WordCache(CACHE)
         for batch in sliced(batches, text):
             found = pa.array(score(table, weights.bias, batch.column(text).to_pylist(), weights.bits, known), pa.float64())
             yield pa.RecordBatch.from_arrays([found if f.name == out else batch.column(f.name).cast(f.type) for f in arrow], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

@@ -119,6 +119,7 @@ def test_word_cache_is_bounded_in_bytes():
     assert take(words) == [(w[0] if isinstance(w, tuple) else w).encode() for w in words]
     assert cache.size <= 100_000 + 1000 and len(cache.new) + len(cache.old) < 1000
     assert not any(len(w) > WordCache.LONGEST for w in [*cache.new, *cache.old])
+    take(words[-1:])
     made.clear()
     assert take(words[-1:] * 3) == [b"first"] * 3 and made == []
     cache.clear()
