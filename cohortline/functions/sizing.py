@@ -60,6 +60,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/_cohortline/{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder for tables of this application."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from the written table.
 
@@ -67,7 +72,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     and reads only the columns it needs. ``drop_cut`` removes the table when nothing reads it any more.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.cut_path = path

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions import columns as X
 from cohortline.functions import fixed_values as V
+from cohortline.functions.sizing import scratch_path
 from cohortline.operators import cohort as C
 from cohortline.operators import matching as M
 from cohortline.operators import timejoin as T
@@ -29,15 +30,34 @@ FROM (SELECT patient_id, source, ranking, CAST(date_ym || '-15' AS DATE) AS date
       SELECT patient_id, source, ranking, date FROM v_dx_recent)
 WHERE year(date) IN (1993, 1994, 1995, 1996) GROUP BY ALL""")
 def scan_yearly_union(spark, folder):
-    """History years and the recent table as one record table, by year."""
-    history = D.dx_hist(spark, folder).where(F.col("date_ym") >= "1993")
-    records = S.combine_history(history, D.dx_recent(spark, folder), "date_ym", "date")
-    years = records.withColumn("year", F.year("date").cast("long")).where(F.col("year").isin(1993, 1994, 1995, 1996))
-    return years.groupBy("year", "source", "ranking").agg(
+    """History years and the recent table as one record table, by year; the history is stored by year and read in part."""
+    base = scratch_path(spark)
+    dated = D.dx_hist(spark, folder).withColumn("date", X.month_to_date(F.col("date_ym")))
+    S.write_years(dated, base, "date")
+    history = S.read_years(spark, base, [1993, 1994, 1995])
+    recent = D.dx_recent(spark, folder).where(F.year("date") == 1996)
+    records = X.fill_union(recent, history.select([c for c in recent.columns if c in history.columns]))
+    return records.groupBy(F.year("date").cast("long").alias("year"), "source", "ranking").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("patient_id").alias("n_patients"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
+@query("""
+SELECT a.patient_id, a.admission_date, count(e.rec_id) AS n_before
+FROM (SELECT DISTINCT patient_id, date AS admission_date FROM v_enc WHERE source = '1.IP' AND date >= DATE '1997-06-01' AND date < DATE '1997-09-01') a
+LEFT JOIN v_enc e ON e.patient_id = a.patient_id AND e.date < a.admission_date AND e.date > a.admission_date - 365 GROUP BY 1, 2""")
+def yearly_lookback(spark, folder):
+    """Contacts in the year before admissions of one summer, from a table stored by year of which two years are read."""
+    base = scratch_path(spark)
+    contacts = D.encounters(spark, folder)
+    S.write_years(contacts, base, "date")
+    day = lambda text: F.to_date(F.lit(text))
+    inside = (F.col("source") == V.INPATIENT) & (F.col("date") >= day("1997-06-01")) & (F.col("date") < day("1997-09-01"))
+    admissions = contacts.where(inside).select("patient_id", F.col("date").alias("admission_date")).distinct()
+    records = S.read_lookback(spark, base, admissions, "admission_date", V.UTILISATION_DAYS)
+    return T.window_counts(records, admissions, {"n_before": "."}, V.UTILISATION_DAYS, ["patient_id", "admission_date"], anchor="admission_date")
+
+
 @query("""
 SELECT patient_id, rec_id AS record, date AS event_date, 'lab' AS origin FROM v_lab
 UNION ALL SELECT patient_id, rec_id, date, 'enc' FROM v_enc""")

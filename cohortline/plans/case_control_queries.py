@@ -8,6 +8,7 @@ from cohortline.functions import fixed_values as V
 from cohortline.functions.sizing import cut_lineage
 from cohortline.operators import cohort as C
 from cohortline.operators import matching as M
+from cohortline.operators import timejoin as T
 from cohortline.plans.registry import query
 from cohortline.sources import driver_views as D
 
@@ -88,8 +89,8 @@ def _draw(i: int) -> str:
 
 
 _DRAWS = ",\n".join(_draw(i) for i in range(1, 11))
-MATCH = STACK + f""",
-cc AS (SELECT patient_id, date, tb, CAST(age - 1 AS INTEGER) AS age, sex FROM stack),
+#: From cases and control records ``cc`` to ``matched``.
+DRAWN = f"""
 cells AS (SELECT DISTINCT sex, age, date FROM cc WHERE tb = 1),
 own AS (SELECT DISTINCT patient_id, sex, age, date FROM cc WHERE tb = 0),
 pairs AS (SELECT DISTINCT c.sex, c.age, c.date, o.patient_id AS control_id FROM cells c
@@ -104,6 +105,7 @@ drawn0 AS (SELECT c.patient_id AS case_id, c.sex, c.age, c.date, coalesce(t.n, 0
 slots AS (SELECT case_id, sex, age, date, pool_size, CAST(s.m AS INTEGER) AS m, picks[s.m] AS rnk FROM drawn10 CROSS JOIN range(1, 11) s(m)),
 matched AS (SELECT s.case_id, s.sex, s.age, s.date, CAST(s.pool_size AS BIGINT) AS pool_size, s.m, r.control_id
   FROM slots s LEFT JOIN ranked r ON r.sex = s.sex AND r.age = s.age AND r.date = s.date AND r.rnk = s.rnk)"""
+MATCH = STACK + ",\ncc AS (SELECT patient_id, date, tb, CAST(age - 1 AS INTEGER) AS age, sex FROM stack)," + DRAWN
 
 
 def _matched(spark, folder):
@@ -191,3 +193,15 @@ def sensitivity_sets(spark, folder):
     """Matched sets without those whose case fell ill soon after a dose."""
     kept = M.drop_recent_sets(matched_sets(spark, folder), SENSITIVITY_DAYS)
     return kept.select("patient_id", "admission_date", "match", "tb", "vaccinated", "second_dose", "onset_time")
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE regexp_matches(e.source, '{p}')) AS {n}" for n, p in V.ENCOUNTER_CLASSES.items())
+
+
+@query(f"""WITH {SETS}
+SELECT s.patient_id, s.match, {_COUNTS} FROM sets s LEFT JOIN v_enc e
+ON e.patient_id = s.patient_id AND e.date < s.admission_date AND e.date > s.admission_date - 365 GROUP BY 1, 2""")
+def utilisation_counts_matched(spark, folder):
+    """Contacts per (patient, matched set); a patient in several sets is counted in each."""
+    return T.window_counts(D.encounters(spark, folder), matched_sets(spark, folder), V.ENCOUNTER_CLASSES, V.UTILISATION_DAYS,
+                           ["patient_id", "match"], anchor="admission_date")

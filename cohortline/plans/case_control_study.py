@@ -17,14 +17,14 @@ from cohortline.operators import phenotype as P
 from cohortline.operators import survival as Y
 from cohortline.operators import timejoin as T
 from cohortline.operators.report import coef_table
-from cohortline.sources.tables import StudyTables, rules_named
+from cohortline.sources.tables import StudyTables, clean_registry, rules_named
 
 REGISTRY = ["patient_id", "age", "sex", "brand_1st", "date_1st", "brand_2nd", "date_2nd", "death_date"]
 
 
 def population(t: StudyTables, start: Column) -> DataFrame:
     """Registry without mixed brands, prior disease, prior drugs and metastases before the start."""
-    people = t.registry.where(F.col("patient_id").isNotNull())
+    people = clean_registry(t.registry).where(F.col("patient_id").isNotNull())
     people = people.withColumn("age", (F.col("age") - 1).cast("int"))
     people = C.exclude(people, C.mixed_brand_ids(people))
     return C.without_reasons(people, C.study_exclusions(*t.by_age()), start)

@@ -236,22 +236,6 @@ def utilisation_counts(spark, folder):
                            V.UTILISATION_DAYS, ["patient_id"])
 
 
-@query(f"""WITH {CASES_BEFORE},
-cc AS (SELECT patient_id, date AS admission_date, patient_id AS match FROM cases
-       UNION ALL SELECT p.patient_id, c.date, c.patient_id FROM cases c JOIN v_patients p
-       ON p.patient_id IN (c.patient_id + 1, c.patient_id + 2))
-SELECT cc.patient_id, cc.match, {_COUNTS} FROM cc LEFT JOIN v_enc e
-ON e.patient_id = cc.patient_id AND e.date < cc.admission_date AND e.date > cc.admission_date - 365 GROUP BY 1, 2""")
-def utilisation_counts_matched(spark, folder):
-    """Contacts per (patient, matched set); a patient in several sets is counted in each."""
-    cases = _cases_before(spark, folder).select("patient_id", F.col("date").alias("admission_date"))
-    sets = cases.withColumn("match", F.col("patient_id")).withColumn("step", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
-    sets = sets.withColumn("patient_id", F.col("match") + F.col("step"))
-    sets = sets.join(_own(spark, folder), "patient_id", "left_semi")
-    return T.window_counts(D.encounters(spark, folder), sets, V.ENCOUNTER_CLASSES, V.UTILISATION_DAYS,
-                           ["patient_id", "match"], anchor="admission_date")
-
-
 # --- exposure, infection, censoring --------------------------------------------------
 
 @query("""

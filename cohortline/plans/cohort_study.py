@@ -19,14 +19,14 @@ from cohortline.operators import rates as R
 from cohortline.operators import survival as Y
 from cohortline.operators import timejoin as T
 from cohortline.operators.report import coef_table
-from cohortline.sources.tables import StudyTables, rules_named
+from cohortline.sources.tables import StudyTables, clean_registry, rules_named
 
 OUTCOMES = {"tb": "time_tb", "tb_late": "time_tb_late", "ap": "time_ap", "death": "time_death", "tb_wide": "time_tb_wide"}
 
 
 def eligible(t: StudyTables) -> DataFrame:
     """Adults alive at the second index date without the disease, metastases or the drugs before."""
-    people = C.adults(C.exclude_early_death(t.registry))
+    people = C.adults(C.exclude_early_death(clean_registry(t.registry)))
     return C.without_reasons(people, C.study_exclusions(*t.by_age()), F.col("index_date"))
 
 

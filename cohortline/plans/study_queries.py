@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from cohortline.functions import fixed_values as V
 from cohortline.functions.sizing import cut_lineage
+from cohortline.operators import cohort as C
 from cohortline.operators import propensity as Q
 from cohortline.operators import survival as Y
-from cohortline.plans import cohort_study
+from cohortline.plans import case_control_study, cohort_study
+from cohortline.plans.case_control_queries import CASES, DATE_GAP, DRAWN
 from cohortline.plans.cohort_queries import (
     CASES_AFTER, CODED, DX_RULES, FIRST_TEST, PRIMARY_IP, RX_RULES, TREATMENT, _flag_sql, _index_sql)
 from cohortline.plans.basic_queries import ITEMS
@@ -98,6 +100,72 @@ def cohort_wide(spark, folder):
     return _cohort(spark, folder)
 
 
+_ITEMS_AT = " UNION ALL ".join(
+    f"SELECT patient_id, disp_date, end_date, '{r.name}' AS name FROM rx WHERE regexp_matches(item_cd, '(?i){r.regex}')" for r in D.ITEM_CODEBOOK)
+_AT = """{name} AS (SELECT k.patient_id, k.admission_date, {flags} FROM keys k LEFT JOIN {hits} h ON h.patient_id = k.patient_id
+  AND h.disp_date <= k.admission_date AND h.end_date >= k.admission_date - 180 GROUP BY 1, 2)"""
+
+CASE_CONTROL = f"""
+{CASES},
+pop AS (SELECT * REPLACE (CAST(age - 1 AS INTEGER) AS age) FROM v_patients WHERE NOT coalesce(brand_1st <> brand_2nd, false)
+  AND patient_id NOT IN (SELECT patient_id FROM v_dx_hist WHERE regexp_matches(code, '{V.TUBERCULOSIS_DX}') OR regexp_matches(code, '{V.METASTATIC_DX}'))
+  AND patient_id NOT IN (SELECT patient_id FROM v_rx WHERE regexp_matches(bnf, '{V.TB_DRUG_BNF}') AND regexp_matches(item_cd, '{ITEMS}') AND disp_date < {_SPLIT})),
+own_cases AS (SELECT * FROM cases WHERE patient_id IN (SELECT patient_id FROM pop)),
+own_pool AS (SELECT d.patient_id, d.date FROM v_dx_recent d JOIN pop USING (patient_id)
+  LEFT JOIN (SELECT patient_id, min(date) AS first_date FROM v_dx_recent WHERE source = '1.IP' AND regexp_matches(code, '{CODED}')
+             AND patient_id IN (SELECT patient_id FROM own_cases) GROUP BY 1) f ON f.patient_id = d.patient_id
+  WHERE d.source = '1.IP' AND (f.first_date IS NULL OR d.date < f.first_date)),
+cc AS (SELECT r.patient_id, r.date, r.tb, p.age, p.sex FROM (SELECT patient_id, date, 1 AS tb FROM own_cases UNION ALL SELECT patient_id, date, 0 FROM own_pool) r
+  JOIN pop p USING (patient_id) WHERE sex IN ('M', 'F') AND age >= {V.ADULT_AGE}
+  AND NOT (coalesce(date_1st <= r.date, false) AND NOT coalesce(date_2nd <= r.date, false))),
+{DRAWN},
+members AS (SELECT patient_id, date AS admission_date, sex, age, patient_id AS match FROM cc WHERE tb = 1
+  UNION ALL SELECT control_id, date, sex, age, case_id FROM matched WHERE control_id <> case_id),
+mine AS (SELECT m.patient_id, m.admission_date, m.sex, m.age, m.match, p.brand_1st, p.date_1st, p.brand_2nd, p.date_2nd, p.death_date,
+    CAST(coalesce(p.date_1st < admission_date, false) AS INTEGER) AS vaccinated,
+    CAST(coalesce(p.date_1st < admission_date AND p.date_2nd <= admission_date, false) AS INTEGER) AS second_dose,
+    CAST(m.match = m.patient_id AS INTEGER) AS tb
+  FROM members m JOIN v_patients p ON p.patient_id = m.patient_id),
+keys AS (SELECT DISTINCT patient_id, admission_date FROM mine),
+dxs AS (SELECT patient_id, code, date FROM v_dx_recent UNION ALL SELECT patient_id, code, CAST(date_ym || '-15' AS DATE) FROM v_dx_hist),
+dx_hits AS (SELECT d.patient_id, d.date, b.name FROM dxs d JOIN v_codebook b ON regexp_matches(d.code, '(?i)' || b.regex) AND b.name LIKE 'dx%'),
+dx_at AS (SELECT k.patient_id, k.admission_date, {_flag_sql(DX_RULES, 'hits')} FROM keys k
+  LEFT JOIN dx_hits h ON h.patient_id = k.patient_id AND h.date < k.admission_date GROUP BY 1, 2),
+rx AS (SELECT *, disp_date + days AS end_date FROM (SELECT patient_id, item_cd, bnf, days,
+  CASE WHEN disp_date < {_SPLIT} THEN CAST(strftime(disp_date, '%Y-%m') || '-15' AS DATE) ELSE disp_date END AS disp_date FROM v_rx)),
+rx_hits AS (SELECT r.*, b.name FROM rx r JOIN v_codebook b ON regexp_matches(r.bnf, '(?i)' || b.regex) AND b.name LIKE 'rx%'),
+item_hits AS ({_ITEMS_AT}),
+{_AT.format(name='rx_at', flags=_flag_sql(RX_RULES, 'hits'), hits='rx_hits')},
+{_AT.format(name='it_at', flags=_flag_sql(D.ITEM_CODEBOOK, 'hits'), hits='item_hits')},
+enc AS (SELECT patient_id, source, CASE WHEN date < {_SPLIT} THEN CAST(strftime(date, '%Y-%m') || '-15' AS DATE) ELSE date END AS date FROM v_enc),
+contacts AS (SELECT o.patient_id, o.match, {_COUNTS} FROM mine o LEFT JOIN enc e ON e.patient_id = o.patient_id AND e.date < o.admission_date
+  AND e.date > o.admission_date - {V.UTILISATION_DAYS} GROUP BY 1, 2),
+{FIRST_TEST}"""
+
+
+@query(f"""WITH {CASE_CONTROL}
+SELECT mine.*, CAST(coalesce(infection_date < mine.admission_date, false) AS INTEGER) AS infection, dx_at.* EXCLUDE (patient_id, admission_date),
+  CAST({_index_sql()} AS INTEGER) AS cci, rx_at.* EXCLUDE (patient_id, admission_date), it_at.* EXCLUDE (patient_id, admission_date),
+  contacts.* EXCLUDE (patient_id, match), CASE WHEN vaccinated = 1 THEN brand_1st ELSE 'None' END AS brand_arm,
+  CAST(coalesce(vaccinated = 1 AND brand_1st = 'BrandA', false) AS INTEGER) AS brand_1, CAST(coalesce(vaccinated = 1 AND brand_1st = 'BrandB', false) AS INTEGER) AS brand_2,
+  CASE WHEN vaccinated = 1 THEN CAST(date_diff('day', CASE WHEN second_dose = 1 THEN date_2nd ELSE date_1st END, mine.admission_date) AS INTEGER) END AS onset_time,
+  CASE WHEN age >= {V.OLD_AGE} THEN 'Old' WHEN age IS NOT NULL THEN 'Adult' END AS agegroup
+FROM mine JOIN dx_at ON dx_at.patient_id = mine.patient_id AND dx_at.admission_date = mine.admission_date
+  JOIN rx_at ON rx_at.patient_id = mine.patient_id AND rx_at.admission_date = mine.admission_date
+  JOIN it_at ON it_at.patient_id = mine.patient_id AND it_at.admission_date = mine.admission_date
+  JOIN contacts ON contacts.patient_id = mine.patient_id AND contacts.match = mine.match
+  LEFT JOIN pos ON pos.patient_id = mine.patient_id""")
+def case_control_wide(spark, folder):
+    """The case-control study's table: population, matched sets, covariates at admission.
+
+    Cases are taken before their regimens are verified, which are too rare in the test tables.
+    """
+    t = study_tables(spark, folder)
+    cases = C.cases_filter_first(t.dx_recent, F.to_date(F.lit(D.HISTORY_SPLIT)), CODED)
+    rows = cut_lineage(case_control_study.case_control_rows(t, D.HISTORY_SPLIT, CODED, cases))
+    return case_control_study.with_covariates(t, case_control_study.matched_rows(rows, t.registry, date_gap=DATE_GAP), list(ARMS))
+
+
 _TIMES = ", ".join(f"CAST(date_diff('day', index_date2, {c}) + 1 AS INTEGER) AS {c.replace('censor', 'time')}, {c}" for c in
                    ("censor_tb", "censor_tb_wide", "censor_death", "censor_ap", "censor_tb_late"))
 _COMMON = f"{_END}, death_date, crossover_date, infection_after"

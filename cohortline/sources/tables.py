@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.functions.columns import fill_union, month_to_date
+from cohortline.functions.columns import blank_to_date, fill_union, month_to_date, plain_names
 
 
 MAX_ONE_FILE = 100_000
@@ -37,6 +37,29 @@ def read_years(spark: SparkSession, base: str, years: Sequence[int], column: str
     return spark.read.parquet(base).where(F.col(column).isin(list(years))).drop(column)
 
 
+def write_years(records: DataFrame, base: str, date: str, column: str = "year") -> None:
+    """Records partitioned by the year of ``date``; a year of many records is split over several files and tasks."""
+    dated = records.withColumn(column, F.year(date))
+    dated.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(base)
+
+
+def read_lookback(spark: SparkSession, base: str, anchors: DataFrame, anchor: str, days: int, column: str = "year") -> DataFrame:
+    """The yearly partitions that any look-back of ``days`` before an anchor reaches into; others are not opened.
+
+    The years come from the anchors when the query runs: a calendar's worth of them prunes the scan.
+    """
+    first, last = F.year(F.date_sub(anchor, days)), F.year(anchor)
+    years = anchors.where(last > 0).select(F.explode(F.sequence(first, last)).alias(column)).distinct()
+    return spark.read.parquet(base).join(F.broadcast(years), column, "left_semi").drop(column)
+
+
+def clean_registry(registry: DataFrame) -> DataFrame:
+    """Column names without special characters, and dates given as text read as dates, where blank means unknown."""
+    named = plain_names(registry)
+    texts = [c for c, kind in named.dtypes if kind == "string" and "date" in c.lower()]
+    return named.withColumns({c: blank_to_date(F.col(c)) for c in texts})
+
+
 def read_codebook(spark: SparkSession, path: str) -> list[Rule]:
     """A codebook stored as CSV with a header row holding ``name`` and ``regex``."""
     return codebook(spark.read.option("header", True).csv(path))

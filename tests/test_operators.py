@@ -384,6 +384,47 @@ def test_years_codebook_and_sinks(spark, tmp_path):
     assert S.read_bundle(spark, f"{tmp_path}/bundle", ["years"])["years"].count() == 3
 
 
+def test_years_are_stored_and_pruned(spark, tmp_path):
+    rows = [(i % 9, dt.date(2015 + i % 8, 1 + i % 12, 5), "011") for i in range(400)] + [(1, None, "x")]
+    S.write_years(spark.createDataFrame(rows, "patient_id long, date date, code string"), f"{tmp_path}/dx", "date")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    some = S.read_years(spark, f"{tmp_path}/dx", [2016, 2018])
+    assert "PartitionFilters: [year" in plan(some) and some.count() == sum(r[1] is not None and r[1].year in (2016, 2018) for r in rows)
+    own = spark.createDataFrame([(1, dt.date(2018, 3, 1)), (2, dt.date(2018, 9, 1)), (3, None)], "patient_id long, index_date date")
+    near = S.read_lookback(spark, f"{tmp_path}/dx", own, "index_date", 365)
+    assert "dynamicpruning" in plan(near)
+    assert near.columns == ["patient_id", "date", "code"]
+    assert near.count() == sum(r[1] is not None and r[1].year in (2017, 2018) for r in rows)
+    assert S.read_lookback(spark, f"{tmp_path}/dx", own.where("patient_id = 3"), "index_date", 365).count() == 0
+
+
+def test_books_are_versions(spark, tmp_path):
+    """A book that breaks off half way leaves the former one in place."""
+    from cohortline.operators import report
+
+    base = str(tmp_path / "book")
+    good = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    with pytest.raises(FileNotFoundError):
+        report.read_book(spark, base, "one")
+    first = report.result_book({"one": good, "two": good.limit(1)}, base, "parquet")
+    broken = good.select(F.raise_error(F.lit("no")).alias("k"))
+    with pytest.raises(Exception, match="no"):
+        report.result_book({"one": good.limit(0), "two": broken}, base, "parquet")
+    assert report.read_book(spark, base, "one").count() == 2 and report.book_versions(spark, base).count() == 2
+    second = report.result_book({"one": good.limit(1)}, base)
+    assert second > first and report.read_book(spark, base, "one").collect()[0]["v"] in ("a", "b")
+    assert report.read_book(spark, base, "two", first).count() == 1
+    with pytest.raises(FileNotFoundError, match="two"):
+        report.read_book(spark, base, "two")
+
+
+def test_registry_is_cleaned(spark):
+    raw = spark.createDataFrame([(1, " ", "2021-05-01"), (2, "2021-07-01", None), (3, "unknown", "")], "`patient.id` long, `death.date` string, `date.of.dose` string")
+    got = S.clean_registry(raw)
+    assert got.columns == ["patient_id", "death_date", "date_of_dose"]
+    assert [tuple(r)[1:] for r in got.orderBy("patient_id").collect()] == [(None, dt.date(2021, 5, 1)), (dt.date(2021, 7, 1), None), (None, None)]
+
+
 def test_hash_text_is_portable(spark):
     got = spark.range(1).select(M._hash_text(F.lit(475), F.lit("M"), F.lit(D0))).first()[0]
     assert got == duckdb.sql("select md5(concat_ws('|', '475', 'M', DATE '2021-06-01'))").fetchall()[0][0]
