@@ -234,6 +234,19 @@ def _negatives(pages: DataFrame, anchors: DataFrame, positives: int, k: int, lea
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best_rows(rows: DataFrame, queries: DataFrame, k: int, scale: int) -> DataFrame:
+    """Rows (query_id, vec_id, score): the k best of ``rows`` (id, v) for each of ``queries`` (id, v), by exact scores of any size.
+
+    For tables of both sides that another search cannot take; every query meets every row, in blocks.
+    """
+    pages = cut_lineage(_pages(rows.select("id", F.lit(0).cast("long").alias("label"), "v"), scale))
+    anchors = cut_lineage(queries.select(F.size("v").alias("dim"), "id", F.lit(0).cast("long").alias("label"), "v", F.monotonically_increasing_id().alias("anchor")))
+    found = _positives(pages, anchors, k, scale).join(anchors.select("anchor", "id"), "anchor")
+    out = cut_lineage(found.select(F.col("id").alias("query_id"), F.col("positive_id").alias("vec_id"), "score"))
+    drop_cut(pages, anchors)
+    return out
+
+
 def hard_negatives(table: DataFrame, is_anchor: Column, label: Column, positives: int = 5, negatives: int = 5, least_percent: int = 80,
                    key: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """Rows (anchor_id, positive_id, rank, negative_id, positive_score, negative_score).

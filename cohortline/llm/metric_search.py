@@ -9,9 +9,13 @@ A query first searches one share of its nearest region, which bounds its k-th sc
 the bound cannot exclude. Inside a tree pages are taken best first; an entry whose distance to its parent already excludes it is
 never compared. Queries go in blocks, so a task holds one share and one block.
 
-Defined cases: null ids, null vectors and those with null or non-finite components take no part, nor do components beyond
-2 ** 28 in size after scaling, whose scores need not fit a long; repeated rows count once; vectors meet only vectors of their
-length; equal vectors are one entry with their smallest ids, as many as a result can hold; empty tables give no rows.
+Vectors whose products could leave a long are in no tree: they meet all queries, and as queries all rows, with exact scores of
+any size, in blocks.
+
+Defined cases: null ids, null vectors and those with null or non-finite components take no part; a score beyond a long counts as
+the nearest long; repeated rows count once; vectors meet only vectors of their length; equal vectors are one entry with their
+smallest ids, as many as a result can hold; an id with several vectors is a row for each, never its own result, and as a query has
+the best of all; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.sizing import cut_lineage, drop_cut
+from cohortline.llm.hard_negatives import best_rows
 
 SCALE = 1024
-LIMIT = 1 << 28
+#: What the length of a vector times its largest squared component must stay below to be put into a tree.
+ROOM = float(1 << 60)
 #: Pivots at most: the sample of vectors that parts the rest into regions, in hash order.
 PIVOTS = 256
 #: Vectors of one tree, about, and queries of one block.
@@ -38,14 +44,19 @@ PAGE = "page int, leaf boolean, vectors binary, radii binary, to_parent binary,
 NOTHING = np.iinfo(np.int64).min
 
 
-def integers(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Distinct rows (vec_id, v, dim) that take part; v has floor(1024 * x) of each component."""
-    good = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(F.floor(x.cast("double") * SCALE)) <= LIMIT)
-    finite = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) <= float(LIMIT))
+def taking_part(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Distinct rows (vec_id, d, dim, fits): the components as doubles, and whether sums of their products stay well inside a long."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
     rows = table.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, finite))
-    rows = rows.where(F.forall(vector, good)).select(
-        F.col(key).alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
-    return rows.distinct().withColumn("dim", F.size("v"))
+    rows = rows.select(F.col(key).cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast("double")).alias("d")).distinct()
+    largest = F.coalesce(F.array_max(F.transform("d", F.abs)), F.lit(0.0)) * SCALE + 1
+    return rows.withColumn("dim", F.size("d")).withColumn("fits", F.col("dim") * largest * largest < ROOM)
+
+
+def integers(rows: DataFrame) -> DataFrame:
+    """Rows (vec_id, v, dim) of those that fit; v has floor(1024 * x) of each component."""
+    some = rows.where("fits").select("vec_id", F.transform("d", lambda x: F.floor(x * SCALE).cast("long")).alias("v"), "dim")
+    return some.distinct()
 
 
 def _matrix(column) -> np.ndarray:
@@ -189,8 +200,26 @@ def _regions(rows: DataFrame, pivots: dict[int, np.ndarray], sphere: Sphere) ->
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): the k largest inner products of each query with every other row."""
-    rows = cut_lineage(integers(table, key, vector))
+    """Rows (query_id, rank, vec_id, score): the k largest inner products of each query with every other row.
+
+    ``is_query`` is a condition on ``vec_id``.
+    """
+    every = cut_lineage(taking_part(table, key, vector))
+    found = _top_of_trees(integers(every), is_query, k)
+    as_rows = lambda df: df.select(F.col("vec_id").alias("id"), F.col("d").alias("v"))
+    wide = every.where(~F.col("fits"))
+    if not wide.isEmpty():
+        asked = every.where(is_query)
+        more = best_rows(as_rows(wide), as_rows(asked.where("fits")), k, SCALE).union(best_rows(as_rows(every), as_rows(asked.where(~F.col("fits"))), k, SCALE))
+        found = found.union(more)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _top_of_trees(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """Rows (query_id, vec_id, score) that hold the k best of each query among the rows in trees."""
+    rows = cut_lineage(rows)
     copies = rows.withColumn("_n", F.row_number().over(Window.partitionBy("dim", "v").orderBy("vec_id"))).where(F.col("_n") <= k + 1)
     entries = cut_lineage(copies.groupBy("dim", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     squared = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
@@ -213,9 +242,9 @@ def top_k(table: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
         return out.assign(dim=frame["dim"].iloc[0], region=frame["region"].iloc[0], share=frame["share"].iloc[0])
 
     pages = cut_lineage(shared.select("dim", "region", "share", "v", "ids").groupBy("dim", "region", "share").applyInPandas(built, f"{PAGE}, dim int, region int, share int"))
-    asked = cut_lineage(_regions(rows.where(is_query), pivots, sphere).select("vec_id", "v", "dim", "region"))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    asked_table = cut_lineage(_regions(rows.where(is_query), pivots, sphere).select("vec_id", "v", "dim", "region"))
+    blocks = max(1, -(-asked_table.count() // BLOCK_QUERIES))
+    asked = asked_table.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
 
     def searched(where: DataFrame) -> DataFrame:
         keys = ["dim", "region", "share", "block"]
@@ -260,5 +289,5 @@ def top_k(table: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
     known = asked.join(bounds, "vec_id", "left").select("vec_id", "v", "dim", "block", F.coalesce("bound", F.lit(NOTHING)).alias("bound"))
     where = cut_lineage(known.mapInPandas(reached, "vec_id long, v array<long>, dim int, region int, share int, block int, bound long"))
     found = cut_lineage(searched(where))
-    drop_cut(rows, entries, placed, where)
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    drop_cut(rows, entries, placed, sizes, pages, asked_table, bounds, where)
+    return found

@@ -8,6 +8,9 @@ A row is one turn in one perspective, so nothing gathers a dialogue in one task:
 like any other rows, and turns times participants is what the operator is asked for. ``rendered`` puts the turns of a
 perspective in order where whole texts are wanted.
 
+Marks that a text or a name contains are no marks in the rendering: a bar is doubled after ``<``, so that ``<|`` of a text reads
+``<||``, and a backslash goes before each ``>`` of a name; ``plain`` gives the text back.
+
 Defined cases: null texts are empty turns; null or blank speakers are the speaker ``unknown``; turns with equal numbers and
 repeated rows are kept each; a dialogue without participants has no perspective; extra columns are ignored.
 """
@@ -22,6 +25,16 @@ CONTEXT = ("system",)
 HEAD, TAIL, END = "<|", "|>", "<|end|>"
 
 
+def escaped(text: Column) -> Column:
+    """The text with the first half of every mark changed; no mark of the format begins with ``<||``."""
+    return F.replace(text, F.lit("<|"), F.lit("<||"))
+
+
+def plain(text: Column) -> Column:
+    """The text that :func:`escaped` was given."""
+    return F.replace(text, F.lit("<||"), F.lit("<|"))
+
+
 def _speaker(role: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(role), F.lit("")), F.lit("unknown"))
 
@@ -43,12 +56,12 @@ def rotated(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     seen = rows.join(views.withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     part = F.when(outside, F.lit("context")).when(F.col("speaker") == F.col("perspective"), F.lit("assistant")).otherwise(F.lit("user"))
     name = F.when(part == "user", F.col("speaker"))
-    head = F.concat(F.lit(HEAD), part, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit(TAIL))
+    head = F.concat(F.lit(HEAD), part, F.coalesce(F.concat(F.lit(" name="), F.replace(escaped(name), F.lit(">"), F.lit("\\>"))), F.lit("")), F.lit(TAIL))
     return seen.select(
         "conv_id", "perspective", "turn", "speaker", part.alias("role"), name.alias("name"), "content",
         (part == "assistant").alias("trained"), F.col("turn").eqNullSafe(F.col("low")).alias("is_first"),
         F.col("turn").eqNullSafe(F.col("high")).alias("is_last"),
-        F.concat(head, F.lit("\n"), F.col("content"), F.lit(END), F.lit("\n")).alias("segment"),
+        F.concat(head, F.lit("\n"), escaped(F.col("content")), F.lit(END), F.lit("\n")).alias("segment"),
         F.length(F.concat(head, F.lit("\n"))).cast("long").alias("content_start"),
     )
 

@@ -155,9 +155,9 @@ s AS (SELECT t.*, perspective, low, high,
              CASE WHEN speaker = 'system' THEN 'context' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
       FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id JOIN e ON t.conv_id IS NOT DISTINCT FROM e.conv_id),
 h AS (SELECT *, CASE WHEN role = 'user' THEN speaker END AS name,
-             '<|' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || '|>' || chr(10) AS head FROM s)
+             '<|' || role || CASE WHEN role = 'user' THEN ' name=' || replace(replace(speaker, '<|', '<||'), '>', '\\>') ELSE '' END || '|>' || chr(10) AS head FROM s)
 SELECT conv_id, perspective, turn, speaker, role, name, content, role = 'assistant' AS trained, turn IS NOT DISTINCT FROM low AS is_first,
-       turn IS NOT DISTINCT FROM high AS is_last, head || content || '<|end|>' || chr(10) AS segment, CAST(length(head) AS BIGINT) AS content_start
+       turn IS NOT DISTINCT FROM high AS is_last, head || replace(content, '<|', '<||') || '<|end|>' || chr(10) AS segment, CAST(length(head) AS BIGINT) AS content_start
 FROM h
 """
 

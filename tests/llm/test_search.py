@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from cohortline.llm import hard_negatives, metric_search
 
 
+LONGS = -(1 << 63), (1 << 63) - 1
+
+
 def brute(rows, k):
-    good = sorted({(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)})
+    whole = lambda x: math.floor(1024 * x) if abs(x) < 1e15 else int(x) * 1024
+    good = sorted({(i, tuple(whole(x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)})
     out = []
     for i, v in good:
         if i % 100 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in good if j != i and len(w) == len(v))
+            scores = sorted((-max(LONGS[0], min(LONGS[1], sum(a * b for a, b in zip(v, w, strict=True)))), j) for j, w in good if j != i and len(w) == len(v))
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -33,8 +37,16 @@ def test_equals_brute_force(spark, monkeypatch, tree_rows):
     rows += [(5000, None), (5001, [None] * 8), (5002, [float("nan")] * 8), (5003, [float("inf")] * 8), (None, rows[0][1]), (5100, [0.0] * 8),
              (6000, [1.0, 2.0]), (6001, [1.0, -2.0]), (7000, []), rows[5], rows[5], (7100, [3e38] * 8)]
     got = metric_search.top_k(table(spark, rows), F.col("vec_id") % 100 == 0).collect()
-    want = brute([r for r in rows if r[0] != 7100], 10)
-    assert sorted(tuple(r) for r in got) == want
+    assert sorted(tuple(r) for r in got) == brute(rows, 10)
+
+
+def test_large_components_take_part(spark):
+    """A component beyond any limit leaves the scores that fit a long as they are."""
+    rows = [(0, [1.0, 0.0]), (1, [3e5, 0.0]), (2, [0.5, 0.1]), (3, [-3e5, 1.0]), (4, [1e200, 0.0]), (100, [4e6, 1.0]), (200, [-1e300, 0.25]), (5, [1e-300, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = metric_search.top_k(frame, F.col("vec_id") % 100 == 0).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 10)
+    assert {(r["vec_id"], r["score"]) for r in got if r["query_id"] == 0} >= {(1, 1024 * 1024 * 300_000), (2, 512 * 1024)}
 
 
 def test_empty(spark):
@@ -62,9 +74,6 @@ def test_bounds_skip_entries():
     assert len(seen) < len(pages) / 2
 
 
-LONGS = -(1 << 63), (1 << 63) - 1
-
-
 def brute_negatives(rows):
     """All (anchor, positive, rank, negative, positive score, negative score), with scores cut to a long."""
     def ints(v):
