@@ -38,7 +38,10 @@ EMAIL = re.compile(r"[\w.+-]*[\w+-]@(?:[\w-]+\.)+[^\W\d_]{2,}")
 IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
 CARD = re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\w-]|\.\d)")
 SSN = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)")
-PHONE = re.compile(r"(?<![\w.])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])")
+PHONE = re.compile(r"(?<![\w.])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"
+                   r"|(?<![\w.-])(?<!\d )(?:\d{3} \d{3} \d{4}|0\d{2,4} \d{3,4} \d{3,4})(?![\w-]| \d)")
+#: Account numbers: country, check digits, and groups or one run; only those whose check digits are right.
+IBAN = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![\w-])")
 #: Other international numbers; a last group too many belongs to what follows.
 ABROAD = re.compile(r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,5}(?![\w-])")
 LAST_GROUP = re.compile(r"[ .-]?\d{2,4}$")
@@ -51,7 +54,12 @@ TITLES = {
     "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Don": "m", "Doña": "f",
     "господин": "m", "госпожа": "f", "κύριος": "m", "κυρία": "f",
 }
-NAME = re.compile(r"\b(" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r")\b\.?[  ]([^\W\d_a-z][^\W\d_]+)(?:[  ]([^\W\d_a-z][^\W\d_]+))?")
+TITLE = re.compile("|".join(map(re.escape, TITLES)), re.IGNORECASE)
+#: A capital and more letters, with hyphens, apostrophes and capitals inside: Jean-Luc, O'Brien, McDonald.
+WORD = r"[^\W\d_a-z][^\W\d_]*(?:['’-][^\W\d_]+)*"
+#: A title, initials that stay, and up to three words of a name.
+NAME = re.compile(r"\b(" + "|".join(sorted((re.escape(t) for x in TITLES for t in {x, x.upper()}), key=len, reverse=True))
+                  + rf")\b\.?[  ](?:[^\W\d_a-z]\.[  ]?)*({WORD})(?:[  ]({WORD}))?(?:[  ]({WORD}))?")
 #: Sounds for drawn names: consonants, vowels, and endings for men and women.
 SOUNDS = {
     "LATIN": ("bdfglmnrstvk", "aeiou", ("n", "s", "r", "k"), ("a", "ia", "ina")),
@@ -76,6 +84,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_check(text: str) -> int:
+    """The remainder modulo 97 of an account number whose country and check digits go last; 1 if they are right."""
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
 def script(word: str) -> str:
     for c in word:
         name = unicodedata.name(c, "")
@@ -84,19 +97,30 @@ def script(word: str) -> str:
     return "LATIN"
 
 
+def _is_name(word: str, shouted: bool) -> bool:
+    """Two letters or more beginning with a capital; all capitals only after a title in capitals."""
+    return len(word) > 1 and word[0].isupper() and (shouted or any(c.islower() for c in word))
+
+
 def _names(text: str) -> Iterator[Mention]:
-    known: dict[str, tuple[str, str]] = {}
+    known: dict[str, str] = {}
     for m in NAME.finditer(text):
-        gender = TITLES[m[1]]
-        first, last = (m[2], m[3]) if m[3] else (None, m[2])
-        if first and first.istitle() and last.istitle() or not first and last.istitle():
-            for group, word in ((2, first), (3, last)) if first else ((2, last),):
-                kind = f"given-{gender}-{script(word)}" if group == 2 and first else f"family-{script(word)}"
-                yield Mention(*m.span(group), kind, word.casefold())
-                known.setdefault(word, (kind, word.casefold()))
-    if known:  # later mentions of the same words without the title
-        for m in re.finditer(r"\b(?:" + "|".join(sorted(map(re.escape, known), key=len, reverse=True)) + r")\b", text):
-            yield Mention(*m.span(), *known[m[0]])
+        title = m[1] if m[1] in TITLES else next(t for t in TITLES if t.upper() == m[1])
+        shouted = m[1].isupper() and len(m[1]) > 1
+        words = []
+        for group in (2, 3, 4):
+            if m[group] is None or not _is_name(m[group], shouted):
+                break
+            words.append(group)
+        for group in words:
+            word = m[group]
+            kind = f"given-{TITLES[title]}-{script(word)}" if group == 2 and len(words) > 1 else f"family-{script(word)}"
+            yield Mention(*m.span(group), known.setdefault(word.casefold(), kind), word.casefold())
+    if known:  # mentions of the same words without a title, also in capitals
+        spelt = {w for x in known for w in (x, x.upper())}
+        for m in re.finditer(r"(?<![^\W\d_])(?:" + "|".join(sorted(map(re.escape, spelt), key=len, reverse=True)) + r")(?![^\W\d_])", text, re.IGNORECASE):
+            if m[0][0].isupper():
+                yield Mention(*m.span(), known[m[0].casefold()], m[0].casefold())
 
 
 def _abroad(text: str) -> Iterator[Mention]:
@@ -134,12 +158,14 @@ def mentions(text: str | None) -> list[Mention]:
         take(Mention(*m.span(1), "secret", m[1].lower() if re.fullmatch("[0-9a-fA-F]+", m[1]) else m[1]) for m in SECRET.finditer(left))
     if any(d in text for d in "0123456789"):
         take(Mention(*m.span(), "secret", m[0]) for m in KEY.finditer(left))
+        plain = ((m, m[0].replace(" ", "")) for m in IBAN.finditer(left))
+        take(Mention(*m.span(), "iban", x) for m, x in plain if iban_check(x) == 1)
         take(Mention(*m.span(), "ip", m[0]) for m in IPV4.finditer(left) if all(int(x) < 256 for x in m[0].split(".")))
         take(Mention(*m.span(), "phone", "+" * (m[0][0] == "+") + _digits(m[0])) for m in PHONE.finditer(left))
         take(Mention(*m.span(), "ssn", _digits(m[0])) for m in SSN.finditer(left))
         take(Mention(*m.span(), "card", _digits(m[0])) for m in CARD.finditer(left))
         take(_abroad(left))
-    if any(t in text for t in TITLES):
+    if TITLE.search(text):
         found, end = [], 0
         for m in sorted(_names(left), key=lambda x: (x.start, -x.stop, x.kind)):
             if m.start >= end:
@@ -185,6 +211,9 @@ def draw(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
         return next(d for d in (digits[:-1] + str(c) for c in range(10)) if luhn(d)) if luhn(norm) else digits
     if kind == "ssn":
         return source.like(norm)
+    if kind == "iban":
+        own = "".join(str(source.below(10)) if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[source.below(26)] for c in norm[4:])
+        return f"{norm[:2]}{98 - iban_check(f'{norm[:2]}00{own}'):02d}{own}"
     if kind == "secret":
         if re.fullmatch("[0-9a-f]+", norm):
             return "".join("0123456789abcdef"[source.below(16)] for _ in range(len(norm) + more))
@@ -201,6 +230,9 @@ def shaped(surrogate: str, mention: str, kind: str) -> str:
     if kind in ("phone", "card", "ssn"):
         digits = iter(_digits(surrogate))
         return "".join(next(digits) if c.isdigit() else c for c in mention)
+    if kind == "iban":
+        letters = iter(surrogate)
+        return "".join(c if c == " " else next(letters) for c in mention)
     if kind.startswith(("given", "family")):
         return surrogate.upper() if mention.isupper() else surrogate[0].upper() + surrogate[1:]
     return surrogate.upper() if mention.isupper() else surrogate

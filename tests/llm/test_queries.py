@@ -40,6 +40,26 @@ def test_rollup_query(spark):
     assert {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rows} == want
 
 
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """All stages in a row over null ids, repeated rows, empty and long texts, and over no rows at all."""
+    from tests.llm.frames import TEXTS
+
+    rows = [(i, t, "en", "a", len(t or "")) for i, t in TEXTS] + [(None, None, None, None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, some in (("full", rows), ("empty", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(some, kind).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(i, 1, 0) for i in range(9)] if some else [], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        pieces = corpus_pipeline.run(spark, str(folder)).collect()
+        assert {r["doc_id"] for r in pieces} <= {i for i, *_ in some}
+        assert (len(pieces) > 0) == bool(some)
+        used = {}
+        for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+            assert r["offset"] == used.get(r["sequence_id"], 0)
+            used[r["sequence_id"]] = r["offset"] + r["length"]
+        assert max(used.values(), default=0) <= 1024
+
+
 def test_rollup_of_copies_and_nulls(spark, tmp_path):
     """Equal rows, equal texts under other ids, and null texts count once; licence lines do not count."""
     licence = "some words here\nLicensed under terms"
