@@ -95,7 +95,7 @@ class RiskModel:
 
     def __init__(self, df: DataFrame, time: str, status: str, terms: Mapping[str, str], weight: str | None = None,
                  strata: str | None = None, entry: str | None = None, competing: bool = False,
-                 collapse: bool = True):
+                 matched: bool = False):
         kinds = dict(df.dtypes)
         for c in filter(None, (time, entry)):
             if kinds[c] not in WHOLE_NUMBERS:
@@ -119,7 +119,8 @@ class RiskModel:
             F.col(status).cast("int").alias("ev"), w.alias("w"),
             *[F.expr(terms[n]).cast("double").alias(c) for n, c in zip(self.terms, self.x)],
         ).dropna()
-        if collapse:
+        self.matched = matched
+        if not matched:
             # rows that agree in everything but the weight act as one
             keys = [c for c in rows.columns if c != "w"]
             rows = rows.groupBy(*keys).agg(
@@ -129,8 +130,9 @@ class RiskModel:
             rows = cut_lineage(rows.withColumns({"n": F.lit(1).cast("long"), "w2": F.col("w") * F.col("w")}))
             largest = rows.groupBy("s").count().agg(F.max("count")).first()[0] or 0
             if largest <= MAX_SET_ROWS:
-                # small sets stay in one place through all iterations; a large one is summed from everywhere
-                rows = rows.repartition("s")
+                # small sets stay in one place through all iterations, since everything is summed and joined by set; a
+                # large one is summed from everywhere. The number is fixed, so that both sides of a join have the same.
+                rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s")
         facts = rows.agg(
             F.sum("n"), F.sum(F.when(F.col("ev") == 1, F.col("n"))), F.sum("w"),
             *[F.sum(F.col("w") * F.col(c)) for c in self.x]).first()
@@ -272,7 +274,9 @@ class RiskModel:
         event day a row carries only its tied share. A subject with the competing event stays
         exposed, with a weight, on the days after it.
         """
-        columns = ["s", "t"]
+        # everybody of a matched set is followed for the same time, so its set alone finds a row's hazard
+        by = ["s"] if self.matched else ["s", "t"]
+        columns = list(by)
         for n in names:
             i = n[2:]
             step = "wbar * a1" if n == "h" else f"wbar * (b11 * s1_{i} - b12 * e1_{i})"
@@ -284,7 +288,7 @@ class RiskModel:
             columns += [f"if(d > 0, {self._mean_term(i)} / d, 0D) AS xbar_{i}" for i in range(self.k)]
         hazard = day.selectExpr(*columns).persist()  # released by the caller
         fits = hazard.limit(MAX_DAY_ROWS + 1).count() <= MAX_DAY_ROWS
-        joined = self._scored(beta).join(marked(hazard, fits), ["s", "t"])
+        joined = self._scored(beta).join(marked(hazard, fits), by)
         exposure = {n: f"cum_{n} - if(ev = 1, tie_{n}, 0D)" for n in names}
         if self.competing:
             exposure = {n: f"{e} + if(ev = 2, after_{n}, 0D)" for n, e in exposure.items()}
@@ -374,7 +378,7 @@ def clogit(df: DataFrame, case: str, terms: Mapping[str, str], sets: str = "matc
     With one case per set the conditional likelihood is the partial likelihood of a model
     stratified by set in which everybody is followed for the same time.
     """
-    model = RiskModel(df.withColumn("_t", F.lit(1)), "_t", case, terms, strata=sets, collapse=False)
+    model = RiskModel(df.withColumn("_t", F.lit(1)), "_t", case, terms, strata=sets, matched=True)
     return model.fit()
 
 

@@ -394,7 +394,7 @@ def clogit_score(spark, folder):
     """Conditional-likelihood score and information of the matched sets at zero."""
     sets = matched_sets(spark, folder).withColumn("_t", F.lit(1))
     terms = {**BRAND_TERMS, "second_dose": "second_dose"}
-    return score_rows(spark, Y.RiskModel(sets, "_t", "tb", terms, strata="match", collapse=False))
+    return score_rows(spark, Y.RiskModel(sets, "_t", "tb", terms, strata="match", matched=True))
 
 
 def _coefficients(spark, fit):

@@ -161,6 +161,38 @@ def test_clogit_many_controls(spark):
     assert np.allclose(fit.naive, naive, rtol=1e-6)
 
 
+def _exchanges(df):
+    """Shuffles of a plan outside of what is cached."""
+    lines, hidden, found = df._jdf.queryExecution().executedPlan().toString().split("\n"), None, []
+    for line in lines:
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if hidden is not None and depth > hidden:
+            continue
+        hidden = depth if "InMemoryRelation" in line else None
+        if "Exchange" in line:
+            found.append(line.strip())
+    return found
+
+
+def test_sets_stay_where_they_are(spark, monkeypatch):
+    """With more sets than may be broadcast, an iteration of a matched fit moves no rows, and the estimates are the same."""
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame(rng.normal(size=(2000, 10)), columns=[f"x{i}" for i in range(10)]).assign(match=np.arange(2000) // 5, tb=(np.arange(2000) % 5 == 0).astype(int))
+    df, terms = spark.createDataFrame(pdf), {f"x{i}": f"x{i}" for i in range(10)}
+    want = Y.clogit(df, "tb", terms)
+    monkeypatch.setattr(Y, "MAX_DAY_ROWS", 10)
+    model = Y.RiskModel(df.withColumn("_t", F.lit(1)), "_t", "tb", terms, strata="match", matched=True)
+    day = model.day_table(np.zeros(10)).persist()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    joined, hazard = model._with_hazard(np.zeros(10), day, ["h"])
+    assert _exchanges(day) == [] and _exchanges(joined) == []
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 2000
+    got = model.fit()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert np.allclose(got.beta, want.beta, atol=1e-9)
+
+
 def test_whole_days_only(spark, people):
     with pytest.raises(ValueError):
         Y.cox(spark.createDataFrame(people), "age", "status", TERMS)
