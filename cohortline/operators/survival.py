@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortline.functions.linear import independent, pairs, sum_vectors, symmetric, weighted_gram
+from cohortline.functions.linear import gram_part, independent, pairs, sum_vectors_of, symmetric, weighted_gram
 from cohortline.functions.sizing import broadcast_if_small, cut_lineage, marked
 from cohortline.functions.tails import chi2_upper, normal_two_sided
 
@@ -142,6 +142,8 @@ class RiskModel:
         kept = [c for c in rows.columns if c not in self.x]
         self.rows = self._keep(rows.selectExpr(
             *kept, *[f"{c} - {_number(m)} AS {c}" for c, m in zip(self.x, self.means)]).persist())
+        #: Rows of a day table; they are the same at every coefficient vector.
+        self.days = self.rows.agg(F.count_distinct("s", "t")).first()[0] + (self.rows.agg(F.count_distinct("s", "t0")).first()[0] if entry else 0)
         self.censoring = self._censoring_km() if competing else None
 
     # -- helpers ------------------------------------------------------------------
@@ -242,7 +244,8 @@ class RiskModel:
             value += [f"sum(wbar * ({self._second_moment(i, j)} - {self._mean_product(i, j)}))" for i, j in pairs(k)]
             row = [v or 0.0 for v in day.selectExpr(*value).first()]
             return row[0], np.array(row[1:k + 1]), symmetric(row[k + 1:], k)
-        return self._evaluate_wide(beta, day.persist())
+        # sets lie in one place, so their day table costs no shuffle and need not be kept
+        return self._evaluate_wide(beta, day if self.matched else day.persist())
 
     def _evaluate_wide(self, beta: np.ndarray, day: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
         """The same for many terms: the second moments come from one pass over the rows, each
@@ -259,16 +262,15 @@ class RiskModel:
             loglik = (b["eeta"] - b["wbar"] * b["ll"]).sum()
             return np.concatenate([[loglik], score, spread.ravel()])
 
-        sums = sum_vectors(day.where("d > 0"), 1 + k + k * k, batch_vector)
-        joined, hazard = self._with_hazard(beta, day, ["h"])
-        info = weighted_gram(joined, "r * exposure_h", self.x) - sums[k + 1:].reshape(k, k)
-        hazard.unpersist()
+        # the day table's sums and the pass over the rows are one job
+        exposed = self._with_hazard(beta, day, ["h"])
+        sums, gram = sum_vectors_of((day.where("d > 0"), 1 + k + k * k, batch_vector), gram_part(exposed, "r * exposure_h", self.x))
+        info = gram.reshape(k, k) - sums[k + 1:].reshape(k, k)
         day.unpersist()
         return float(sums[0]), sums[1:k + 1], info
 
-    def _with_hazard(self, beta: np.ndarray, day: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-        """Scored rows with the hazard each one was exposed to (``exposure_*``), and the cached
-        per-day hazard table behind them.
+    def _with_hazard(self, beta: np.ndarray, day: DataFrame, names: Sequence[str]) -> DataFrame:
+        """Scored rows with the hazard each one was exposed to (``exposure_*``).
 
         ``h`` is the plain hazard; ``m_i`` the hazard times the risk-set mean of term i. On its own
         event day a row carries only its tied share. A subject with the competing event stays
@@ -286,8 +288,7 @@ class RiskModel:
                 columns.append(f"(sum(g * {step}) {WHOLE} - sum(g * {step}) {UP_TO}) / g AS after_{n}")
         if len(names) > 1:
             columns += [f"if(d > 0, {self._mean_term(i)} / d, 0D) AS xbar_{i}" for i in range(self.k)]
-        hazard = day.selectExpr(*columns).persist()  # released by the caller
-        fits = hazard.limit(MAX_DAY_ROWS + 1).count() <= MAX_DAY_ROWS
+        hazard, fits = day.selectExpr(*columns), self.days <= MAX_DAY_ROWS
         joined = self._scored(beta).join(marked(hazard, fits), by)
         exposure = {n: f"cum_{n} - if(ev = 1, tie_{n}, 0D)" for n in names}
         if self.competing:
@@ -296,7 +297,7 @@ class RiskModel:
             start = hazard.selectExpr("s", "t AS t0", *[f"cum_{n} AS pre_{n}" for n in names])
             joined = joined.join(marked(start, fits), ["s", "t0"])
             exposure = {n: f"{e} - pre_{n}" for n, e in exposure.items()}
-        return joined.selectExpr("*", *[f"{e} AS exposure_{n}" for n, e in exposure.items()]), hazard
+        return joined.selectExpr("*", *[f"{e} AS exposure_{n}" for n, e in exposure.items()])
 
     def fit(self, max_iter: int = 20, eps: float = 1e-9, robust: bool = False) -> CoxFit:
         """Newton-Raphson with step halving from zero.
@@ -356,13 +357,11 @@ class RiskModel:
     def _meat(self, beta: np.ndarray) -> np.ndarray:
         """Sum of squared weighted score residuals."""
         day = self.day_table(beta, second_order=False)
-        joined, hazard = self._with_hazard(beta, day, ["h", *[f"m_{i}" for i in range(self.k)]])
+        joined = self._with_hazard(beta, day, ["h", *[f"m_{i}" for i in range(self.k)]])
         residuals = [
             f"if(ev = 1, x{i} - xbar_{i}, 0D) - exp(eta) * (x{i} * exposure_h - exposure_m_{i})"
             for i in range(self.k)]
-        meat = weighted_gram(joined, "w2", residuals)
-        hazard.unpersist()
-        return meat
+        return weighted_gram(joined, "w2", residuals)
 
 
 def cox(df: DataFrame, time: str, status: str, terms: Mapping[str, str], weight: str | None = None,

@@ -180,11 +180,16 @@ def test_sets_stay_where_they_are(spark, monkeypatch):
     pdf = pd.DataFrame(rng.normal(size=(2000, 10)), columns=[f"x{i}" for i in range(10)]).assign(match=np.arange(2000) // 5, tb=(np.arange(2000) % 5 == 0).astype(int))
     df, terms = spark.createDataFrame(pdf), {f"x{i}": f"x{i}" for i in range(10)}
     want = Y.clogit(df, "tb", terms)
+    calls = []
+    real = Y.sum_vectors_of
+    monkeypatch.setattr(Y, "sum_vectors_of", lambda *a: calls.append(len(a)) or real(*a))
+    assert np.allclose(Y.clogit(df, "tb", terms).beta, want.beta)
+    assert set(calls) == {2} and len(calls) <= 8  # both sums of a step are one job
     monkeypatch.setattr(Y, "MAX_DAY_ROWS", 10)
     model = Y.RiskModel(df.withColumn("_t", F.lit(1)), "_t", "tb", terms, strata="match", matched=True)
-    day = model.day_table(np.zeros(10)).persist()
+    day = model.day_table(np.zeros(10))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
-    joined, hazard = model._with_hazard(np.zeros(10), day, ["h"])
+    joined = model._with_hazard(np.zeros(10), day, ["h"])
     assert _exchanges(day) == [] and _exchanges(joined) == []
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == 2000
