@@ -1,26 +1,25 @@
-"""Token ids of a byte-level BPE vocabulary file, word by word with bounded caches.
+"""Token ids of a byte-level BPE vocabulary file.
 
-Ids are those the ``tokenizers`` library gives without added special tokens; words a worker has met before are not encoded
-again. Most texts are cut before single spaces, where the file's split pattern always ends a token; texts in which white space
-meets such a space are cut by the pattern itself.
+Ids are those the ``tokenizers`` library gives without added special tokens. Texts go whole through a coder that is faster; those
+with a run of white space too long for its split pattern go through the library itself.
 """
 
 from __future__ import annotations
 
 import json
 from functools import cache
-from struct import pack
 
+import numpy as np
 import regex
 import tiktoken
+from tokenizers import Tokenizer
 
 from cohortline.llm.bpe import byte_alphabet
-from cohortline.llm.common import WordCache
 
 #: Fixed value: the split pattern of this kind of vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Stands for a word beside which a run of white space could be parted. No ids have a length of one byte.
-RUN = b"?"
+#: White space that the split pattern would have to go back over, character by character.
+LONG_RUN = regex.compile(r"\s{10000}")
 
 
 class ByteBpe:
@@ -34,46 +33,21 @@ class ByteBpe:
         ranks = {bytes(map(value.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in specials}
         self.coding = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=specials)
         self.special = regex.compile("|".join(map(regex.escape, specials)))
-        self.cache = WordCache()
+        self.path = path
 
-    def _ids(self, text: str) -> bytes:
-        found = self.coding.encode_ordinary(text)
-        return pack(f"<{len(found)}i", *found)
-
-    def _new(self, words: list) -> list[bytes]:
-        """Words after a space; a tuple holds the first of a text, which has none before it."""
-        out = []
-        for word in words:
-            if isinstance(word, tuple):
-                out.append(RUN if word[0][-1:].isspace() else self._ids(word[0]))
-            else:
-                out.append(RUN if not word or word[0].isspace() or word[-1].isspace() else self._ids(" " + word))
-        return out
+    def _ids(self, text: str) -> list[int]:
+        if len(text) >= 10_000 and LONG_RUN.search(text):
+            return Tokenizer.from_file(self.path).encode(text, add_special_tokens=False).ids
+        if "<|" in text and self.special.search(text):
+            return self.coding.encode(text, allowed_special="all")
+        return self.coding.encode_ordinary(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian 32-bit numbers; none for a null or empty text."""
-        words, ends = [], []
-        for text in texts:
-            if text:
-                first, *rest = text.split(" ")
-                words.append((first,))
-                words += rest
-            ends.append(len(words))
-        ids, out, start = self.cache.values(words, self._new), [], 0
-        for text, end in zip(texts, ends, strict=True):
-            part = ids[start:end]
-            start = end
-            if text and "<|" in text and self.special.search(text):
-                found = self.coding.encode(text, allowed_special="all")
-                out.append(pack(f"<{len(found)}i", *found))
-            elif RUN in part:
-                out.append(self._ids(text))
-            else:
-                out.append(b"".join(part))
-        return out
+        return [np.array(self._ids(text), "<i4").tobytes() if text else b"" for text in texts]
 
 
 @cache
 def coder(path: str) -> ByteBpe:
-    """One coder for each worker process and file; a task that is done with it clears its cache."""
+    """One coder for each worker process and file."""
     return ByteBpe(path)

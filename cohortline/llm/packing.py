@@ -95,7 +95,6 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id
             columns = [batch.column(key).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                        pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-        encoder.cache.clear()
 
     return docs.select(key, text).mapInArrow(released(run), schema)
 

@@ -37,7 +37,6 @@ def bpe_counts(docs: DataFrame, path: str, **counts: str) -> DataFrame:
         for batch in sliced(batches, first):
             found = {name: pa.array([len(x) // 4 for x in encoder.encode(batch.column(text).to_pylist())], pa.int64()) for name, text in counts.items()}
             yield pa.RecordBatch.from_arrays([found[f.name] if f.name in found else batch.column(f.name).cast(f.type) for f in arrow], schema=arrow)
-        encoder.cache.clear()
 
     return docs.mapInArrow(released(run), schema)
 

@@ -131,3 +131,12 @@ def test_placing_keeps_columns_of_any_name(spark):
     pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, _k string, _share string, _n int, _rank int, _bin int")
     got = packing.place(pieces).collect()
     assert sorted(tuple(r)[:8] for r in got) == rows
+
+
+def test_byte_coder_on_long_runs():
+    """Runs of white space of any length, letters without spaces, and marks of special tokens."""
+    from cohortline.llm.byte_tokens import ByteBpe
+
+    library, coder = Tokenizer.from_file(BYTES), ByteBpe(BYTES)
+    texts = ["a" + " " * 1_000_000 + "b", "\n \t" * 5000, " " * 9999 + "x", "y" * 200_000, "#" * 50_000, "<|endoftext|>" + " " * 20_000 + "<|endoftext|> z", "it's <|endoftext|>\u3000 x", "", None]
+    assert coder.encode(texts) == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<i4").tobytes() for t in texts]
