@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,12 +51,15 @@ def literal_prefixes(pattern: str) -> list[str] | None:
 def find(column: Column, pattern: str, ignore_case: bool = False) -> Column:
     """Regex search anywhere in the string, as a predicate.
 
-    An anchored pattern is preceded by the ranges its beginnings imply, which reach the scan and prune there.
+    An anchored pattern is preceded by the ranges its beginnings imply, which reach the scan and prune there. Where case does
+    not matter these are the ranges of the first two characters in either case.
     """
     test = column.rlike(f"(?i){pattern}" if ignore_case else pattern)
-    prefixes = None if ignore_case else literal_prefixes(pattern)
+    prefixes = literal_prefixes(pattern)
     if not prefixes:
         return test
+    if ignore_case:
+        prefixes = sorted({"".join(x) for p in prefixes for x in product(*[{c.lower(), c.upper()} for c in p[:2]])})
     return any_of([(column >= p) & (column < p[:-1] + chr(ord(p[-1]) + 1)) for p in prefixes]) & test
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions import columns as X
 from cohortline.functions import fixed_values as V
+from cohortline.functions.sizing import scratch_path
 from cohortline.operators import cohort as C
 from cohortline.operators import followup as U
 from cohortline.operators import phenotype as P
@@ -205,9 +206,11 @@ SELECT a.patient_id, a.admission_date, {_flag_sql(D.ITEM_CODEBOOK, 'hits')}
 FROM adm a LEFT JOIN hits h ON h.patient_id = a.patient_id AND h.disp_date <= a.admission_date
   AND h.end_date >= a.admission_date - 180 GROUP BY 1, 2""")
 def codebook_flags_items_per_admission(spark, folder):
-    """Drug-item flags per admission; an episode starting on the day counts."""
+    """Drug-item flags per admission; an episode starting on the day counts. The codebook is read from a file."""
     rx = S.with_end_date(D.rx_dense(spark, folder))
-    return P.episode_flags(rx, _admissions(spark, folder), D.ITEM_CODEBOOK, "item_cd", V.EPISODE_LOOKBACK_DAYS,
+    base = scratch_path(spark)
+    S.write_book({"items": spark.createDataFrame(D.ITEM_CODEBOOK, "name string, regex string")}, base)
+    return P.episode_flags(rx, _admissions(spark, folder), S.read_codebook(spark, f"{base}/items"), "item_cd", V.EPISODE_LOOKBACK_DAYS,
                            ["patient_id", "admission_date"], anchor="admission_date", inclusive=True)
 
 

@@ -16,7 +16,7 @@ from cohortline.operators import report
 from cohortline.operators import survival as Y
 from cohortline.operators import timejoin as T
 from cohortline.plans.case_control_queries import SETS, matched_sets
-from cohortline.plans.cohort_queries import DX_RULES, RX_RULES
+from cohortline.plans.cohort_queries import DX_RULES, RX_RULES, _cases_after
 from cohortline.plans.registry import query
 from cohortline.sources import driver_views as D
 from cohortline.sources import tables as S
@@ -48,11 +48,13 @@ def study_frame(spark, folder):
     for part in (flags, drugs, counts):
         frame = frame.join(part, "patient_id")
     frame = C.infection_history(frame, D.lab(spark, folder)).drop("infection_after")
+    between = C.event_between_doses(_cases_after(spark, folder)).select("patient_id", "date")
+    frame = C.attach_event(frame, between, "tb_bet", "bet_date").drop("bet_date")
     died = F.col("death_date") == F.col("censor_date")
     return frame.withColumn("estatus", F.when(F.col("status") == 1, 1).when(died, 2).otherwise(0))
 
 
-ADJUSTMENT = [*V.SCORE_DX, *V.SCORE_RX, *V.SCORE_UTILISATION, "infection_his"]
+ADJUSTMENT = [*V.SCORE_DX, *V.SCORE_RX, *V.SCORE_UTILISATION, "tb_bet", "infection_his"]
 
 
 def adjusted_terms():
@@ -464,7 +466,7 @@ def clogit_adjusted(spark, folder):
     counts = T.window_counts(D.encounters(spark, folder), sets, V.ENCOUNTER_CLASSES, V.UTILISATION_DAYS,
                              ["patient_id", "match"], anchor="admission_date")
     frame = sets.join(flags, keys).join(drugs, keys).join(counts, ["patient_id", "match"])
-    terms = {**BRAND_TERMS, **{c: c for c in ADJUSTMENT if c != "infection_his"}}
+    terms = {**BRAND_TERMS, **{c: c for c in ADJUSTMENT if c not in ("tb_bet", "infection_his")}}
     fit = Y.clogit(frame, "tb", terms)
     sets.unpersist()
     return _coefficients(spark, fit)

@@ -487,6 +487,12 @@ def test_anchored_patterns_reach_the_scan(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "codes"))
     for pattern in ("^01[0-8]", "^54[0-3]|^47[.]", "^0|^9[0-1]", "^54", "1$"):
         assert df.where(X.find(F.col("code"), pattern)).count() == df.where(F.col("code").rlike(pattern)).count()
+    mixed = spark.createDataFrame([(c,) for c in ["rifa01", "RIFA01", "Rifi02", "rIfa", "ISON1", "ison09", "is", "ri", "540", "", None, "xrifa01"]], "code string")
+    for pattern in ("^rif[ai]0", "^ISON1|^ison0[1-9]", "^r", "^54[0-3]|^RIFA", "a01$"):
+        want = mixed.where(F.col("code").rlike(f"(?i){pattern}")).count()
+        assert want and mixed.where(X.find(F.col("code"), pattern, ignore_case=True)).count() == want
+    folded = df.where(X.find(F.col("code"), "^ri[fg]", ignore_case=True))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(code,RI)" in folded
     plan = df.where(X.find(F.col("code"), "^01[0-8]"))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(code,01)" in plan and "LessThan(code,02)" in plan
 
