@@ -472,12 +472,6 @@ def clogit_adjusted(spark, folder):
     return _coefficients(spark, fit)
 
 
-@query()
-def coef_table(spark, folder):
-    """Report rows of one crude fit, limits joined by term."""
-    return _coefficients(spark, Y.cox(known_arm(spark, folder), "time", "status", ARM_TERMS))
-
-
 # --- fits with an oracle ------------------------------------------------------------------
 # With two exclusive 0/1 terms a risk set is described by three weights, so SQL can run the same
 # Newton steps over the event days.
@@ -571,6 +565,24 @@ def fine_gray_fit_by_arm(spark, folder):
     return _estimates(spark, Y.fine_gray(frame, "time", "estatus", ARM_TERMS))
 
 
+_PLAIN = _fit_sql(_arms_per(f"(SELECT time AS t, status AS ev, {_ARM_CAT} AS cat FROM v_analysis WHERE arm IS NOT NULL)", "0", "1"), _ARMS).split("\nSELECT '")[0]
+
+
+@query(f"""{_PLAIN},
+est AS (SELECT '{_ARMS[0]}' AS term, b1 AS b, sqrt(i22 / (i11 * i22 - i12 * i12)) AS se FROM last
+  UNION ALL SELECT '{_ARMS[1]}', b2, sqrt(i11 / (i11 * i22 - i12 * i12)) FROM last),
+lik AS (SELECT i, max(x1) * b1 + max(x2) * b2 - sum(wbar * ln(c0 + c1 * exp(b1) + c2 * exp(b2))) AS ll FROM newton, tied, total GROUP BY i, b1, b2),
+settled AS (SELECT min(i) AS iterations FROM (SELECT i, ll, lag(ll) OVER (ORDER BY i) AS former FROM lik) WHERE abs(ll - former) <= 1e-9 * greatest(1, abs(ll))),
+size AS (SELECT count(*) AS n, count(*) FILTER (WHERE status = 1) AS events FROM v_analysis WHERE arm IS NOT NULL)
+SELECT term, round(b, 6) AS estimate, round(exp(b), 6) AS exp_estimate, round(se, 6) AS std_error, CAST(NULL AS DOUBLE) AS robust_se, round(b / se, 6) AS statistic,
+  round(1 - list_sum(list_transform(range(0, 400), lambda k: exp((k + 0.5) * ln((b / se) ** 2 / 2) - (b / se) ** 2 / 2 - lgamma(k + 1.5)))), 6) AS p_value,
+  round(exp(b - {V.Z_95} * se), 6) AS lower, round(exp(b + {V.Z_95} * se), 6) AS upper, n, events, CAST(iterations AS INTEGER) AS iterations, true AS converged
+FROM est, settled, size""")
+def coef_table(spark, folder):
+    """Report rows of one crude fit, limits joined by term."""
+    return rounded(_coefficients(spark, Y.cox(known_arm(spark, folder), "time", "status", ARM_TERMS)))
+
+
 # --- diagnostics with an oracle: the same two terms at the estimates -----------------------------
 
 _ARM_SOURCE = f"(SELECT time AS t, status AS ev, w, {_ARM_CAT} AS cat FROM v_analysis WHERE arm IS NOT NULL)"
