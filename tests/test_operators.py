@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortline.functions import columns as X
 from cohortline.functions.code_index import CodeIndex
 from cohortline.functions.fixed_values import INDEX_WEIGHTS
+from cohortline.functions.sizing import cut_lineage
 from cohortline.operators import cohort as C
 from cohortline.operators import describe as B
 from cohortline.operators import followup as U
@@ -346,6 +347,28 @@ def test_small_pools_are_drawn_whole(spark):
         assert len(got) == 10 and len(drawn) == len(set(drawn)) == min(size, 10) and None not in got[:min(size, 10)]
 
 
+def test_pools_are_not_written(spark, monkeypatch):
+    """Overlapping pools of 41 cells: what is written grows with the records and the draws, not with the pools' rows."""
+    rows = [(i, day(i), 50, "M", 1) for i in range(41)] + [(1000 + i, day(i % 41), 50, "M", 0) for i in range(4000)]
+    written = []
+    monkeypatch.setattr(M, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    got = M.match_controls(spark.createDataFrame(rows, COHORT), date_gap=20)
+    sizes = {r["date"]: r["pool_size"] for r in got.collect()}
+    assert sizes[day(20)] == 4000 and sum(sizes.values()) > 100_000
+    assert max(t.count() for t in written) < 10_000
+
+
+def test_pool_members_once_whatever_their_records(spark):
+    """Repeated, missing and unknown values: a patient is in a pool once, an unknown one as well."""
+    rows = [(0, D0, 50, "M", 1), (0, D0, 50, "M", 1), (None, day(1), 50, "M", 1), (9, None, 50, "M", 1), (8, D0, None, "M", 1), (7, D0, 50, None, 1)]
+    rows += [(1, day(n), 50, "M", 0) for n in (-3, -1, 0, 0, 2, 9)] + [(None, D0, 50, "M", 0), (None, D0, 50, "M", 0), (2, None, 50, "M", 0), (3, D0, None, "M", 0), (4, D0, 50, None, 0)]
+    got = M.match_controls(spark.createDataFrame(rows, COHORT), date_gap=2).collect()
+    of = lambda case: sorted((r["pool_size"], str(r["control_id"])) for r in got if r["case_id"] == case)
+    assert of(0) == sorted([(2, "None"), (2, "1")] * 2 + [(2, "None")] * 16)
+    assert of(None) == sorted([(2, "1")] + [(2, "None")] * 9)
+    assert all(of(c) == [(0, "None")] * 10 for c in (9, 8, 7)) and len(got) == 60
+
+
 def test_match_respects_gaps_and_self_matches(spark):
     rows = [(0, D0, 50, "M", 1), (0, day(-1), 50, "M", 0), (1, day(-2), 49, "M", 0), (2, day(2), 51, "M", 0), (3, day(3), 50, "M", 0)]
     got = M.match_controls(spark.createDataFrame(rows, COHORT), age_gap=1, date_gap=2)
