@@ -9,8 +9,10 @@ Rules match through an inverted index: each stands under its rarest token, a URL
 there fits if the URL has all its other tokens as well. Everything is a built-in expression or Spark's FP-growth.
 
 Tokens are the words of the host, ``h:`` before them, and of the path, ``p:`` before them, letters A to Z in lower case. Rules
-are mined from at most ``HOST_WORDS`` last words of the host and ``PATH_WORDS`` first words of the path, since the sets grow with the
-power of their number; rules are looked up by all words of a URL.
+are mined from all of them, and looked up by all of them. The sets grow with the power of the tokens mined together, so tokens
+that cannot add a shortest rule are settled before FP-growth: those on too few bad URLs, those that are rules by themselves, those on
+all labelled URLs, and of tokens on the very same URLs all but one, whose rules are then written for each of them. Equal URLs are told by
+their number and 128 bits of hashes of their rows.
 
 Defined cases: a URL that is null or has no ``://`` has an empty host and path, no tokens and no rule; labels join by id, and
 of several labels of one id any bad one counts; labels that are null, and null ids, teach nothing; repeated rows teach once and
@@ -33,7 +35,6 @@ from cohortline.functions.sizing import cut_lineage, drop_cut, marked
 SUPPORT, LEAST_ROWS = 0.001, 12
 #: Share of bad ones among the labelled URLs that hold a set.
 CONFIDENCE = 0.6
-HOST_WORDS = PATH_WORDS = 6
 #: Index rows, some hundred bytes each, and hits of 40 bytes that are broadcast; more are joined by a shuffle.
 BROADCAST_RULES, BROADCAST_HITS = 50_000, 500_000
 BAD = "="
@@ -74,11 +75,6 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(_words(host, "h:"), _words(path, "p:")))
 
 
-def basket(host: Column, path: Column) -> Column:
-    """The tokens that rules are mined from."""
-    return F.array_distinct(F.concat(F.slice(F.reverse(_words(host, "h:")), 1, HOST_WORDS), F.slice(_words(path, "p:"), 1, PATH_WORDS)))
-
-
 def listed(host: Column, path: Column, rules: Sequence[ListRule]) -> Column:
     """The longest rule that fits, as a struct of length, text and verdict; null without one."""
     fitting = []
@@ -101,13 +97,22 @@ def mined(urls: DataFrame, bad: DataFrame, key: str, url: str, support: float =
 
     ``bad`` has the id in ``key`` and a boolean ``bad``.
     """
-    host, path = host_of(F.col(url)), path_of(F.col(url))
     known = urls.select(key, url).distinct().join(bad, key)
-    baskets = cut_lineage(known.select(F.concat(basket(host, path), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array())).alias("items")))
-    rows = baskets.count()
+    labelled = cut_lineage(known.select(F.monotonically_increasing_id().alias("row"), tokens(host_of(F.col(url)), path_of(F.col(url))).alias("items"), F.coalesce("bad", F.lit(False)).alias("bad")))
+    rows = labelled.count()
     if not rows:
         return None
     least = max(least_rows, ceil(support * rows))
+    held = labelled.select("row", "bad", F.explode("items").alias("token"))
+    same_rows = [F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"rows{i}") for i in range(2)]
+    single = held.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.count_if("bad").alias("hits"), *same_rows)
+    single = cut_lineage(single.where(F.col("hits") >= least).withColumn("confidence", F.col("hits") / F.col("freq")))
+    short = single.where(F.col("confidence") >= confidence).select(F.array("token").alias("items"), "confidence")
+    left = single.where((F.col("confidence") < confidence) & (F.col("freq") < rows))
+    left = cut_lineage(left.groupBy("freq", "rows0", "rows1").agg(F.min("token").alias("token"), F.collect_list("token").alias("twins")).select("token", "twins"))
+    kept = held.join(marked(left.select("token"), left.count() <= BROADCAST_RULES), "token").groupBy("row").agg(F.collect_list("token").alias("kept"))
+    mark = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
+    baskets = cut_lineage(labelled.select("row", "bad").join(kept, "row", "left").select(F.concat(F.coalesce("kept", F.array().cast("array<string>")), mark).alias("items")))
     # Spark rounds the share up to a count again; half a row less keeps it at ``least``.
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / rows)).fit(baskets)
     sets = cut_lineage(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
@@ -117,10 +122,14 @@ def mined(urls: DataFrame, bad: DataFrame, key: str, url: str, support: float =
     found = cut_lineage(found.select("items", "confidence"))
     holding = found.select("items", F.explode(_subsets(F.col("items"))).alias("part"))
     longer = holding.join(found.select(F.col("items").alias("part")), "part", "left_semi").select("items").distinct()
-    single = alone.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    under = found.join(longer, "items", "left_anti").withColumn("token", F.explode("items")).join(single, "token")
+    # A rule holds for every choice of twins.
+    chosen = found.join(longer, "items", "left_anti").withColumn("token", F.explode("items")).join(left, "token").groupBy("items", "confidence").agg(F.collect_list("twins").alias("choices"))
+    nothing = F.array(F.array().cast("array<string>"))
+    spread = F.aggregate("choices", nothing, lambda made, twins: F.flatten(F.transform(made, lambda m: F.transform(twins, lambda t: F.array_append(m, t)))))
+    every = short.unionAll(chosen.select(F.explode(F.transform(spread, lambda s: F.array_sort(s))).alias("items"), "confidence"))
+    under = every.withColumn("token", F.explode("items")).join(single.select("token", "freq"), "token")
     rules = cut_lineage(under.groupBy("items", "confidence").agg(F.min_by("token", F.struct("freq", "token")).alias("token")))
-    drop_cut(baskets, sets, found)
+    drop_cut(labelled, single, left, baskets, sets, found)
     return rules
 
 

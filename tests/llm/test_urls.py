@@ -83,3 +83,16 @@ def test_nothing_to_learn_from(spark):
     assert U.judged(frame.limit(0), none, RULES).count() == 0
     good = spark.createDataFrame([(1, False), (2, None)], "page_id long, bad boolean")
     assert U.judged(frame, good, RULES, least_rows=1).where(F.col("mined").isNotNull()).count() == 0
+
+
+def test_every_word_is_mined(spark):
+    """Rules of words behind the twentieth, and many words that always come together."""
+    common = "http://h.com/" + "".join(f"w{i}/" for i in range(20))
+    kinds = [("spam", True), ("u/v/x", True), ("u/v", False), ("x", False)]
+    rows = [(20 * n + i, common + tail, bad) for n, (tail, bad) in enumerate(kinds) for i in range(20)] + [(200 + i, "http://q.com/", False) for i in range(5)]
+    asked = {900: "http://z.org/spam", 901: "http://z.org/u/x", 902: "http://z.org/x/v", 903: "http://z.org/u/v", 904: "http://z.org/x/w1"}
+    frame = spark.createDataFrame([(k, u) for k, u, _ in rows] + list(asked.items()), "page_id long, url string")
+    labels = spark.createDataFrame([(k, b) for k, _, b in rows], "page_id long, bad boolean")
+    got = {r["page_id"]: r["mined"] for r in U.judged(frame, labels, RULES, least_rows=10, confidence=0.6).collect()}
+    assert [got[k] for k in asked] == ["p:spam", "p:u p:x", "p:v p:x", None, None]
+    assert {got[k] for k in range(20)} == {"p:spam"} and {got[k] for k in range(40, 85) if k in got} == {None}
